@@ -57,11 +57,11 @@ def to_utc(local: Column, zone: Column) -> Column:
 
 def _local(date: Column, minutes: Column, days: int = 0) -> Column:
     day = F.date_add(date, days).cast("timestamp_ntz")
-    return F.timestampadd("MINUTE", minutes, day)
+    return F.timestamp_add("MINUTE", minutes, day)
 
 
 def _minutes_between(start: Column, end: Column) -> Column:
-    return F.timestampdiff("MINUTE", start, end).cast("int")
+    return F.timestamp_diff("MINUTE", start, end).cast("int")
 
 
 def first_leg_duration(df: DataFrame, airports: DataFrame) -> DataFrame:
@@ -159,7 +159,7 @@ def resolve_two_legs(requests: DataFrame, lookups: DataFrame, candidates: DataFr
     Status order: lookup problems of leg 1 then leg 2, bad choice, ambiguity, airport, times.
     """
     sizes = candidates.groupBy("request_id").agg(
-        F.count_if("leg = 1").alias("n1"), F.count_if("leg = 2").alias("n2")
+        F.count_if(F.expr("leg = 1")).alias("n1"), F.count_if(F.expr("leg = 2")).alias("n2")
     )
     classes = lookups.groupBy("request_id").agg(
         F.max(F.when(F.col("leg") == 1, F.col("outcome"))).alias("o1"),
@@ -184,7 +184,7 @@ def resolve_two_legs(requests: DataFrame, lookups: DataFrame, candidates: DataFr
         base = airport_zone(base, airports, f"destination_{leg}", f"_zb{leg}")
         for end, zone, utc in (("departure", f"_za{leg}", f"dep_utc_{leg}"), ("arrival", f"_zb{leg}", f"arr_utc_{leg}")):
             wall, offset = F.col(f"{end}_local_{leg}"), F.col(f"{end}_offset_{leg}")
-            by_offset = F.when(F.col(zone).isNotNull(), F.timestampadd("MINUTE", -offset, wall))
+            by_offset = F.when(F.col(zone).isNotNull(), F.timestamp_add("MINUTE", -offset, wall))
             base = base.withColumn(utc, F.when(offset.isNull(), to_utc(wall, F.col(zone))).otherwise(by_offset))
             # wall clock at the airport, whatever offset the payload used
             base = base.withColumn(f"{end}_local_{leg}", F.convert_timezone(F.lit("UTC"), F.col(zone), F.col(utc)))

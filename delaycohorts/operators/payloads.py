@@ -77,7 +77,8 @@ def normalize_payloads(log: DataFrame, source: str = "schedule_api") -> DataFram
     rows = x.select(
         "request_key", "requested_number", "requested_date", "item_index", reason.alias("reject_reason"),
         F.lit(source).alias("source"), F.coalesce(F.to_date(departure), F.col("requested_date")).alias("flight_date"),
-        F.upper(carrier).alias("marketing_carrier"), F.upper(number).alias("marketing_flight_number"),
+        F.when(has_item, F.upper(carrier)).alias("marketing_carrier"),
+        F.when(has_item, F.upper(number)).alias("marketing_flight_number"),
         F.when(operates, F.upper(carrier)).alias("operating_carrier"),
         F.when(operates, F.upper(number)).alias("operating_flight_number"),
         F.upper(origin).alias("origin_iata"), F.upper(destination).alias("destination_iata"),

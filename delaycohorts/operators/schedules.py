@@ -118,8 +118,8 @@ def reconstruction_accuracy(periods: DataFrame, sched: DataFrame, label: str) ->
         F.count_if(F.col("reason") == "not_operating").alias("x"),
     ).select(F.struct("r", "t", "x").alias("s"))
     totals = compared.agg(
-        F.sum("claimed").alias("expanded_rows"), F.count_if("source = 0").alias("false_positive_rows"),
-        F.count_if("claimed = 0").alias("false_negative_rows"), F.count_if("source > 0").alias("source_rows"),
+        F.sum("claimed").alias("expanded_rows"), F.count_if(F.expr("source = 0")).alias("false_positive_rows"),
+        F.count_if(F.expr("claimed = 0")).alias("false_negative_rows"), F.count_if(F.expr("source > 0")).alias("source_rows"),
     ).withColumn("_s", reasons.scalar())
     exp, fp, fn, src = (F.col(c) for c in ("expanded_rows", "false_positive_rows", "false_negative_rows", "source_rows"))
     return totals.select(
@@ -180,8 +180,8 @@ def sample_reconstruction(keys: DataFrame, periods: DataFrame, sched: DataFrame,
     compared = _compare(reconstruct_keys(wanted, periods), source)
     src, fn = F.col("source_segments"), F.col("false_negative_rows")
     return compared.agg(
-        F.count_if("source > 0").alias("source_segments"), F.sum("claimed").alias("reconstructed_segments"),
-        F.count_if("source = 0").alias("false_positive_rows"), F.count_if("claimed = 0").alias("false_negative_rows"),
+        F.count_if(F.expr("source > 0")).alias("source_segments"), F.sum("claimed").alias("reconstructed_segments"),
+        F.count_if(F.expr("source = 0")).alias("false_positive_rows"), F.count_if(F.expr("claimed = 0")).alias("false_negative_rows"),
     ).select(
         F.lit(label).alias("representation"), src, "reconstructed_segments", "false_positive_rows", fn,
         F.round((src - fn) / src, 9).alias("exact_source_row_accuracy"),

@@ -129,8 +129,8 @@ def cohorts() -> dict[str, str]:
     out = {
         "cohort_counts": w(*BASE, o.ladder()) + "SELECT case_id, " + ", ".join(o.COUNTS) + " FROM counts",
         "cohort_select": w(*BASE, o.ladder()) + f"SELECT case_id, {o.level_name('lv')} AS cohort_level, ({o.level_size('lv')})::BIGINT AS cohort_size FROM (SELECT *, {o.pick()} AS lv FROM counts)",
-        "next_broader": w(*BASE, o.ladder()) + f"""SELECT case_id, {o.level_name('a')} AS next_level, ({o.level_size('a')})::BIGINT AS next_size, {o.level_name('b')} AS eligible_level, ({o.level_size('b')})::BIGINT AS eligible_size
-            FROM (SELECT *, {o.broader()} AS a, {o.pick('30', 1)} AS b FROM counts)""",
+        "next_broader": w(*BASE, o.ladder()) + f"""SELECT case_id, {o.level_name('nx')} AS next_level, ({o.level_size('nx')})::BIGINT AS next_size, {o.level_name('el')} AS eligible_level, ({o.level_size('el')})::BIGINT AS eligible_size
+            FROM (SELECT *, {o.broader()} AS nx, {o.pick('30', 1)} AS el FROM counts)""",
         "fallback_usage": full + f"SELECT cohort_level, count(*) AS cases, {r('count(*) / (SELECT count(*) FROM sel)', 'share')} FROM sel GROUP BY 1",
         "cohort_members": mem + "SELECT case_id, delay, count(*) AS n FROM mem GROUP BY 1, 2",
         "cohort_quantiles": mem + "SELECT case_id, " + ", ".join(q(p, f"p{round(p * 100)}") for p in (.1, .25, .5, .75, .9, .95)) + ", count(*) AS cohort_n FROM mem GROUP BY 1",
@@ -229,4 +229,6 @@ def all_statements() -> dict[str, str]:
     return out
 
 
-EXTRA: list = []
+from delaycohorts.plans import oracle_schedules, oracle_services, oracle_studies  # noqa: E402
+
+EXTRA = [oracle_schedules.schedules, oracle_services.itineraries, oracle_services.payloads, oracle_studies.studies]

@@ -702,7 +702,7 @@ def _two_leg_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame,
             F.struct(F.lit(2).alias("leg"), F.col("carrier").alias("c"), (k * 5 % 12 + 1).cast("string").alias("number")),
         )).alias("l"), F.date_sub("travel_date", 30).alias("day"),
     ).select("request_id", "day", "l.*")
-    wall = lambda minutes: F.timestampadd("MINUTE", F.col(minutes), F.col("flight_date").cast("timestamp_ntz"))
+    wall = lambda minutes: F.timestamp_add("MINUTE", F.col(minutes), F.col("flight_date").cast("timestamp_ntz"))
     daily = _schedule(spark, sf).distinct()
     found = legs.join(daily, (legs.c == daily.reporting_carrier) & (legs.number == daily.flight_number) & (legs.day == daily.flight_date))
     order = F.row_number().over(
