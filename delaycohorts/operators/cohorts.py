@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from delaycohorts.functions import clock
 from delaycohorts.session import BROADCAST_ROWS, broadcast_if_small, materialize
 
 # Ladder levels from narrow to broad.
@@ -96,37 +95,42 @@ def history_coverage(cases: DataFrame, history: DataFrame) -> DataFrame:
     )
 
 
-def _key(level: str, parts: dict[str, Column]) -> Column:
-    fields = [parts[name].cast("string") for name in _USES[level]]
-    text = F.concat_ws("|", F.lit(level), *fields)
-    return F.struct(F.xxhash64(text).alias("k_hash"), text.alias("k_text"))
+def _key(level: str, month: str, date: str, bucket: str) -> str:
+    """SQL of one key; written as text because seven to nine of them form an array."""
+    parts = {
+        "month": f"cast({month} as string)", "dow": f"cast(weekday({date}) + 1 as string)", "bucket": bucket,
+    }
+    used = [parts.get(name, name) for name in _USES[level]]
+    text = "concat_ws('|', " + ", ".join([f"'{level}'", *used]) + ")"
+    return f"named_struct('k_hash', xxhash64({text}), 'k_text', {text})"
 
 
 def _fact_keys(levels: Sequence[str]) -> Column:
     """Keys a history row counts for; a season key is the month or one of its neighbours."""
-    month = F.month("flight_date")
-    parts = {
-        "carrier": F.col("carrier"), "origin": F.col("origin"), "destination": F.col("destination"),
-        "month": month, "dow": clock.iso_weekday(F.col("flight_date")), "bucket": F.col("bucket"),
-    }
+    month = "month(flight_date)"
     keys = []
     for level in levels:
-        if level == "route_carrier_season":
-            for shift in (11, 0, 1):
-                keys.append(_key(level, parts | {"month": (month - 1 + shift) % 12 + 1}))
-        else:
-            keys.append(_key(level, parts))
-    return F.array(*keys)
+        around = (11, 0, 1) if level == "route_carrier_season" else (None,)
+        for shift in around:
+            m = month if shift is None else f"(({month} - 1 + {shift}) % 12 + 1)"
+            keys.append(_key(level, m, "flight_date", "bucket"))
+    return F.expr("array(" + ", ".join(keys) + ")")
+
+
+CASE_BUCKET = (
+    "case when departure_minutes < 360 then 'overnight' when departure_minutes < 720 then 'morning' "
+    "when departure_minutes < 1080 then 'afternoon' else 'evening' end"
+)
+
+
+def _case_keys(levels: Sequence[str]) -> Column:
+    """Keys of a case; month, weekday and bucket come from the request."""
+    keys = [_key(level, "month(prediction_date)", "prediction_date", CASE_BUCKET) for level in levels]
+    return F.expr("array(" + ", ".join(keys) + ")")
 
 
 def case_key(level: str) -> Column:
-    """Key of a case; month, weekday and bucket come from the request."""
-    day = F.col("prediction_date")
-    return _key(level, {
-        "carrier": F.col("carrier"), "origin": F.col("origin"), "destination": F.col("destination"),
-        "month": F.month(day), "dow": clock.iso_weekday(day),
-        "bucket": clock.time_bucket(F.col("departure_minutes")),
-    })
+    return _case_keys([level])[0]
 
 
 def _prune(facts: DataFrame, wanted: DataFrame, limit: int) -> DataFrame:
@@ -172,7 +176,7 @@ def sums_in_bounds(
 
 def level_requests(cases: DataFrame, levels: Sequence[str] = LEVELS) -> DataFrame:
     """Every case once per level, with the level's key."""
-    keys = F.posexplode(F.array(*[case_key(level) for level in levels]))
+    keys = F.posexplode(_case_keys(levels))
     return cases.select("*", keys.alias("level_index", "k")).select(
         *cases.columns, "level_index", *[F.col(f"k.{c}").alias(c) for c in KEY]
     )
@@ -240,9 +244,9 @@ def at_level(counted: DataFrame, level: str) -> DataFrame:
 
 
 def _with_level(counted: DataFrame, index: Column) -> DataFrame:
-    names = F.array(*[F.lit(level) for level in LEVELS])
-    sizes = F.array(*[F.col(f"n_{level}") for level in LEVELS])
-    keys = F.array(*[case_key(level) for level in LEVELS])
+    names = F.expr("array(" + ", ".join(f"'{level}'" for level in LEVELS) + ")")
+    sizes = F.array(*[f"n_{level}" for level in LEVELS])
+    keys = _case_keys(LEVELS)
     base = counted.drop("cohort_level", "cohort_size", "_i", *KEY).withColumn("_i", index)
     at = lambda values: F.when(F.col("_i").isNotNull(), values[F.coalesce("_i", F.lit(0))])
     return base.select(

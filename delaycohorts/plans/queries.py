@@ -513,22 +513,23 @@ def threshold_study(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def stratified_study(spark: SparkSession, sf: str) -> DataFrame:
-    history, records = materialize(_history(spark, sf)), materialize(_one_per_flight(spark, sf))
-    parts = ST.stratified_study(history, records, HOLDOUTS, 500, 300, 200, SEED)
-    return rounded(parts["arrivals"], 6)
+    history = materialize(_history(spark, sf))
+    daily = materialize(C.daily_delay_counts(history))
+    return rounded(ST.stratified_arrivals(history, daily, HOLDOUTS, 500, 200, SEED)["arrivals"], 6)
 
 
 @query
 def stratified_connections(spark: SparkSession, sf: str) -> DataFrame:
     history, records = materialize(_history(spark, sf)), materialize(_one_per_flight(spark, sf))
-    parts = ST.stratified_study(history, records, HOLDOUTS, 500, 300, 200, SEED)
-    return rounded(parts["connections"], 6)
+    daily = materialize(C.daily_delay_counts(history))
+    return rounded(ST.stratified_connections(history, records, daily, HOLDOUTS, 300, 200, SEED)["connections"], 6)
 
 
 @query
 def tail_experiment(spark: SparkSession, sf: str) -> DataFrame:
     history, records = materialize(_history(spark, sf)), materialize(_one_per_flight(spark, sf))
-    return rounded(ST.tail_experiment(history, records, HOLDOUTS, 300, 200, 100, SEED)["connections"], 6)
+    daily = materialize(C.daily_delay_counts(history))
+    return rounded(ST.tail_experiment_connections(history, records, daily, HOLDOUTS, 200, 100, SEED)["connections"], 6)
 
 
 # ------------------------------------------------------------------ schedules

@@ -167,17 +167,39 @@ def stratified_study(
 ) -> dict[str, DataFrame]:
     """Weighted metrics of two history strategies, intervals and the worst cases."""
     daily = materialize(C.daily_delay_counts(history))
+    return stratified_arrivals(history, daily, holdouts, delay_cases, replicates, seed) | stratified_connections(
+        history, records, daily, holdouts, connection_cases, replicates, seed
+    )
+
+
+def stratified_arrivals(
+    history: DataFrame, daily: DataFrame, holdouts: Holdouts, delay_cases: int, replicates: int, seed: int,
+) -> dict[str, DataFrame]:
     weight = F.col("weight")
     population = materialize(S.with_strata(S.replay_cases(history, holdouts.years), history))
     sample = materialize(S.stratified_sample(population, delay_cases, seed))
     rolling = C.with_bounds(sample.withColumn("strategy", F.lit("previous_24_months")), 24, holdouts.start())
     fixed = fixed_bounds(sample.withColumn("strategy", F.lit("all_prior_fixed_training")), holdouts)
-    rows = materialize(arrival_rows(rolling.unionByName(fixed), daily).select(
+    rows = materialize(arrival_rows(_written_union([rolling, fixed]), daily).select(
         "*", F.month("prediction_date").alias("month"), (F.col("actual") - F.col("p90")).alias("p90_error")
     ))
     base = ("test_year", "strategy")
     dims = ("carrier", "route_volume_group", "season", "month", "time_bucket", "severity", "cohort_level")
+    covered = {"covered": M.covered(F.col("actual"), F.col("p90")) * weight, "w": weight}
+    return {
+        "sample": sample,
+        "arrivals": M.metrics_by(rows, dims, M.arrival_metrics(weight), base),
+        "usage": M.usage(rows, dims=base),
+        "worst": S.top_n_per_group(rows, base, F.struct((-F.col("p90_error")).alias("e"), "case_id"), 20),
+        "coverage_interval": intervals(rows, base, ["case_id"], covered, F.col("covered") / F.col("w"), replicates, seed, "p90_coverage"),
+    }
 
+
+def stratified_connections(
+    history: DataFrame, records: DataFrame, daily: DataFrame, holdouts: Holdouts, connection_cases: int,
+    replicates: int, seed: int,
+) -> dict[str, DataFrame]:
+    weight = F.col("weight")
     offers = materialize(S.with_strata(S.replay_cases(records, holdouts.years), history, by_status=True))
     chosen = materialize(S.stratified_sample(offers, connection_cases, seed + 100))
     connections = materialize(connection_rows(fixed_bounds(chosen, holdouts), daily, records, seed, "constant").select(
@@ -191,11 +213,6 @@ def stratified_study(
     )
     keys = ("test_year", "dimension", "value")
     return {
-        "sample": sample,
-        "arrivals": M.metrics_by(rows, dims, M.arrival_metrics(weight), base),
-        "usage": M.usage(rows, dims=base),
-        "worst": S.top_n_per_group(rows, base, F.struct((-F.col("p90_error")).alias("e"), "case_id"), 20),
-        "coverage_interval": intervals(rows, base, ["case_id"], {"covered": M.covered(F.col("actual"), F.col("p90")) * weight, "w": weight}, F.col("covered") / F.col("w"), replicates, seed, "p90_coverage"),
         "connections": M.connection_metrics(both, ("test_year", "kind"), weight),
         "bins": M.calibration_bins(both, ("test_year", "kind"), weight),
         "subgroups": M.connection_metrics(by_dimension, keys, weight).where("sample_count >= 5"),
@@ -335,17 +352,38 @@ def tail_experiment(
 ) -> dict[str, DataFrame]:
     """Four candidates: arrival and connection metrics with route-by-month cluster intervals."""
     daily = materialize(C.daily_delay_counts(history))
-    w = F.col("weight")
+    return tail_experiment_arrivals(history, daily, holdouts, arrival_cases, replicates, seed) | tail_experiment_connections(
+        history, records, daily, holdouts, connection_cases, replicates, seed, transfer
+    )
+
+
+CLUSTER = ("cluster_route", "cluster_month")
+
+
+def tail_experiment_arrivals(
+    history: DataFrame, daily: DataFrame, holdouts: Holdouts, arrival_cases: int, replicates: int, seed: int,
+) -> dict[str, DataFrame]:
+    w, base = F.col("weight"), ("test_year", "candidate")
     strata = materialize(S.with_strata(S.replay_cases(history, holdouts.years), history))
     sample = materialize(S.stratified_sample(strata, arrival_cases, seed))
     rows = materialize(B.cluster_columns(tail_arrivals(sample, daily, holdouts)))
-    base, cluster = ("test_year", "candidate"), ["cluster_route", "cluster_month"]
     dims = ("carrier", "month", "season", "time_bucket", "route_volume_group", "cohort_level", "cohort_size_bucket", "recent_severe_frequency_bucket")
     coverage = {"covered": M.covered(F.col("actual"), F.col("p90")) * w, "w": w}
     crps = {"wc": F.col("crps") * w, "w": w}
+    return {
+        "arrivals": M.metrics_by(rows, dims, M.arrival_metrics(w, TAIL_QS), base),
+        "coverage_interval": intervals(rows, base, CLUSTER, coverage, F.col("covered") / F.col("w"), replicates, seed, "p90_coverage"),
+        "crps_interval": intervals(rows, base, CLUSTER, crps, F.col("wc") / F.col("w"), replicates, seed + 1, "crps"),
+    }
+
 
-    status_strata = materialize(S.with_strata(S.replay_cases(records, holdouts.years), history, by_status=True))
-    offers = materialize(S.stratified_sample(status_strata, connection_cases, seed + 100))
+def tail_experiment_connections(
+    history: DataFrame, records: DataFrame, daily: DataFrame, holdouts: Holdouts, connection_cases: int,
+    replicates: int, seed: int, transfer: Transfer = Transfer(),
+) -> dict[str, DataFrame]:
+    w, base = F.col("weight"), ("test_year", "candidate")
+    strata = materialize(S.with_strata(S.replay_cases(records, holdouts.years), history, by_status=True))
+    offers = materialize(S.stratified_sample(strata, connection_cases, seed + 100))
     routed = materialize(X.connection_options(offers, records, seed, "constant"))
     hist, chosen = tail_candidates(routed, daily, holdouts)
     crossed = chosen.select("*", F.explode(F.array(*[F.lit(c) for c in CANDIDATES])).alias("candidate"))
@@ -357,13 +395,10 @@ def tail_experiment(
     connections = materialize(B.cluster_columns(scored.select("*", outcome.alias("outcome"), buckets.layover_class(F.col("layover_minutes")).alias("layover_class"))))
     by_dimension = M.long_dimensions(connections, ("carrier", "layover_class", "time_bucket", "season", "status"), (*base, "probability", "outcome", "weight"))
     return {
-        "arrivals": M.metrics_by(rows, dims, M.arrival_metrics(w, TAIL_QS), base),
-        "coverage_interval": intervals(rows, base, cluster, coverage, F.col("covered") / F.col("w"), replicates, seed, "p90_coverage"),
-        "crps_interval": intervals(rows, base, cluster, crps, F.col("wc") / F.col("w"), replicates, seed + 1, "crps"),
         "connections": M.connection_metrics(connections, base, w),
         "bins": M.calibration_bins(connections, base, w),
         "subgroups": M.connection_metrics(by_dimension, (*base, "dimension", "value"), w),
-        "connection_intervals": connection_intervals(connections, base, cluster, replicates, seed + 1),
+        "connection_intervals": connection_intervals(connections, base, CLUSTER, replicates, seed + 1),
     }
 
 
@@ -490,8 +525,8 @@ def threshold_study(
     """Minimum sizes and the blend on the same cases, layovers and outcomes."""
     daily = materialize(C.daily_delay_counts(history))
     sample = S.sample_cases(S.replay_cases(history, holdouts.years), cases_per_year, seed, holdouts.years)
-    routed = X.connection_options(fixed_bounds(sample, holdouts), records, seed, "hashed")
-    counted = C.cohort_counts(routed, daily)
+    routed = materialize(X.connection_options(fixed_bounds(sample, holdouts), records, seed, "hashed"))
+    counted = materialize(C.cohort_counts(routed, daily))
     crossed = counted.select("*", F.explode(F.array(*[F.lit(t) for t in thresholds])).alias("threshold"))
     hard = materialize(C.choose_level(crossed, F.col("threshold")).withColumn("method", F.format_string("hard_n%d", "threshold")))
     keep = ["case_id", "test_year", "method", "cohort_level", "specific_weight", "actual", "status", "layover_minutes"]
