@@ -10,7 +10,7 @@ DAY = 1440
 
 def hhmm_number(text: Column) -> Column:
     """Integer HHMM from text; goes through double so '1530.00' is accepted."""
-    return F.round(text.try_cast("double")).try_cast("int")
+    return F.round(F.nullif(F.trim(text), F.lit("")).try_cast("double")).try_cast("int")
 
 
 def hhmm_valid(text: Column) -> Column:

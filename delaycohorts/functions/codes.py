@@ -22,7 +22,7 @@ def norm_text(c: Column) -> Column:
 
 def flag01(c: Column) -> Column:
     """Text 0/1 (also '1.00') to boolean, anything else null."""
-    number = c.try_cast("double")
+    number = norm_text(c).try_cast("double")
     return F.when(number.isin(0.0, 1.0), number == 1.0)
 
 

@@ -17,7 +17,8 @@ from delaycohorts.sources.files import require_columns
 
 
 def _number(name: str) -> Column:
-    return F.col(name).try_cast("double")
+    """Number from text; blanks become null before the cast, which would raise and catch for each."""
+    return codes.norm_text(F.col(name)).try_cast("double")
 
 
 def _all(*conditions: Column) -> Column:
@@ -101,11 +102,11 @@ def diversion_legs() -> Column:
             F.struct(
                 F.lit(i).alias("sequence"),
                 F.upper(airport).alias("airport"),
-                c("AirportID").try_cast("int").alias("airport_id"),
-                c("AirportSeqID").try_cast("bigint").alias("airport_sequence_id"),
+                codes.norm_text(c("AirportID")).try_cast("int").alias("airport_id"),
+                codes.norm_text(c("AirportSeqID")).try_cast("bigint").alias("airport_sequence_id"),
                 clock.nullable_hhmm(c("WheelsOn")).alias("wheels_on_minutes"),
-                c("TotalGTime").try_cast("double").alias("total_ground_minutes"),
-                c("LongestGTime").try_cast("double").alias("longest_ground_minutes"),
+                codes.norm_text(c("TotalGTime")).try_cast("double").alias("total_ground_minutes"),
+                codes.norm_text(c("LongestGTime")).try_cast("double").alias("longest_ground_minutes"),
                 clock.nullable_hhmm(c("WheelsOff")).alias("wheels_off_minutes"),
                 F.upper(codes.norm_text(c("TailNum"))).alias("tail_number"),
             ),

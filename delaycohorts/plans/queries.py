@@ -52,6 +52,15 @@ def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
 # ------------------------------------------------------------------ shared inputs
 
 
+def _raw(spark: SparkSession, sf: str) -> DataFrame:
+    """The text rows as landed files, so that cleaning starts from plain columns."""
+    return materialize(dt.raw_rows(spark, sf))
+
+
+def _raw_wide(spark: SparkSession, sf: str) -> DataFrame:
+    return materialize(dt.raw_wide_rows(spark, sf))
+
+
 def _history(spark: SparkSession, sf: str) -> DataFrame:
     return CL.refresh_history(dt.flights(spark, sf))
 
@@ -100,12 +109,12 @@ def _connections(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def clean_flights(spark: SparkSession, sf: str) -> DataFrame:
-    return CL.clean_flights(dt.raw_rows(spark, sf))
+    return CL.clean_flights(_raw(spark, sf))
 
 
 @query
 def clean_flights_wide(spark: SparkSession, sf: str) -> DataFrame:
-    wide = CL.clean_flights_wide(dt.raw_wide_rows(spark, sf))
+    wide = CL.clean_flights_wide(_raw_wide(spark, sf))
     legs = F.col("diversion_details")
     leg = lambda i, f: F.get(legs, F.lit(i))[f].alias(f"leg{i + 1}_{f}")
     return wide.select(
@@ -185,7 +194,7 @@ def dataset_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def exact_schedule(spark: SparkSession, sf: str) -> DataFrame:
-    return CL.exact_schedule(CL.clean_flights_wide(dt.raw_wide_rows(spark, sf)))
+    return CL.exact_schedule(CL.clean_flights_wide(_raw_wide(spark, sf)))
 
 
 @query

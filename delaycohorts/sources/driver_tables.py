@@ -33,8 +33,17 @@ CARRIER_NAMES = (
 )
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
+    """A given table. A scan that yields fewer splits than there are cores (one small file with
+    one row group) is spread out; a scan of a large table already has its splits and is left alone.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = df.select(*columns) if columns else df
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in SPREAD and df.rdd.getNumPartitions() < cores else df
+
+
+SPREAD = ("lineitem", "orders", "documents", "events")
 
 
 def airports(spark: SparkSession) -> DataFrame:
@@ -51,8 +60,10 @@ def _pick(text: str, width: int, index: Column) -> Column:
 
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per lineitem with the small integers everything else is built from."""
-    li = table(spark, sf_dir, "lineitem")
-    od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    li = table(spark, sf_dir, "lineitem", [
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_tax", "l_returnflag", "l_shipdate",
+    ])
+    od = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
     cu = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     su = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     joined = (
