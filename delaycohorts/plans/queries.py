@@ -61,6 +61,10 @@ def _raw_wide(spark: SparkSession, sf: str) -> DataFrame:
     return materialize(dt.raw_wide_rows(spark, sf))
 
 
+def _payload_log(spark: SparkSession, sf: str) -> DataFrame:
+    return materialize(dp.payload_log(spark, sf))
+
+
 def _history(spark: SparkSession, sf: str) -> DataFrame:
     return CL.refresh_history(dt.flights(spark, sf))
 
@@ -755,18 +759,18 @@ def two_leg_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def normalize_payloads(spark: SparkSession, sf: str) -> DataFrame:
-    rows = P.normalize_payloads(dp.payload_log(spark, sf))
+    rows = P.normalize_payloads(_payload_log(spark, sf))
     return rows.withColumn("quality", F.concat_ws(",", "quality"))
 
 
 @query
 def lookup_outcome(spark: SparkSession, sf: str) -> DataFrame:
-    return P.lookup_outcome(P.normalize_payloads(dp.payload_log(spark, sf)))
+    return P.lookup_outcome(P.normalize_payloads(_payload_log(spark, sf)))
 
 
 @query
 def provider_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    normalized = materialize(P.normalize_payloads(dp.payload_log(spark, sf)))
+    normalized = materialize(P.normalize_payloads(_payload_log(spark, sf)))
     log = dp.payload_log(spark, sf).select(
         "request_key", F.upper(F.substring("requested_number", 1, 2)).alias("airline"),
         F.coalesce(buckets.horizon_bucket(F.col("requested_date"), F.lit("1995-01-01").cast("date")), F.lit("past")).alias("horizon"),
