@@ -71,10 +71,10 @@ def _search(rows: DataFrame, targets: dict[int, int], tuples: dict[int, list[str
             start, stop = s["low"] + at * w, min(s["high"], s["low"] + (at + 1) * w - 1)
             column = tuples[n][s["depth"]]
             last = s["depth"] + 1 == len(tuples[n]) and w == 1
-            if after - targets[n] <= slack or last:
+            if after - targets[n] <= slack or (last and after - targets[n] <= targets[n] - run):
                 cuts[n] = [*s["fixed"], (column, stop)]
                 del state[n]
-            elif targets[n] - run <= slack:
+            elif targets[n] - run <= slack or last:
                 cuts[n] = [*s["fixed"], (column, start - 1)]
                 del state[n]
             elif w > 1:

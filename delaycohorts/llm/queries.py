@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from delaycohorts.llm import kd_shards, line_dedup, quality_rules, token_counts, warc
+from delaycohorts.llm import kd_shards, line_dedup, ngram_join, quality_rules, tag_paths, token_counts, warc
 from delaycohorts.llm.common import table
 
 _OVER = {
@@ -14,6 +14,8 @@ _OVER = {
     "op4_quality_rules": ("documents", quality_rules.digest_rows),
     "op5_kd_shards": ("documents", kd_shards.digest_rows),
     "op7_line_dedup": ("documents", line_dedup.digest_rows),
+    "op8_tag_paths": ("pages", tag_paths.digest_rows),
+    "op9_ngram_jaccard": ("documents", ngram_join.digest_rows),
     "op10_token_counts": ("documents", token_counts.digest_rows),
 }
 
