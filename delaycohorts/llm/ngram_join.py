@@ -7,10 +7,15 @@ must meet in the first columns of both rows (shorter for the smaller row), so on
 product. They are dealt into column blocks; a block keeps the columns that two or more rows share.
 Overlaps of the surviving pairs are then counted over the full rows.
 
+The first columns are taken a little longer than one meeting needs, so that every linked pair meets
+in at least ``meetings`` columns; rows with fewer shared columns leave.
+
 Only links between components that are still apart matter for the classes. So every shared column
 first pairs its most central row with the others; the components of those links are labelled, and
-only pairs of rows in different components are formed after that. A group of near copies thus costs
-its size, not its square, and no pair that could link is left out.
+after that only pairs of rows in different components are looked at. A bitmap of the full row bounds
+their overlap from above inside the block, so pairs that cannot reach the threshold are never
+written. A group of near copies thus costs little more than its size, and no pair that could link is
+left out.
 """
 
 from __future__ import annotations
@@ -31,6 +36,14 @@ NUM, DEN = 85, 100  # link when DEN * intersection >= NUM * union
 CELLS = 1 << 18  # of the count sketch: 1 MB
 BLOCK_ENTRIES = 250_000
 ROWS = 512
+BITS = 2048  # of the bitmap of a row
+CHUNK = 2048  # rows of a column that meet in one unit; longer columns are split into pairs of chunks
+UNIT_ENTRIES = 20_000
+
+
+def meetings(size: int) -> int:
+    """Columns of the prefixes in which a row of this size meets any larger partner."""
+    return size // 20 + 1
 
 
 def least(size: int, num: int, den: int) -> int:
@@ -111,7 +124,8 @@ def column_blocks(docs: DataFrame, levels, blocks: int, text: str, n: int, num:
                     continue
                 seen.add(node)
                 rank = level[cells_of(row)]
-                probe, short = size - least(size, num, den) + 1, size - smallest_pair(size, num, den) + 1
+                more = meetings(size)
+                probe, short = size - least(size, num, den) + more, size - smallest_pair(size, num, den) + more
                 first = np.argsort(rank, kind="stable")[:probe]
                 hashes.append(row[first])
                 k = len(first)
@@ -157,6 +171,64 @@ def shared_columns(packed: DataFrame) -> DataFrame:
 _SHARED = pa.schema([("h", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("short", pa.bool_()), ("centre", pa.float32())])
 
 
+def enough(shared: DataFrame, num: int, den: int) -> DataFrame:
+    """Entries of the rows that meet others often enough for any link."""
+    size = F.ceil(F.col("size").cast("long") * num / den)
+    often = shared.groupBy("node", "size").agg(F.count("*").alias("k")).where(F.col("k") >= F.floor(size / 20) + 1).select("node")
+    return shared.join(often, "node", "left_semi")
+
+
+def bitmap(row: np.ndarray) -> bytes:
+    field = np.zeros(BITS, bool)
+    field[(row & np.uint64(BITS - 1)).astype(np.int64)] = True
+    return np.packbits(field).tobytes()
+
+
+def close_pairs(entries: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of rows in one column but different components that may reach the threshold.
+
+    ``entries`` has h, node, size, short, label and bits. Long columns are dealt as pairs of chunks,
+    so a unit of work stays bounded.
+    """
+    per = entries.groupBy("h").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    units = int(entries.count() // UNIT_ENTRIES) + 32
+    dealt = entries.join(per, "h").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("h", "node", "size", "short", "label", "bits", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+    dealt = dealt.withColumn("unit", F.pmod(F.xxhash64("h", "lo", "hi"), F.lit(units)))
+
+    def pairs(group: pa.Table) -> pa.Table:
+        get = lambda k: group.column(k).to_numpy(zero_copy_only=False)
+        h, lo, hi, mine = get("h"), get("lo"), get("hi"), get("mine")
+        order = np.lexsort((hi, lo, h))
+        h, lo, hi, mine = h[order], lo[order], hi[order], mine[order]
+        node, size, short, label = get("node")[order], get("size")[order].astype(np.int64), get("short")[order], get("label")[order]
+        bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint64).reshape(len(order), -1)[order]
+        edge = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]), [True])))
+        found: set[tuple[int, int]] = set()
+        for start, stop in zip(edge[:-1], edge[1:]):
+            at = np.arange(start, stop)
+            one, two = at[mine[at] == lo[start]], at[mine[at] == hi[start]]
+            for k in range(0, len(one), 256):
+                x, y = one[k : k + 256, None], two[None, :]
+                small, large = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
+                role = (short[x] & (size[x] <= size[y])) | (short[y] & (size[y] <= size[x]))
+                i, j = np.nonzero((label[x] != label[y]) & role & (den * small >= num * large))
+                for m in range(0, len(i), 8192):
+                    p, q = one[k + i[m : m + 8192]], two[j[m : m + 8192]]
+                    need = -(-num * (size[p] + size[q]) // (num + den))
+                    lost = np.bitwise_count(bits[p] & ~bits[q]).sum(1), np.bitwise_count(bits[q] & ~bits[p]).sum(1)
+                    good = (size[p] - lost[0] >= need) & (size[q] - lost[1] >= need)
+                    a, b = np.maximum(node[p[good]], node[q[good]]), np.minimum(node[p[good]], node[q[good]])
+                    found.update(zip(a.tolist(), b.tolist()))
+        return pa.table({"a": [a for a, _ in found], "b": [b for _, b in found]}, schema=_PAIR)
+
+    return dealt.groupBy("unit").applyInArrow(pairs, "a long, b long").distinct()
+
+
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
 def _fits(num: int, den: int):
     """Sizes of a pair that can still reach the threshold."""
     small, large = F.least("size", "other_size"), F.greatest("size", "other_size")
@@ -164,7 +236,7 @@ def _fits(num: int, den: int):
 
 
 def full_rows(docs: DataFrame, wanted: DataFrame, text: str, n: int) -> DataFrame:
-    """(node, row) of the wanted nodes: every text is hashed where a Bloom filter lets its id pass."""
+    """(node, row, bits) of the wanted nodes: every text is hashed where a Bloom filter lets its id pass."""
     spark = docs.sparkSession
     count = wanted.count()
     bits = 1 << max(13, min(28, (16 * max(1, count)).bit_length()))
@@ -192,10 +264,10 @@ def full_rows(docs: DataFrame, wanted: DataFrame, text: str, n: int) -> DataFram
             for at in range(0, found.num_rows, ROWS):
                 part = found.slice(at, ROWS)
                 sets = [np.unique(windows(ids.of((x or b"").lower().split()), n)) for x in part.column(text).cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([node_of(r) if len(r) else None for r in sets], pa.int64()), pa.array([r.tobytes() for r in sets], pa.binary())], ["doc_id", "node", "row"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([node_of(r) if len(r) else None for r in sets], pa.int64()), pa.array([r.tobytes() for r in sets], pa.binary()), pa.array([bitmap(r) for r in sets], pa.binary())], ["doc_id", "node", "row", "bits"])
 
-    found = docs.select(F.col("doc_id").cast("long"), text).mapInArrow(emit, "doc_id long, node long, row binary")
-    return found.join(wanted, ["doc_id", "node"]).select("node", "row")
+    found = docs.select(F.col("doc_id").cast("long"), text).mapInArrow(emit, "doc_id long, node long, row binary, bits binary")
+    return found.join(wanted, ["doc_id", "node"]).dropDuplicates(["node"]).select("node", "row", "bits")
 
 
 def _spread(keys: np.ndarray, k: int, bits: int) -> np.ndarray:
@@ -244,23 +316,22 @@ def ngram_classes(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN, t
     entries = scanned.agg(F.sum(F.col("n") * (den - num) / den + 1)).first()[0] or 0
     blocks = int(entries // BLOCK_ENTRIES) + 32
     shared = materialize(shared_columns(column_blocks(docs, levels, blocks, text, n, num, den)))
+    shared = materialize(enough(shared, num, den))
 
     leaders = shared.where("short").groupBy("h").agg(F.max_by(F.struct("node", "size"), F.struct("centre", "node")).alias("l"))
     stars = shared.join(leaders.select("h", F.col("l.node").alias("leader"), F.col("l.size").alias("other_size")), "h").where(F.col("node") != F.col("leader")).where(_fits(num, den))
-    stars = materialize(stars.select(F.least("node", "leader").alias("b"), F.greatest("node", "leader").alias("a")).distinct())
+    stars = stars.groupBy(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).agg(F.count("*").alias("k"), F.min(F.least("size", "other_size")).alias("s"))
+    stars = materialize(stars.where("2 * k > s div 20").select("a", "b"))  # the rest is left to the second round
 
-    involved = shared.select("node").distinct()
-    rows = materialize(full_rows(docs, materialize(involved.join(nodes, "node")), text, n))
+    rows = materialize(full_rows(docs, materialize(shared.select("node").distinct().join(nodes, "node")), text, n))
     links = materialize(overlaps(stars, rows, num, den))
     labels = components(links)
 
     named = materialize(shared.join(labels, "node", "left").select("h", "node", "size", "short", F.coalesce("component", "node").alias("label")))
     apart = named.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("h")
-    left = named.join(apart, "h", "left_semi")
-    right = left.select("h", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("label").alias("other_label"))
-    more = left.where("short").join(right, "h").where("node <> other and label <> other_label and size <= other_size").where(_fits(num, den))
-    more = more.select(F.least("node", "other").alias("b"), F.greatest("node", "other").alias("a")).distinct().join(stars, ["a", "b"], "left_anti")
-    links = materialize(links.union(overlaps(materialize(more), rows, num, den)))
+    entries = named.join(apart, "h", "left_semi").join(rows.select("node", "bits"), "node")
+    more = materialize(close_pairs(materialize(entries), num, den).join(stars, ["a", "b"], "left_anti"))
+    links = materialize(links.union(overlaps(more, rows, num, den)))
 
     found = nodes.join(components(links), "node")
     names = found.groupBy("component").agg(F.min("doc_id").alias("least_id"))
