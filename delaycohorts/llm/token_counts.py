@@ -9,6 +9,7 @@ through a shuffle.
 
 from __future__ import annotations
 
+import os
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,6 +27,7 @@ FLUSH = 250_000
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(path)
