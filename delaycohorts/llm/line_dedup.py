@@ -16,15 +16,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from delaycohorts.llm.common import WHITE, whole
-from delaycohorts.session import checkpoint_dir
+from delaycohorts.session import checkpoint_dir, materialize
 
 MIN_CHARS = 10
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def line_key(line: Column) -> Column:
-    """The line without white space at its ends, A-Z in lower case."""
-    return F.translate(F.btrim(line, F.lit(WHITE)), UPPER, LOWER)
+    """The line without white space at its ends, A-Z in lower case.
+
+    ``lower`` is the quick way for plain ASCII and changes nothing else there; ``translate`` leaves
+    other letters alone.
+    """
+    bare = F.btrim(line, F.lit(WHITE))
+    return F.when(F.octet_length(bare) == F.length(bare), F.lower(bare)).otherwise(F.translate(bare, UPPER, LOWER))
 
 
 @dataclass
@@ -58,8 +63,8 @@ class LineStore:
 
 def _clean_batch(store: LineStore, docs: DataFrame, last: bool) -> DataFrame:
     lines = docs.select("doc_id", "__row", F.posexplode(F.split("__text", "\n")).alias("at", "line"))
-    key = line_key(F.col("line"))
-    lines = lines.select("doc_id", "__row", "at", F.when((F.length(key) >= MIN_CHARS) & F.col("doc_id").isNotNull(), F.unhex(F.md5(key))).alias("hash"))
+    long = F.length(F.btrim("line", F.lit(WHITE))) >= MIN_CHARS
+    lines = materialize(lines.select("doc_id", "__row", "at", F.when(long & F.col("doc_id").isNotNull(), F.unhex(F.md5(line_key(F.col("line"))))).alias("hash")))
     first = lines.where("hash is not null").groupBy("hash").agg(F.min("doc_id").alias("doc_id"))
     path = f"{store.root}/first/{uuid.uuid4().hex}"
     store.unseen(first).write.parquet(path)
