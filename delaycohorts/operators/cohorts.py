@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from delaycohorts.session import BROADCAST_ROWS, broadcast_if_small, materialize
+from delaycohorts.session import materialize
 
 # Ladder levels from narrow to broad.
 LEVELS = (
@@ -133,13 +133,9 @@ def case_key(level: str) -> Column:
     return _case_keys([level])[0]
 
 
-def _prune(facts: DataFrame, wanted: DataFrame, limit: int) -> DataFrame:
-    """Drop facts no request asks for, if the wanted keys are few enough to broadcast.
-
-    Beyond the limit most keys are wanted anyway and the facts go on whole.
-    """
-    keys = broadcast_if_small(wanted.select(*KEY).distinct(), limit)
-    return facts if keys is None else facts.join(keys, list(KEY), "left_semi")
+def _prune(facts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Facts that some request asks for; the join strategy follows from measured sizes."""
+    return facts.join(wanted.select(*KEY).distinct(), list(KEY), "left_semi")
 
 
 def sums_in_bounds(
@@ -184,7 +180,6 @@ def level_requests(cases: DataFrame, levels: Sequence[str] = LEVELS) -> DataFram
 
 def count_levels(
     requests: DataFrame, daily: DataFrame, levels: Sequence[str], measures: Sequence[str],
-    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """``requests`` with the measures of their key summed inside their bounds."""
     wanted = requests.select(*KEY, *BOUNDS).distinct()
@@ -194,17 +189,17 @@ def count_levels(
     facts = per_day.select("flight_date", *measures, F.explode(_fact_keys(levels)).alias("k")).select(
         *[F.col(f"k.{c}").alias(c) for c in KEY], "flight_date", *measures
     )
-    facts = _prune(facts, wanted, broadcast_rows)
+    facts = _prune(facts, wanted)
     facts = facts.groupBy(*KEY, "flight_date").agg(*[F.sum(m).alias(m) for m in measures])
     counted = sums_in_bounds(facts, wanted, KEY, measures)
     return requests.join(counted, [*KEY, *BOUNDS])
 
 
 def cohort_counts(
-    cases: DataFrame, daily: DataFrame, broadcast_rows: int = BROADCAST_ROWS
+    cases: DataFrame, daily: DataFrame
 ) -> DataFrame:
     """Size of all seven levels per case, as columns ``n_<level>``."""
-    counted = count_levels(level_requests(cases), daily, LEVELS, ["n"], broadcast_rows)
+    counted = count_levels(level_requests(cases), daily, LEVELS, ["n"])
     return counted.groupBy(*cases.columns).agg(
         *[F.max(F.when(F.col("level_index") == i, F.col("n"))).alias(f"n_{level}") for i, level in enumerate(LEVELS)]
     )
@@ -257,15 +252,13 @@ def _with_level(counted: DataFrame, index: Column) -> DataFrame:
 
 def select_cohorts(
     cases: DataFrame, daily: DataFrame, min_obs: int | Column = 30,
-    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """The one implementation of the fallback ladder: counts first, then the level."""
-    return materialize(choose_level(cohort_counts(cases, daily, broadcast_rows), min_obs))
+    return materialize(choose_level(cohort_counts(cases, daily), min_obs))
 
 
 def member_histograms(
     requests: DataFrame, daily: DataFrame, levels: Sequence[str] = LEVELS,
-    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """``key, bounds, delay, n`` of the requested cohorts; requests carry KEY and BOUNDS.
 
@@ -276,7 +269,7 @@ def member_histograms(
     facts = daily.select("flight_date", "delay", "n", F.explode(_fact_keys(levels)).alias("k")).select(
         *[F.col(f"k.{c}").alias(c) for c in KEY], "flight_date", "delay", "n"
     )
-    facts = _prune(facts, wanted, broadcast_rows)
+    facts = _prune(facts, wanted)
     facts = facts.groupBy(*KEY, "delay", "flight_date").agg(F.sum("n").alias("n"))
     delays = facts.select(*KEY, "delay").distinct()
     per_delay = wanted.join(delays, list(KEY))
@@ -284,7 +277,7 @@ def member_histograms(
 
 
 def status_probabilities(
-    cases: DataFrame, records: DataFrame, min_obs: int = 30, broadcast_rows: int = BROADCAST_ROWS
+    cases: DataFrame, records: DataFrame, min_obs: int = 30
 ) -> DataFrame:
     """Share of completed, cancelled and diverted records at the first sufficient of 4 levels."""
     measures = ["total", "completed", "cancelled", "diverted"]
@@ -297,7 +290,7 @@ def status_probabilities(
         F.count_if("cancelled").alias("cancelled"),
         F.count_if("diverted").alias("diverted"),
     )
-    counted = count_levels(level_requests(cases, STATUS_LEVELS), daily, STATUS_LEVELS, measures, broadcast_rows)
+    counted = count_levels(level_requests(cases, STATUS_LEVELS), daily, STATUS_LEVELS, measures)
     last = len(STATUS_LEVELS) - 1
     enough = (F.col("total") >= min_obs) | ((F.col("level_index") == last) & (F.col("total") > 0))
     best = F.min(F.when(enough, F.col("level_index")))

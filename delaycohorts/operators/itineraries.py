@@ -61,7 +61,8 @@ def _local(date: Column, minutes: Column, days: int = 0) -> Column:
 
 
 def _minutes_between(start: Column, end: Column) -> Column:
-    return F.timestamp_diff("MINUTE", start, end).cast("int")
+    """Whole minutes between two zone-free timestamps, whatever the session zone."""
+    return (end - start).cast("interval minute").cast("int")
 
 
 def first_leg_duration(df: DataFrame, airports: DataFrame) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from delaycohorts.functions import clock, codes
 from delaycohorts.operators.schedules import month_bins
-from delaycohorts.session import broadcast_if_small
 
 SEGMENT = ("origin", "destination", "crs_departure_minutes", "crs_arrival_minutes")
 
@@ -60,8 +59,7 @@ def lookup_segments(keys: DataFrame, records: DataFrame, detail: Sequence[str] =
         F.col("q_date").alias("flight_date"),
     ).distinct()
     key = ["reporting_carrier", "flight_number", "flight_date"]
-    small = broadcast_if_small(wanted)
-    part = records if small is None else records.join(small, key, "left_semi")
+    part = records.join(wanted, key, "left_semi")
     distinct = part.groupBy(*key, *SEGMENT, *detail).agg(F.count("*").alias("copies"))
     same = (
         (F.col("q_carrier") == F.col("reporting_carrier")) & (F.col("q_number") == F.col("flight_number"))

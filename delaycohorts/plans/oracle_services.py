@@ -12,7 +12,9 @@ ZONES = f"zones AS (SELECT code, tz FROM (VALUES {_values}) t(code, city, name,
 
 def utc(day: str, minutes: str, zone: str) -> str:
     local = f"(CAST({day} AS TIMESTAMP) + to_minutes(CAST({minutes} AS BIGINT)))"
-    return f"(({local} AT TIME ZONE {zone}) AT TIME ZONE 'UTC')"
+    late = f"(({local} AT TIME ZONE {zone}) AT TIME ZONE 'UTC')"
+    early = f"({late} - INTERVAL 1 HOUR)"  # in a repeated hour the earlier instant counts
+    return f"(CASE WHEN ({early} AT TIME ZONE 'UTC') AT TIME ZONE {zone} = {local} THEN {early} ELSE {late} END)"
 
 
 def timed(source: str, a: str = "origin", b: str = "connection") -> str:

@@ -1,15 +1,12 @@
-"""Session settings and the two size/lineage helpers every operator shares."""
+"""Session settings and the written intermediate that every operator shares."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# A broadcast side is proven to hold at most this many rows before it is hinted.
-BROADCAST_ROWS = 200_000
 
 
 def local_session(cores: int | str = "*", app: str = "delaycohorts") -> SparkSession:
@@ -34,6 +31,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster; a temporary one only if unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
+        if configured.startswith("file:") and spark.sparkContext.master.startswith(("yarn", "k8s", "spark://")):
+            warnings.warn(f"spark.checkpoint.dir is {configured}; it has to be a folder that all hosts share", stacklevel=2)
         return configured
     active = spark.sparkContext._jsc.sc().getCheckpointDir()
     if active.isDefined():
@@ -55,8 +54,3 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/delaycohorts/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame | None:
-    """The broadcast-hinted side when it provably has at most ``limit`` rows, else None."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else None

@@ -34,16 +34,9 @@ CARRIER_NAMES = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
-    """A given table. A scan that yields fewer splits than there are cores (one small file with
-    one row group) is spread out; a scan of a large table already has its splits and is left alone.
-    """
+    """A given table; how its scan is split is left to the session settings."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    df = df.select(*columns) if columns else df
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if name in SPREAD and df.rdd.getNumPartitions() < cores else df
-
-
-SPREAD = ("lineitem", "orders", "documents", "events")
+    return df.select(*columns) if columns else df
 
 
 def airports(spark: SparkSession) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -25,9 +26,23 @@ def require_columns(df: DataFrame, names: Iterable[str]) -> DataFrame:
 
 
 def read_raw(spark: SparkSession, paths: str | list[str], required: Iterable[str] = RAW_FIELDS) -> DataFrame:
-    """Monthly CSV files with every column as text plus ``source_file``."""
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(paths)
-    return require_columns(raw, required).withColumn("source_file", F.col("_metadata.file_name"))
+    """Monthly CSV files with every column as text plus ``source_file``.
+
+    Every file is read by its own header: files with equal headers are one scan, and the scans are
+    united by column name. A required column that any file lacks is an error.
+    """
+    plain = spark.read.option("header", True).option("inferSchema", False)
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file in sorted(plain.csv(paths).inputFiles()):
+        groups.setdefault(tuple(plain.csv(file).columns), []).append(file)
+    if not groups:
+        return require_columns(plain.csv(paths), required).withColumn("source_file", F.col("_metadata.file_name"))
+    parts = []
+    for header, files in groups.items():
+        schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
+        part = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(files)
+        parts.append(require_columns(part, required).withColumn("source_file", F.col("_metadata.file_name")))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def _archive_rows(fields: tuple[str, ...]):

@@ -80,8 +80,7 @@ def brute(rows, case, lookback_days):
     ]
 
 
-@pytest.mark.parametrize("broadcast_rows", [200_000, 0])
-def test_ladder_matches_brute_force(spark, broadcast_rows):
+def test_ladder_matches_brute_force(spark):
     rng = random.Random(7)
     day = lambda: d.date(2023, 1, 1) + d.timedelta(days=rng.randrange(700))
     # one route holds most of the rows
@@ -91,8 +90,8 @@ def test_ladder_matches_brute_force(spark, broadcast_rows):
     cases += [(98, "ZZ", "ATL", "SFO", d.date(2024, 6, 1), 600), (99, "ZZ", "ATL", "SFO", d.date(2022, 1, 1), 600)]
     daily = C.daily_delay_counts(history(spark, rows))
     bounded = C.with_bounds(spark.createDataFrame(cases, CASE), 12)
-    selected = C.select_cohorts(bounded, daily, 30, broadcast_rows)
-    members = C.member_histograms(selected, daily, broadcast_rows=broadcast_rows)
+    selected = C.select_cohorts(bounded, daily, 30)
+    members = C.member_histograms(selected, daily)
     scored = D.evaluate_cases(selected, members, case_columns=["case_id"], actual=F.lit(5.0), layover=F.lit(70))
     got = {r.case_id: r for r in selected.collect()}
     scores = {r.case_id: r for r in scored.collect()}

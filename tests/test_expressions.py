@@ -76,3 +76,15 @@ def test_secrets_and_responses(spark):
     c = lambda status, body: text.classify_response(F.lit(status), F.lit(body))
     assert one(spark, c(403, '{"code":"quota_exceeded"}'), c(403, "nope"), c(429, ""), c(204, ""), c(200, "[]")) == ("quota", "other_error", "rate_limit", "no_match", "ok")
     assert one(spark, text.redact(F.lit("a secret b secret"), ["secret"])) == ("a [REDACTED] b [REDACTED]",)
+
+
+def test_minutes_between_ignores_the_session_zone(spark):
+    from delaycohorts.operators.itineraries import _minutes_between
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.sql("select timestamp_ntz'2000-04-02 01:30:00' a, timestamp_ntz'2000-04-02 03:30:59' b")
+        assert df.select(_minutes_between(df.a, df.b)).first()[0] == 120
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

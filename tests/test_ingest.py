@@ -61,3 +61,13 @@ def test_incremental(spark, tmp_path):
     assert spark.read.parquet(f"{out}/flight_records").count() == 2
     counters = {r.source_file: r.invalid_field_rows for r in spark.read.parquet(f"{out}/quality").collect()}
     assert counters == {"m1.csv": 1, "m2.csv": 0}
+
+
+def test_read_raw_follows_each_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Origin,Dest\nJFK,BOS\n")
+    (tmp_path / "b.csv").write_text("Dest,Origin,Extra\nATL,ORD,1\n")
+    rows = files.read_raw(spark, str(tmp_path), ("Origin", "Dest")).collect()
+    assert {(r["source_file"], r["Origin"], r["Dest"]) for r in rows} == {("a.csv", "JFK", "BOS"), ("b.csv", "ORD", "ATL")}
+    (tmp_path / "c.csv").write_text("Origin,Other\nJFK,BOS\n")
+    with pytest.raises(ValueError, match="Dest"):
+        files.read_raw(spark, str(tmp_path), ("Origin", "Dest"))
