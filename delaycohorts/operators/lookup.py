@@ -22,12 +22,12 @@ def check_keys(keys: DataFrame) -> DataFrame:
     bad_code = lambda c: F.col(c).isNotNull() & ~code(c).rlike(r"\A\p{L}{3}\z")
     minute = F.col("departure_minutes")
     reason = (
-        F.when(F.coalesce(carrier, F.lit("")) == "", "carrier and flight_number are required")
-        .when(F.coalesce(number, F.lit("")) == "", "carrier and flight_number are required")
-        .when(day.isNull(), "flight_date must be ISO YYYY-MM-DD")
-        .when(bad_code("origin"), "origin must be a three-letter airport code")
-        .when(bad_code("destination"), "destination must be a three-letter airport code")
-        .when(minute.isNotNull() & ~minute.between(0, 1439), "departure minutes must be between 0 and 1439")
+        F.when(F.coalesce(carrier, F.lit("")) == "", "carrier_missing")
+        .when(F.coalesce(number, F.lit("")) == "", "number_missing")
+        .when(day.isNull(), "date_format")
+        .when(bad_code("origin"), "origin_code")
+        .when(bad_code("destination"), "destination_code")
+        .when(minute.isNotNull() & ~minute.between(0, 1439), "minutes_range")
     )
     return keys.select(
         "lookup_id", carrier.alias("q_carrier"), number.alias("q_number"), day.alias("q_date"),
@@ -36,6 +36,11 @@ def check_keys(keys: DataFrame) -> DataFrame:
     )
 
 
+def rejected(keys: DataFrame) -> DataFrame:
+    """Lookups that cannot be answered, each with its reason."""
+    return check_keys(keys).where("reason is not null").select("lookup_id", "reason")
+
+
 def _optional(wanted: str, actual: str) -> Column:
     return F.col(wanted).isNull() | (F.col(wanted) == F.col(actual))
 

@@ -103,6 +103,14 @@ flown_in AS (SELECT request_id, carrier, carrier AS carrier_text, origin, connec
             {ok('least(z, he - 1)', 'effective_end')}, {ok('he', 'cutoff_exclusive')},
             CASE WHEN lv IS NOT NULL AND travel_date - z > 90 THEN 'Historical data ends on ' || z || ', ' || (travel_date - z) || ' days before the requested prediction date.' END AS freshness_warning
             FROM judged j LEFT JOIN (SELECT case_id, lv, cohort_level, cohort_size, hs, he FROM sel) s ON s.case_id = j.request_id LEFT JOIN est e ON e.case_id = j.request_id, span""",
+        "lookup_rejections": it + """SELECT lookup_id, reason FROM (
+            SELECT lookup_id, CASE WHEN coalesce(trim(c), '') = '' THEN 'carrier_missing' WHEN coalesce(trim(f), '') = '' THEN 'number_missing'
+              WHEN NOT regexp_full_match(d, '[0-9]{4}-[0-9]{2}-[0-9]{2}') OR TRY_CAST(d AS DATE) IS NULL THEN 'date_format' WHEN NOT regexp_full_match(o, '[A-Z]{3}') THEN 'origin_code'
+              WHEN NOT regexp_full_match(z, '[A-Z]{3}') THEN 'destination_code' WHEN m NOT BETWEEN 0 AND 1439 THEN 'minutes_range' END AS reason
+            FROM (SELECT request_id AS lookup_id, CASE WHEN request_id % 101 = 1 THEN '  ' ELSE carrier END AS c, CASE WHEN request_id % 103 <> 2 THEN CAST(request_id % 12 + 1 AS VARCHAR) END AS f,
+              CASE WHEN request_id % 107 = 3 THEN replace(CAST(travel_date AS VARCHAR), '-', '/') WHEN request_id % 107 = 4 THEN substr(CAST(travel_date AS VARCHAR), 1, 8) || '32' ELSE CAST(travel_date AS VARCHAR) END AS d,
+              CASE WHEN request_id % 109 = 4 THEN 'J1K' WHEN request_id % 3 = 0 THEN origin END AS o, CASE WHEN request_id % 113 = 5 THEN 'BOST' WHEN request_id % 17 = 0 THEN connection END AS z,
+              CASE WHEN request_id % 127 = 6 THEN request_id % 3000 END AS m FROM itins)) WHERE reason IS NOT NULL""",
         "compare_datasets": it + """SELECT count(*) AS cases, 0.0::DOUBLE AS maximum_probability_difference, 0.0::DOUBLE AS maximum_p50_difference, 0.0::DOUBLE AS maximum_p75_difference, 0.0::DOUBLE AS maximum_p90_difference,
             0::BIGINT AS cohort_mismatches, 0::BIGINT AS sample_size_mismatches, 0::BIGINT AS status_mismatches, true AS exact_match FROM itins""",
         "representative_itineraries": w(FLIGHTS, HIST) + f"""SELECT id AS request_id, reporting_carrier AS carrier, origin, destination AS connection, 'ZZZ' AS destination,

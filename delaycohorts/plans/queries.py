@@ -701,6 +701,12 @@ def compare_datasets(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(ST.compare_datasets(history, CL.serving_projection(history), dt.requests_text(spark, sf), dt.airports(spark)))
 
 
+@query
+def lookup_rejections(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests that a lookup turns down, with the reason."""
+    return L.rejected(dt.careless_lookup_keys(spark, sf))
+
+
 @query
 def representative_itineraries(spark: SparkSession, sf: str) -> DataFrame:
     return S.representative_itineraries(_history(spark, sf), 50, 2000, min_obs=5)

@@ -254,6 +254,18 @@ def lookup_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def careless_lookup_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lookup requests with missing, malformed and out-of-range fields among them."""
+    k = F.col("lookup_id")
+    spoil = lambda every, rest, value, column: F.when(k % every == rest, F.lit(value)).otherwise(F.col(column))
+    return lookup_keys(spark, sf_dir).withColumns({
+        "carrier": spoil(101, 1, "  ", "carrier"), "flight_number": spoil(103, 2, None, "flight_number"),
+        "flight_date": F.when(k % 107 == 3, F.replace("flight_date", F.lit("-"), F.lit("/"))).when(k % 107 == 4, F.concat(F.substring("flight_date", 1, 8), F.lit("32"))).otherwise(F.col("flight_date")),
+        "origin": spoil(109, 4, "J1K", "origin"), "destination": spoil(113, 5, "BOST", "destination"),
+        "departure_minutes": F.when(k % 127 == 6, (k % 3000).cast("int")),
+    })
+
+
 def response_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A provider response log made of the event stream."""
     e = table(spark, sf_dir, "events")
