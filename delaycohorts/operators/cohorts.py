@@ -195,14 +195,37 @@ def count_levels(
     return requests.join(counted, [*KEY, *BOUNDS])
 
 
+def _profiled(cases: DataFrame, levels: Sequence[str]) -> DataFrame:
+    """``cases`` plus ``_profile``: all that decides their keys at these levels, and the bounds."""
+    parts = {"month": F.month("prediction_date"), "dow": F.weekday("prediction_date"), "bucket": F.expr(CASE_BUCKET)}
+    used = dict.fromkeys(name for level in levels for name in _USES[level])
+    return cases.withColumn("_profile", F.struct(*[parts.get(c, F.col(c)).alias(c) for c in used], *BOUNDS))
+
+
+def count_profiles(cases: DataFrame, daily: DataFrame, levels: Sequence[str], measures: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """``cases`` with their profile, and one row per distinct profile and level with its measures.
+
+    Cases of one profile have equal keys and bounds, so only profiles go up the ladder. A broad key
+    that half of all cases ask for meets as many rows as there are profiles, not cases.
+    """
+    marked = _profiled(cases, levels)
+    day, minute = F.min("prediction_date").alias("prediction_date"), F.min("departure_minutes").alias("departure_minutes")
+    heads = marked.groupBy("_profile").agg(day, minute)
+    places = ("carrier", "origin", "destination", *BOUNDS)
+    asked = heads.select("_profile", *[F.col(f"_profile.{c}").alias(c) for c in places], "prediction_date", "departure_minutes")
+    requests = level_requests(asked, levels).select("_profile", "level_index", *KEY, *BOUNDS)
+    return marked, count_levels(requests, daily, levels, measures)
+
+
 def cohort_counts(
     cases: DataFrame, daily: DataFrame
 ) -> DataFrame:
     """Size of all seven levels per case, as columns ``n_<level>``."""
-    counted = count_levels(level_requests(cases), daily, LEVELS, ["n"])
-    return counted.groupBy(*cases.columns).agg(
+    marked, counted = count_profiles(cases, daily, LEVELS, ["n"])
+    sizes = counted.groupBy("_profile").agg(
         *[F.max(F.when(F.col("level_index") == i, F.col("n"))).alias(f"n_{level}") for i, level in enumerate(LEVELS)]
     )
+    return marked.join(sizes, "_profile").drop("_profile")
 
 
 def _pick(sizes: list[Column], wanted: list[Column]) -> Column:
@@ -290,13 +313,14 @@ def status_probabilities(
         F.count_if("cancelled").alias("cancelled"),
         F.count_if("diverted").alias("diverted"),
     )
-    counted = count_levels(level_requests(cases, STATUS_LEVELS), daily, STATUS_LEVELS, measures)
+    marked, counted = count_profiles(cases, daily, STATUS_LEVELS, measures)
     last = len(STATUS_LEVELS) - 1
     enough = (F.col("total") >= min_obs) | ((F.col("level_index") == last) & (F.col("total") > 0))
     best = F.min(F.when(enough, F.col("level_index")))
     at = lambda i, c: F.max(F.when(F.col("level_index") == i, F.col(c)))
     arrays = [F.array(*[at(i, m) for i in range(len(STATUS_LEVELS))]).alias(f"_{m}") for m in measures]
-    wide = counted.groupBy(*cases.columns).agg(best.alias("_best"), *arrays).where("_best is not null")
+    shares = counted.groupBy("_profile").agg(best.alias("_best"), *arrays).where("_best is not null")
+    wide = marked.join(shares, "_profile")
     value = lambda m: F.col(f"_{m}")[F.col("_best")]
     names = F.array(*[F.lit(level) for level in STATUS_LEVELS])
     return wide.select(

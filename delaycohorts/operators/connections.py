@@ -40,21 +40,21 @@ def connection_options(
     """Adds ``layover_minutes``, ``out_destination``, ``out_minutes`` to every case.
 
     Same-day departures from the arrival airport 45 to 180 minutes later, the first in hash
-    order. Each case looks up at most 136 minutes by equality, so no pairs pile up.
+    order. Departures of an airport, day and hour are one row with at most 60 entries; a case asks
+    at most four such hours.
     """
-    options = outbound_by_minute(records, seed)
+    minute = F.struct(F.col("best.h").alias("h"), "out_minutes", F.col("best.out_destination").alias("out_destination"))
+    hours = outbound_by_minute(records, seed).groupBy("out_date", "out_airport", F.floor(F.col("out_minutes") / 60).alias("out_hour")).agg(
+        F.collect_list(minute).alias("options")
+    )
     base = cases.drop("layover_minutes", "out_destination", "out_minutes")
+    first, last = F.col("arrival_minutes") + MIN_LAYOVER, F.col("arrival_minutes") + MAX_LAYOVER
     wanted = base.select(
-        "case_id", F.col("prediction_date").alias("out_date"), F.col("destination").alias("out_airport"),
-        F.col("arrival_minutes"),
-        F.explode(F.sequence(F.col("arrival_minutes") + MIN_LAYOVER, F.col("arrival_minutes") + MAX_LAYOVER)).alias("out_minutes"),
-    ).where("out_minutes < 1440")
-    hit = wanted.join(options, ["out_date", "out_airport", "out_minutes"]).groupBy("case_id").agg(
-        F.min(F.struct(
-            F.col("best.h").alias("h"), F.col("out_minutes"), F.col("best.out_destination").alias("out_destination"),
-            (F.col("out_minutes") - F.col("arrival_minutes")).alias("layover_minutes"),
-        )).alias("pick")
-    )
+        "case_id", F.col("prediction_date").alias("out_date"), F.col("destination").alias("out_airport"), first.alias("first"), last.alias("last"),
+        F.explode(F.sequence(F.floor(first / 60), F.floor(last / 60))).alias("out_hour"),
+    ).where("out_hour < 24")
+    fits = F.filter("options", lambda o: o["out_minutes"].between(F.col("first"), F.col("last")))
+    hit = wanted.join(hours, ["out_date", "out_airport", "out_hour"]).groupBy("case_id").agg(F.min(F.array_min(fits)).alias("pick"))
     if default == "hashed":
         key = [F.col("prediction_date").cast("string"), F.col("carrier"), F.col("origin"), F.col("destination")]
         fallback = hashed_default_layover(seed, key)
@@ -62,7 +62,7 @@ def connection_options(
         fallback = F.lit(DEFAULT_LAYOVER)
     return base.join(hit, "case_id", "left").select(
         *base.columns,
-        F.coalesce(F.col("pick.layover_minutes"), fallback).cast("int").alias("layover_minutes"),
+        F.coalesce(F.col("pick.out_minutes") - F.col("arrival_minutes"), fallback).cast("int").alias("layover_minutes"),
         F.coalesce(F.col("pick.out_destination"), F.lit("UNKNOWN")).alias("out_destination"),
         F.coalesce(F.col("pick.out_minutes"), ((F.col("arrival_minutes") + fallback) % 1440).cast("int")).alias("out_minutes"),
         F.col("pick").isNotNull().alias("has_outbound"),

@@ -57,27 +57,31 @@ def evaluate_cases(
 ) -> DataFrame:
     """Per case: quantiles, and (if asked) connection probability and CRPS.
 
-    Quantiles and the pair term are computed once per distinct cohort, then joined.
+    Quantiles and the pair term are computed once per distinct cohort, probability and distance once
+    per distinct cohort, layover and actual delay. Cases meet the finished values by all of these, so
+    that cases of one broad cohort are spread over its layovers or delays.
     """
     v = F.col(value)
     stats = quantiles(members, keys, qs, value)
     if actual is not None:
         stats = stats.join(spread(members, keys, value), list(keys))
-    head = selected.join(stats, list(keys))
     names = [quantile_name(q) for q in qs]
-    if layover is None and actual is None:
-        return head.select(*case_columns, *names, "cohort_n")
-    carried = [*case_columns, *names, "cohort_n"] + (["spread"] if actual is not None else [])
-    rows = head.join(members, list(keys))
+    asked = {name: c for name, c in (("_layover", layover), ("_actual", actual)) if c is not None}
+    if not asked:
+        return selected.join(stats, list(keys)).select(*case_columns, *names, "cohort_n")
+    marked = selected.withColumns({**asked, "_asked": F.struct(*[c.alias(n) for n, c in asked.items()])})
+    wanted = marked.select(*keys, "_asked", *asked).distinct()
     aggs = []
     if layover is not None:
-        aggs.append((F.sum(F.col("n") * transfer.success(layover, v)) / F.sum("n")).alias("probability"))
+        aggs.append((F.sum(F.col("n") * transfer.success(F.col("_layover"), v)) / F.sum("n")).alias("probability"))
     if actual is not None:
-        aggs.append((F.sum(F.col("n") * F.abs(v - actual)) / F.sum("n")).alias("_first"))
-    out = rows.groupBy(*carried).agg(*aggs)
+        aggs.append((F.sum(F.col("n") * F.abs(v - F.col("_actual"))) / F.sum("n")).alias("_first"))
+    found = wanted.join(members, list(keys)).groupBy(*keys, "_asked").agg(*aggs).join(stats, list(keys))
+    out = marked.join(found, [*keys, "_asked"])
     if actual is not None:
-        out = out.withColumn("crps", F.col("_first") - F.col("spread")).drop("_first", "spread")
-    return out
+        out = out.withColumn("crps", F.col("_first") - F.col("spread"))
+    results = [*(["probability"] if layover is not None else []), *(["crps"] if actual is not None else [])]
+    return out.select(*case_columns, *names, "cohort_n", *results)
 
 
 def with_runs(hist: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
