@@ -36,14 +36,14 @@ def one_line(text: Column) -> Column:
 
 
 def safe_metadata(text: Column, limit: int = 200) -> Column:
-    """Bounded log value, null when blank or secret-bearing."""
-    short = F.substring(one_line(text), 1, limit)
-    return F.when((short != "") & ~looks_secret(short), short)
+    """Bounded log value, null when blank or secret-bearing anywhere in the whole text."""
+    line = one_line(text)
+    return F.when((line != "") & ~looks_secret(line), F.substring(line, 1, limit))
 
 
 def safe_message(text: Column, limit: int = 160) -> Column:
-    short = F.substring(one_line(text), 1, limit)
-    return F.when(looks_secret(short), REDACTED).otherwise(F.nullif(short, F.lit("")))
+    line = one_line(text)
+    return F.when(looks_secret(line), REDACTED).otherwise(F.nullif(F.substring(line, 1, limit), F.lit("")))
 
 
 def redact(text: Column, secrets: list[str]) -> Column:

@@ -123,6 +123,21 @@ def ingestion() -> dict[str, str]:
     }
 
 
+def parity() -> str:
+    """The choice at a minimum of 30 against those at 30 and 60, levels and quantiles."""
+    ps = (.5, .75, .9, .95)
+    found = lambda m: (
+        o.chosen("counts", f"sel{m}", o.pick(str(m))), o.members(f"sel{m}", f"mem{m}"),
+        f"q{m} AS (SELECT case_id, {', '.join(f'quantile_cont(delay, {p}) AS v{i}' for i, p in enumerate(ps))} FROM mem{m} GROUP BY 1)",
+    )
+    gap = "greatest(" + ", ".join(f"abs(a.v{i} - b.v{i})" for i in range(len(ps))) + ")"
+    rows = [
+        f"SELECT CAST({m} AS INT) AS eager_minimum, count(*) AS sample_count, {r(f'max({gap})', 'maximum_quantile_difference')}, count(*) FILTER (s.lv <> t.lv) AS level_mismatches "
+        f"FROM sel30 s JOIN q30 a USING (case_id) JOIN sel{m} t USING (case_id) JOIN q{m} b USING (case_id)" for m in (30, 60)
+    ]
+    return w(*BASE, o.ladder(), *found(30), *found(60)) + " UNION ALL ".join(rows)
+
+
 def cohorts() -> dict[str, str]:
     full = w(*FULL)
     mem = w(*FULL, o.members())
@@ -148,7 +163,9 @@ def cohorts() -> dict[str, str]:
         "combined_probability": w(*CONNECTIONS) + f"SELECT case_id, status_level, {r('conditional_probability', 'conditional_probability')}, {r('probability', 'combined_probability')} FROM conn",
         "connection_options": w(FLIGHTS, ITINS, o.CASES, o.options("cases", "flights", "hashed", name="routed_itins")) + "SELECT case_id, layover_minutes, out_destination, out_minutes, has_outbound FROM routed_itins",
         "replay_outcome": w(FLIGHTS, ONE, o.RECORD_CASES, o.options("cases", "flights", "constant")) + f"SELECT case_id, layover_minutes, {o.OUTCOME}::DOUBLE AS outcome FROM routed",
-        "candidate_parity": full + "SELECT count(*) AS sample_count, 0.0::DOUBLE AS maximum_quantile_difference, 0::BIGINT AS level_mismatches FROM sel",
+        "candidate_parity": parity(),
+        "scenario_order": w(ITINS) + f"SELECT count(*) AS rows, (count(*) FILTER ({' OR '.join(f'p{a} < p{b}' for a, b in ((0, 15), (15, 30), (30, 45)))}))::BIGINT AS violations FROM (SELECT "
+            + ", ".join(f"{tri(f'layover_minutes - 35 - {d}')} AS p{d}" for d in (0, 15, 30, 45)) + " FROM itins)",
     }
     layovers = (20, 25, 30, 45, 60, 75, 90, 120)
     curve = ", ".join(f"avg({tri(f'{m} - 35 - delay')}) AS y{m}" for m in layovers)

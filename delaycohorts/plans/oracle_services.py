@@ -83,6 +83,19 @@ def clock(m: str) -> str:
     return f"lpad(CAST({m} // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST({m} % 60 AS VARCHAR), 2, '0')"
 
 
+def compared() -> str:
+    """Both histories scored on their own, then compared request by request."""
+    fewer = HIST.replace("hist AS (", "hist_all AS (", 1) + ",\nhist AS (SELECT * FROM hist_all WHERE reporting_carrier <> 'DL')"
+    side = lambda hist: w(FLIGHTS, hist, ITINS, ZONES, timed("itins"), CHECKED, *scored("judged")) + """SELECT j.request_id, lv IS NOT NULL AS ok, lv, cohort_size, probability, median_minutes, p75_minutes, p90_minutes
+        FROM judged j LEFT JOIN (SELECT case_id, lv, cohort_size FROM sel) s ON s.case_id = j.request_id LEFT JOIN est e ON e.case_id = j.request_id"""
+    gap = lambda c, n: r(f"coalesce(max(abs(a.{c} - b.{c})), 0)::DOUBLE", n, 6)
+    differs = lambda c, n: f"count(*) FILTER (a.{c} IS DISTINCT FROM b.{c}) AS {n}"
+    return f"""WITH a AS ({side(HIST)}), b AS ({side(fewer)}),
+    d AS (SELECT count(*) AS cases, {gap('probability', 'maximum_probability_difference')}, {gap('median_minutes', 'maximum_p50_difference')}, {gap('p75_minutes', 'maximum_p75_difference')}, {gap('p90_minutes', 'maximum_p90_difference')},
+      {differs('lv', 'cohort_mismatches')}, {differs('cohort_size', 'sample_size_mismatches')}, {differs('ok', 'status_mismatches')} FROM a JOIN b USING (request_id))
+    SELECT *, maximum_probability_difference = 0 AND maximum_p50_difference = 0 AND maximum_p75_difference = 0 AND maximum_p90_difference = 0 AND cohort_mismatches = 0 AND sample_size_mismatches = 0 AND status_mismatches = 0 AS exact_match FROM d"""
+
+
 def itineraries() -> dict[str, str]:
     it = w(ITINS)
     scenarios = ", ".join(r(f"CASE WHEN lv IS NOT NULL THEN ({tri(f'j.layover_minutes - 35 - {d}')})::DOUBLE END", n) for d, n in ((0, "on_time"), (15, "delay_15"), (30, "delay_30"), (45, "delay_45")))
@@ -111,8 +124,7 @@ flown_in AS (SELECT request_id, carrier, carrier AS carrier_text, origin, connec
               CASE WHEN request_id % 107 = 3 THEN replace(CAST(travel_date AS VARCHAR), '-', '/') WHEN request_id % 107 = 4 THEN substr(CAST(travel_date AS VARCHAR), 1, 8) || '32' ELSE CAST(travel_date AS VARCHAR) END AS d,
               CASE WHEN request_id % 109 = 4 THEN 'J1K' WHEN request_id % 3 = 0 THEN origin END AS o, CASE WHEN request_id % 113 = 5 THEN 'BOST' WHEN request_id % 17 = 0 THEN connection END AS z,
               CASE WHEN request_id % 127 = 6 THEN request_id % 3000 END AS m FROM itins)) WHERE reason IS NOT NULL""",
-        "compare_datasets": it + """SELECT count(*) AS cases, 0.0::DOUBLE AS maximum_probability_difference, 0.0::DOUBLE AS maximum_p50_difference, 0.0::DOUBLE AS maximum_p75_difference, 0.0::DOUBLE AS maximum_p90_difference,
-            0::BIGINT AS cohort_mismatches, 0::BIGINT AS sample_size_mismatches, 0::BIGINT AS status_mismatches, true AS exact_match FROM itins""",
+        "compare_datasets": compared(),
         "representative_itineraries": w(FLIGHTS, HIST) + f"""SELECT id AS request_id, reporting_carrier AS carrier, origin, destination AS connection, 'ZZZ' AS destination,
             CAST((SELECT min(d) FROM generate_series(make_date(2000, month, 1)::TIMESTAMP, make_date(2000, month, 7)::TIMESTAMP, INTERVAL 1 DAY) t(d) WHERE isodow(d) = day_of_week) AS DATE) AS travel_date,
             CASE departure_time_bucket WHEN 'overnight' THEN '03:00' WHEN 'morning' THEN '09:00' WHEN 'afternoon' THEN '15:00' ELSE '19:00' END AS first_departure_time,

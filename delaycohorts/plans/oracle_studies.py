@@ -166,6 +166,7 @@ def studies() -> dict[str, str]:
         "tail_candidates": w(FLIGHTS, HIST, _sampled(150), *_tails(), tail_rows) + f"""SELECT case_id, candidate, CASE WHEN candidate = 'recent_tail_augmentation' THEN cohort_level || '+recent_' || near_level ELSE cohort_level END AS cohort_level,
             cohort_size::BIGINT AS cohort_size, p50, p75, p90, p95, {r('crps', 'crps', 6)}, {r('share', 'recent_severe_share', 6)} FROM tq JOIN tc USING (case_id, candidate) JOIN level USING (case_id)""",
         "blend_cohorts": w(FLIGHTS, HIST, _sampled(150), o.ladder(), *_blend()) + f"SELECT case_id, blend_label, {r('any_value(specific_weight)', 'specific_weight', 6)}, {q(.5, 'p50', 'v', 6)}, {q(.75, 'p75', 'v', 6)}, {q(.9, 'p90', 'v', 6)}, count(*) AS cohort_n FROM blended JOIN labels USING (case_id) GROUP BY 1, 2",
+        "material_jump_carriers": "WITH " + b + " SELECT carrier, count(*) AS cases FROM edge WHERE disp >= 2.0 GROUP BY 1",
         "boundary_rows": "WITH " + b + " SELECT case_id, test_year, carrier, origin, destination, prediction_date, layover_minutes, specific_n, production_level, production_n, broader_level, broader_n, "
             + ", ".join(r(f"{x}_{m}", f"{x}_{m}") for x in ("specific", "production", "broader") for m in ("median", "p75", "p90", "probability")) + f", {r('disp', 'production_displacement_pp')}, {r('contr', 'boundary_contrast_pp')} FROM edge",
         "boundary_summary": "WITH " + b + f""" SELECT count(*) AS case_count, {pp('disp', .5, 'displacement_median')}, {pp('disp', .9, 'displacement_p90')}, {pp('disp', .95, 'displacement_p95')}, {r('max(disp)', 'displacement_maximum')},

@@ -406,21 +406,27 @@ def level_of(key_text: Column) -> Column:
     return F.substring_index(key_text, "|", 1)
 
 
-def candidate_parity(cases: DataFrame, daily: DataFrame, qs=(0.5, 0.75, 0.9, 0.95), min_obs: int = 30) -> DataFrame:
-    """Counts-first choice against the path that fetches every level: they must agree exactly."""
+def candidate_parity(
+    cases: DataFrame, daily: DataFrame, qs=(0.5, 0.75, 0.9, 0.95), min_obs: int = 30, eager_minimums: Sequence[int] = (30,),
+) -> DataFrame:
+    """Counts-first choice against the path that fetches every level, one row per minimum of the latter.
+
+    With equal minimums both must agree exactly; another one shows what a disagreement looks like.
+    """
+    minimums = F.explode(F.array(*[F.lit(m) for m in eager_minimums])).alias("eager_minimum")
     lazy_sel = C.select_cohorts(cases, daily, min_obs)
     lazy = D.evaluate_cases(lazy_sel, C.member_histograms(lazy_sel, daily), case_columns=["case_id", "cohort_level"], qs=qs)
-    requests = materialize(C.level_requests(cases))
+    requests = materialize(C.level_requests(cases).select("case_id", "level_index", *C.KEY, *C.BOUNDS))
     members = C.member_histograms(requests, daily)
     sized = D.quantiles(members, [*C.KEY, *C.BOUNDS], qs)
     names = [D.quantile_name(q) for q in qs]
-    enough = (F.col("cohort_n") >= min_obs) | (F.col("level_index") == len(C.LEVELS) - 1)
-    best = requests.join(sized, [*C.KEY, *C.BOUNDS]).where(enough).groupBy("case_id").agg(
+    enough = (F.col("cohort_n") >= F.col("eager_minimum")) | (F.col("level_index") == len(C.LEVELS) - 1)
+    best = requests.join(sized, [*C.KEY, *C.BOUNDS]).select("*", minimums).where(enough).groupBy("case_id", "eager_minimum").agg(
         F.min(F.struct("level_index", level_of(F.col("k_text")).alias("level"), *names)).alias("a")
     )
-    both = lazy.join(best, "case_id", "full_outer")
+    both = lazy.select("*", minimums).join(best, ["case_id", "eager_minimum"], "full_outer")
     gap = F.greatest(*[F.abs(F.col(n) - F.col(f"a.{n}")) for n in names])
-    return both.agg(
+    return both.groupBy("eager_minimum").agg(
         F.count("*").cast("bigint").alias("sample_count"),
         F.coalesce(F.max(gap), F.lit(0.0)).alias("maximum_quantile_difference"),
         F.count_if(~F.col("cohort_level").eqNullSafe(F.col("a.level"))).cast("bigint").alias("level_mismatches"),
