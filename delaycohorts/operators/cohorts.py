@@ -217,6 +217,17 @@ def count_profiles(cases: DataFrame, daily: DataFrame, levels: Sequence[str], me
     return marked, count_levels(requests, daily, levels, measures)
 
 
+def profile_heads(cases: DataFrame, levels: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """``case_id`` with ``head_id``, the smallest case of its profile, and the heads as cases.
+
+    What depends on keys and bounds alone is computed for the heads; every case reads it from its head.
+    """
+    marked = _profiled(cases, levels)
+    heads = marked.groupBy("_profile").agg(F.min_by(F.struct(*cases.columns), "case_id").alias("_head"))
+    links = marked.select("case_id", "_profile").join(heads.select("_profile", F.col("_head.case_id").alias("head_id")), "_profile")
+    return links.select("case_id", "head_id"), heads.select("_head.*")
+
+
 def cohort_counts(
     cases: DataFrame, daily: DataFrame
 ) -> DataFrame:

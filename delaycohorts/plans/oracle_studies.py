@@ -153,7 +153,7 @@ def studies() -> dict[str, str]:
     sens = lambda label, v: f"SELECT '{label}' AS treatment, {q(.5, 'median', v)}, {q(.75, 'p75', v)}, {q(.9, 'p90', v)}, " + ", ".join(r(f"avg({tri(f'{m} - 35 - {v}')})", f"probability_{m}") for m in (45, 85, 120)) + " FROM clipped"
     tail_rows = f"""level AS (SELECT s.case_id, s.cohort_level, s.cohort_size, s.actual, n.cohort_level AS near_level, share FROM sel24 s JOIN sel6 n USING (case_id) LEFT JOIN (SELECT case_id, avg(CASE WHEN v > 30 THEN 1.0 ELSE 0.0 END) AS share FROM m_near GROUP BY 1) USING (case_id)),
       pooled AS (SELECT case_id, candidate, v, actual FROM pool JOIN level USING (case_id)),
-      tq AS (SELECT case_id, candidate, {', '.join(q(p, f'p{round(p * 100)}', 'v', 6) for p in (.5, .75, .9, .95))} FROM pooled GROUP BY 1, 2), tc AS ({o.crps_sql('pooled', 'v', 'case_id, candidate', 'actual')})"""
+      tq AS (SELECT case_id, candidate, {', '.join(q(p, f'p{round(p * 100)}', 'v') for p in (.5, .75, .9, .95))} FROM pooled GROUP BY 1, 2), tc AS ({o.crps_sql('pooled', 'v', 'case_id, candidate', 'actual')})"""
     pool_keys = "reporting_carrier, origin, destination"
     b = _boundary()
     pp = lambda c, p, n, cond="": r(f"quantile_cont({c}, {p}){cond}", n)
@@ -163,9 +163,9 @@ def studies() -> dict[str, str]:
             + sens("all_retained", "raw") + " UNION ALL " + sens("winsorized_0.1_99.9", "cut"),
         "tail_pool": w(FLIGHTS, HIST, f"center AS (SELECT {pool_keys}, {delays} AS v FROM hist)", f"source AS (SELECT c.reporting_carrier, origin, destination, {delays} AS v FROM hist JOIN (SELECT DISTINCT {pool_keys} FROM hist) c USING (origin, destination))",
             _pool_sql("center", "source", pool_keys, "p", "true", 100)) + f"SELECT {pool_keys}, count(*) AS n, {r('avg(v)', 'mean', 6)}, {r('max(v)', 'maximum', 6)}, {q(.9, 'p90', 'v', 6)} FROM p GROUP BY ALL",
-        "tail_candidates": w(FLIGHTS, HIST, _sampled(150), *_tails(), tail_rows) + f"""SELECT case_id, candidate, CASE WHEN candidate = 'recent_tail_augmentation' THEN cohort_level || '+recent_' || near_level ELSE cohort_level END AS cohort_level,
-            cohort_size::BIGINT AS cohort_size, p50, p75, p90, p95, {r('crps', 'crps', 6)}, {r('share', 'recent_severe_share', 6)} FROM tq JOIN tc USING (case_id, candidate) JOIN level USING (case_id)""",
-        "blend_cohorts": w(FLIGHTS, HIST, _sampled(150), o.ladder(), *_blend()) + f"SELECT case_id, blend_label, {r('any_value(specific_weight)', 'specific_weight', 6)}, {q(.5, 'p50', 'v', 6)}, {q(.75, 'p75', 'v', 6)}, {q(.9, 'p90', 'v', 6)}, count(*) AS cohort_n FROM blended JOIN labels USING (case_id) GROUP BY 1, 2",
+        "tail_candidates": w(FLIGHTS, HIST, o.REPLAY_CASES, *_tails(), tail_rows) + f"""SELECT case_id, candidate, CASE WHEN candidate = 'recent_tail_augmentation' THEN cohort_level || '+recent_' || near_level ELSE cohort_level END AS cohort_level,
+            cohort_size::BIGINT AS cohort_size, p50, p75, p90, p95, {r('crps', 'crps')}, {r('share', 'recent_severe_share')} FROM tq JOIN tc USING (case_id, candidate) JOIN level USING (case_id)""",
+        "blend_cohorts": w(FLIGHTS, HIST, o.REPLAY_CASES, o.ladder(), *_blend()) + f"SELECT case_id, blend_label, {r('any_value(specific_weight)', 'specific_weight', 6)}, {q(.5, 'p50', 'v', 6)}, {q(.75, 'p75', 'v', 6)}, {q(.9, 'p90', 'v', 6)}, count(*) AS cohort_n FROM blended JOIN labels USING (case_id) GROUP BY 1, 2",
         "material_jump_carriers": "WITH " + b + " SELECT carrier, count(*) AS cases FROM edge WHERE disp >= 2.0 GROUP BY 1",
         "boundary_rows": "WITH " + b + " SELECT case_id, test_year, carrier, origin, destination, prediction_date, layover_minutes, specific_n, production_level, production_n, broader_level, broader_n, "
             + ", ".join(r(f"{x}_{m}", f"{x}_{m}") for x in ("specific", "production", "broader") for m in ("median", "p75", "p90", "probability")) + f", {r('disp', 'production_displacement_pp')}, {r('contr', 'boundary_contrast_pp')} FROM edge",

@@ -451,6 +451,12 @@ def _study_inputs(spark: SparkSession, sf: str, n: int) -> tuple[DataFrame, Data
     return history, materialize(C.daily_delay_counts(history)), materialize(cases)
 
 
+def _all_cases(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Daily counts and every holdout flight as a case."""
+    history = materialize(_history(spark, sf))
+    return materialize(C.daily_delay_counts(history)), materialize(S.replay_cases(history, HOLDOUTS.years))
+
+
 @query
 def temporal_replay(spark: SparkSession, sf: str) -> DataFrame:
     """Windows and thresholds on sampled holdout flights."""
@@ -484,18 +490,21 @@ def tail_pool(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def tail_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    _, daily, cases = _study_inputs(spark, sf, 150)
+    daily, cases = _all_cases(spark, sf)
     rows = ST.tail_arrivals(cases, daily, HOLDOUTS)
-    return rounded(rows.select("case_id", "candidate", "cohort_level", "cohort_size", "p50", "p75", "p90", "p95", "crps", "recent_severe_share"), 6)
+    return rounded(rows.select("case_id", "candidate", "cohort_level", "cohort_size", "p50", "p75", "p90", "p95", "crps", "recent_severe_share"))
 
 
 @query
 def blend_cohorts(spark: SparkSession, sf: str) -> DataFrame:
-    _, daily, cases = _study_inputs(spark, sf, 150)
-    counted = materialize(C.cohort_counts(ST.fixed_bounds(cases, HOLDOUTS), daily))
+    """Blended once per case profile; each case reads the values of its profile."""
+    daily, cases = _all_cases(spark, sf)
+    links, heads = C.profile_heads(ST.fixed_bounds(cases, HOLDOUTS), C.LEVELS)
+    counted = materialize(C.cohort_counts(materialize(heads), daily))
     hist, rows = ST.blend_cohorts(counted, daily)
     sized = D.quantiles(hist, ["case_id"], (0.5, 0.75, 0.9), "value")
-    return rounded(rows.select("case_id", "blend_label", "specific_weight").join(sized, "case_id"), 6)
+    found = rows.select("case_id", "blend_label", "specific_weight").join(sized, "case_id").withColumnRenamed("case_id", "head_id")
+    return rounded(links.join(found, "head_id").drop("head_id"), 6)
 
 
 def _boundary(spark: SparkSession, sf: str) -> DataFrame:
@@ -792,8 +801,9 @@ def lookup_outcome(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def provider_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    normalized = materialize(P.normalize_payloads(_payload_log(spark, sf)))
-    log = dp.payload_log(spark, sf).select(
+    payloads = _payload_log(spark, sf)
+    normalized = materialize(P.normalize_payloads(payloads))
+    log = payloads.select(
         "request_key", F.upper(F.substring("requested_number", 1, 2)).alias("airline"),
         F.coalesce(buckets.horizon_bucket(F.col("requested_date"), F.lit("1995-01-01").cast("date")), F.lit("past")).alias("horizon"),
     ).distinct()
