@@ -1,11 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then local alignment.
-
-Every text is scanned once for word n-grams that occur in a benchmark item; the passages around the
-hits are kept. How many documents hold each n-gram is counted over the whole corpus, and of each few
-neighbouring n-grams of an item only the rarest stays as a seed. Passages and items that share a seed
-are aligned by Smith-Waterman over words, so edited and paraphrased copies score nearly like exact
-ones. The benchmark is a stated query set: its n-grams are broadcast in blocks of bounded size, one
-scan of the corpus for each block.
+"""Benchmark decontamination: n-gram seeds, then local alignment.
+
+Every text is scanned once for word n-grams that occur in a benchmark item. The words around the hits are
+aligned with every item that holds one of them, common n-grams too, by Smith-Waterman over words, so
+edited and paraphrased copies score nearly like exact ones. Only pairs that cannot reach the bounds,
+because too few words of the item stand there at all, are not aligned. A copy without a single intact
+n-gram is not seen. The benchmark is a stated query set: its items are broadcast in blocks of bounded
+size, one scan of the corpus for each block.
 """
 
 from __future__ import annotations
@@ -14,15 +14,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from delaycohorts.llm.common import WordIds, windows
 from delaycohorts.session import materialize
 
 N = 4
-NEIGHBOURS = 3  # of so many n-grams in a row the rarest is a seed
-BLOCK = 500_000  # n-grams of the benchmark in one broadcast
+BLOCK = 500_000  # words of the benchmark in one broadcast
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 MIN_SCORE = 0.5  # of the item aligned to itself
 MIN_WORDS = 8  # matched words, or all of a shorter item
@@ -35,54 +34,89 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().translate(None, PUNCTUATION).split()
 
 
-def item_grams(benchmark: DataFrame, n: int, text: str) -> DataFrame:
-    """(item_id, at, gram, words) of every n-gram of every item."""
+def item_words(benchmark: DataFrame, text: str) -> DataFrame:
+    """(item_id, ids, words) of every item that has words; the ids are one blob."""
 
     def cut(batches):
         ids = WordIds()
         for batch in batches:
-            for key, x in zip(batch.column("item_id").to_pylist(), batch.column(text).to_pylist()):
-                words = words_of(x)
-                grams = windows(ids.of(words), n)
-                k = len(grams)
-                yield pa.RecordBatch.from_arrays([pa.array([key] * k, pa.int64()), pa.array(range(k), pa.int32()), pa.array(grams.view(np.int64)), pa.array([len(words)] * k, pa.int32())], ["item_id", "at", "gram", "words"])
-
-    return benchmark.select("item_id", text).mapInArrow(cut, "item_id long, at int, gram long, words int")
-
-
-def passages(docs: DataFrame, grams: np.ndarray, reach: int, n: int, text: str) -> DataFrame:
-    """(doc_id, start, passage, hits): the words around every hit; overlapping passages are one."""
-    known = docs.sparkSession.sparkContext.broadcast(np.unique(grams.view(np.uint64)))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, wanted = WordIds(), known.value
+            rows = [(key, ids.of(words_of(x))) for key, x in zip(batch.column("item_id").to_pylist(), batch.column(text).to_pylist())]
+            rows = [(key, own) for key, own in rows if len(own)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1].tobytes() for r in rows], pa.binary()), pa.array([len(r[1]) for r in rows], pa.int64())], ["item_id", "ids", "words"])
+
+    return benchmark.select("item_id", text).mapInArrow(cut, "item_id long, ids binary, words long")
+
+
+class Items:
+    """Items of one block and, for every n-gram, the items that hold it."""
+
+    def __init__(self, block: pa.Table, n: int, min_score: float) -> None:
+        self.keys = block.column("item_id").to_pylist()
+        self.words = [np.frombuffer(x, np.uint64) for x in block.column("ids").to_pylist()]
+        sizes = np.array([len(x) for x in self.words], np.int64)
+        self.lengths = np.unique(np.minimum(sizes, n)).tolist()
+        # An alignment of the least score has at most 2 (1 - min_score) errors for each word of the item.
+        self.reach = np.ceil(sizes * (1 + 2 * max(0.0, 1 - min_score))).astype(np.int64)
+        self.least = np.maximum(np.minimum(sizes, MIN_WORDS), min_score * sizes)
+        grams = [np.unique(windows(x, n)) for x in self.words]
+        gram, owner = np.concatenate(grams), np.repeat(np.arange(len(grams)), [len(x) for x in grams])
+        order = np.argsort(gram, kind="stable")
+        self.owner = owner[order]
+        self.grams, starts = np.unique(gram[order], return_index=True)
+        self.starts = np.append(starts, len(gram))
+
+    def places(self, ids: np.ndarray, sieve: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, first, end) of the words around neighbouring hits of an item."""
+        low = np.uint64(len(sieve) - 1)
+        at, gram = [], []
+        for length in self.lengths:
+            if length > len(ids):
+                continue
+            own = windows(ids, length)
+            where = np.flatnonzero(sieve[(own & low).astype(np.int64)])
+            if len(where):
+                near = np.minimum(np.searchsorted(self.grams, own[where]), len(self.grams) - 1)
+                same = self.grams[near] == own[where]
+                at.append(where[same])
+                gram.append(near[same])
+        if not at or not sum(map(len, at)):
+            return
+        at, gram = np.concatenate(at), np.concatenate(gram)
+        times = self.starts[gram + 1] - self.starts[gram]
+        nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        item, at = self.owner[np.repeat(self.starts[gram], times) + nth], np.repeat(at, times)
+        order = np.lexsort((at, item))
+        item, at = item[order], at[order]
+        first = np.append(True, (item[1:] != item[:-1]) | (np.diff(at) > 2 * self.reach[item[1:]]))
+        last = np.append(first[1:], True)
+        reach = self.reach[item]
+        yield from zip(item[first].tolist(), np.maximum(at - reach, 0)[first].tolist(), (at + reach + self.lengths[-1])[last].tolist())
+
+
+def scan(docs: DataFrame, items: Items, min_score: float, text: str) -> DataFrame:
+    """A row for every place of a text where the alignment with an item passes the bounds."""
+    known = docs.sparkSession.sparkContext.broadcast(items)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, items = WordIds(), known.value
         sieve = np.zeros(1 << 22, bool)
-        low = np.uint64((1 << 22) - 1)
-        sieve[(wanted & low).astype(np.int64)] = True
+        sieve[(items.grams & np.uint64(len(sieve) - 1)).astype(np.int64)] = True
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                keys, starts, found, hits = [], [], [], []
+            for begin in range(0, batch.num_rows, ROWS):
+                part = batch.slice(begin, ROWS)
+                rows = []
                 for key, x in zip(part.column("doc_id").to_pylist(), part.column(text).to_pylist()):
-                    words = words_of(x)
-                    own = windows(ids.of(words), n)
-                    if not len(own):
-                        continue
-                    where = np.flatnonzero(sieve[(own & low).astype(np.int64)])
-                    if len(where):
-                        near = np.minimum(np.searchsorted(wanted, own[where]), len(wanted) - 1)
-                        where = where[wanted[near] == own[where]]
-                    if not len(where):
-                        continue
-                    for run in np.split(where, np.flatnonzero(np.diff(where) > 2 * reach) + 1):
-                        first = max(0, int(run[0]) - reach)
-                        keys.append(key)
-                        starts.append(first)
-                        found.append(b" ".join(words[first : int(run[-1]) + n + reach]))
-                        hits.append(np.unique(own[run]).view(np.int64).tolist())
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts, pa.int64()), pa.array(found, pa.binary()), pa.array(hits, pa.list_(pa.int64()))], ["doc_id", "start", "passage", "hits"])
-
-    return docs.select(F.col("doc_id").cast("long"), text).mapInArrow(scan, "doc_id long, start long, passage binary, hits array<long>")
+                    own = ids.of(words_of(x))
+                    for k, first, end in items.places(own, sieve):
+                        item, passage = items.words[k], own[first:end]
+                        if np.isin(item, passage).sum() < items.least[k]:
+                            continue  # the score is at most the number of words in common
+                        score, matched, start, stop = align(item, passage)
+                        if score / len(item) >= min_score and matched >= min(MIN_WORDS, len(item)):
+                            rows.append((key, items.keys[k], score / len(item), matched, len(item), first + start, first + stop))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(_ALIGNED), _ALIGNED.types)], schema=_ALIGNED)
+
+    return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string").alias(text)).mapInArrow(run, _ROW)
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int, int]:
@@ -120,30 +154,7 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int, int]:
     return best
 
 
-def aligned(pairs: DataFrame) -> DataFrame:
-    """Scores of (doc_id, start, passage, item_id, item) rows."""
-
-    def run(batches):
-        ids = WordIds()
-        for batch in batches:
-            rows = {"doc_id": [], "item_id": [], "score": [], "matched": [], "item_words": [], "first_word": [], "last_word": []}
-            last, item = None, None
-            for v in batch.to_pylist():
-                if v["item"] != last:
-                    last, item = v["item"], ids.of(words_of(v["item"]))
-                score, matched, first, end = align(item, ids.of(v["passage"].split()))
-                rows["doc_id"].append(v["doc_id"])
-                rows["item_id"].append(v["item_id"])
-                rows["score"].append(score / max(1, len(item)))
-                rows["matched"].append(matched)
-                rows["item_words"].append(len(item))
-                rows["first_word"].append(v["start"] + first)
-                rows["last_word"].append(v["start"] + end)
-            yield pa.RecordBatch.from_pydict(rows, schema=_ALIGNED)
-
-    return pairs.mapInArrow(run, "doc_id long, item_id long, score double, matched long, item_words long, first_word long, last_word long")
-
-
+_ROW = "doc_id long, item_id long, score double, matched long, item_words long, first_word long, last_word long"
 _ALIGNED = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("matched", pa.int64()), ("item_words", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64())])
 
 
@@ -152,32 +163,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, min_score: float =
 
     Returns doc_id, item_id, score (1 for an exact copy), matched, item_words and the word span of
     the best place. Null and empty texts and items hold nothing. Items with fewer than ``n`` words
-    are one n-gram. Rows that share a doc_id or item_id are one. Null ids are kept as null. Empty
+    are one shorter n-gram, looked for in every text. Rows that share a doc_id or item_id are one. Null ids are kept as null. Empty
     tables give an empty result. Other columns are not read.
     """
-    items = benchmark.select(F.col("item_id").cast("long"), F.col(text).cast("string").alias(text))
-    grams = materialize(item_grams(items, n, text))
-    bound = grams.agg(F.max("words"), F.countDistinct("gram")).first()
-    blocks = max(1, -(-(bound[1] or 0) // BLOCK))
-    found = None
+    items = materialize(item_words(benchmark.select(F.col("item_id").cast("long"), F.col(text).cast("string").alias(text)), text))
+    blocks = -(-(items.agg(F.sum("words")).first()[0] or 0) // BLOCK)
+    scored = docs.sparkSession.createDataFrame([], _ROW)
     for k in range(blocks):
-        own = grams.where(F.pmod("gram", F.lit(blocks)) == k).select("gram").distinct().toArrow().column(0).to_numpy()
-        part = passages(docs, own, int(bound[0] or 0), n, text) if len(own) else None
-        found = part if found is None or part is None else found.union(part)
-    if found is None:
-        found = docs.sparkSession.createDataFrame([], "doc_id long, start long, passage binary, hits array<long>")
-    found = materialize(found.withColumn("place", F.monotonically_increasing_id()))
-
-    exploded = found.select("place", "doc_id", F.explode("hits").alias("gram"))
-    spread = exploded.groupBy("gram", "doc_id").agg(F.lit(1).alias("x")).groupBy("gram").agg(F.count("*").alias("docs"))
-    ahead = Window.partitionBy("item_id").orderBy("at").rowsBetween(0, NEIGHBOURS - 1)
-    seeds = grams.join(spread, "gram", "left").withColumn("rarest", F.min(F.struct(F.coalesce("docs", F.lit(0)).alias("docs"), "gram")).over(ahead)["gram"])
-    seeds = seeds.select("item_id", F.col("rarest").alias("gram")).distinct()
-    meets = exploded.join(seeds, "gram").groupBy("place").agg(F.collect_set("item_id").alias("items"))
-    pairs = found.join(meets, "place").select("doc_id", "start", "passage", F.explode("items").alias("item_id"))
-    texts = items.groupBy("item_id").agg(F.max(text).alias("item"))
-    scored = aligned(pairs.join(texts, "item_id").select("doc_id", "start", "passage", "item_id", "item"))
-    scored = scored.where((F.col("score") >= min_score) & (F.col("matched") >= F.least(F.lit(MIN_WORDS), F.col("item_words"))))
+        block = items.where(F.pmod(F.xxhash64("item_id", "ids"), F.lit(blocks)) == k).toArrow()
+        if block.num_rows:
+            scored = scored.union(scan(docs, Items(block, n, min_score), min_score, text))
     best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "matched", "item_words", "first_word", "last_word")).alias("m"))
     return best.select("doc_id", "item_id", "m.*")
 

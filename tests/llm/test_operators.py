@@ -218,6 +218,31 @@ def test_leaks_finds_exact_and_edited_copies(spark, docs, empty):
     assert decontaminate.leaks(empty, bench).count() == 0 and decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_finds_copies_with_regular_and_random_edits(spark):
+    draw = random.Random(11)
+    items = [(k, " ".join(draw.choices(VOCABULARY, k=45))) for k in range(40)] + [(40, "zebra quagga"), (41, "okapi")]
+    texts = [(1000 + k, f"{prose(30)} {items[k][1]} {prose(30)}") for k in range(0, 40, 3)]  # makes some 4-grams common
+    for k, text in items[:40]:
+        words = text.split()
+        for step in (5, 6):
+            texts.append((step * 10_000 + k, prose(40) + " " + " ".join(f"new{k}x{j}" if j % step == step - 1 else w for j, w in enumerate(words)) + " " + prose(40)))
+        texts.append((70_000 + k, prose(20) + " " + " ".join(f"new{k}x{j}" if draw.random() < 0.15 else w for j, w in enumerate(words))))
+    texts += [(80_000, prose(20) + " Zebra, quagga " + prose(20)), (80_001, prose(9) + " okapi")]
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(rows, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    coded = {k: [w.encode() for w in t.split()] for k, t in items}
+    ids = decontaminate.WordIds()
+    want = set()
+    for d, t in texts:
+        own = ids.of(decontaminate.words_of(t))
+        for k, words in coded.items():
+            if set(decontaminate.windows(ids.of(words), 4).tolist()) & set(decontaminate.windows(own, min(4, len(words))).tolist()):
+                score, matched, _, _ = decontaminate.align(ids.of(words), own)
+                if score >= 0.5 * len(words) and matched >= min(8, len(words)):
+                    want.add((d, k))
+    assert got == want and {(50_000 + k, k) for k in range(40)} | {(60_000 + k, k) for k in range(40)} | {(80_000, 40), (80_001, 41)} <= got
+
+
 def brute_alignment(a, b):
     best, table = 0.0, np.zeros((len(a) + 1, len(b) + 1))
     for i in range(1, len(a) + 1):
