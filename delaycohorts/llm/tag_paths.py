@@ -2,8 +2,10 @@
 
 Every text run of a page belongs to a root-to-leaf tag path. Per path the text length and the
 punctuation are summed and set against the number of runs; the ratios are smoothed over the order of
-the page, fused into one score and cut at a threshold that comes from their spread. The passing paths
-point out the content container; its text runs, short ones too, are the article.
+the page, fused into one score and cut at a threshold that comes from their spread, on every page. Words in
+class, id or role lower the score of what stands below, unless it is most of the page. The passing runs
+point out the content: the deepest element with nearly all of their text, or what is marked as article
+around it. All containers in it that hold a passing run are the article, short runs too.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
+INNER = frozenset("p h1 h2 h3 h4 h5 h6 hgroup header li ul ol dd dt dl blockquote pre td th tr thead tbody tfoot caption table figure figcaption address".split())  # blocks within a container
 CLOSES_P = BLOCK - frozenset("body caption dd dt head html legend li optgroup option tbody td tfoot th thead title tr".split()) | frozenset(("hr",))
 SAME_LEVEL = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
@@ -32,13 +35,17 @@ SAME_LEVEL = {
 SCOPE = frozenset("table td th caption html template button object article section main aside nav header footer form".split())
 
 # Containers that hold no article text, by tag and by words in class, id or role.
-BOILER_TAGS = frozenset("nav footer aside form button select menu dialog head label input fieldset".split())
+BOILER_TAGS = frozenset("nav footer button select menu head label input".split())
+WRAPPER_TAGS = frozenset("aside form dialog fieldset header".split())  # they may also stand around the whole page
+LOWERED = 0.1  # share of the score that is left below a word of BOILER_WORDS
+NEARLY = 0.8  # of the passing text in the content element
 BOILER_WORDS = re.compile(
     r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|footer|foot|masthead|topbar|sidebar|side|aside|widget|related|recommend(?:ed|ations)?|promo|promotion|sponsor(?:ed)?|ads?|advert|adverts|advertisement|banner|"
     r"cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|comments?|respond|replies|reply|disqus|discussion|pagination|pager|toolbar|"
     r"contentinfo|complementary|search|form|skip|hidden|print-only|copyright|legal|disclaimer|tags|toc)(?:$|[\s_-]|\d)", re.I,
 )
 MAIN_WORDS = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|body|text)(?:$|[\s_-])", re.I)
+STRONG_WORDS = re.compile(r"(?:^|[\s_-])(?:comments?|ads?|advert\w*|cookies?|sidebar|replies|footer|nav|menu)(?:$|[\s_-])", re.I)
 PUNCTUATION = ".,;:!?…。，"
 TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -46,28 +53,54 @@ SPACE = re.compile(r"[\s\x00]+")
 
 
 class Node:
-    __slots__ = ("article", "boiler", "main", "parent", "path", "tag")
+    __slots__ = ("article", "boiler", "low", "main", "own", "parent", "path", "size", "suspect", "tag")
 
-    def __init__(self, tag: str, parent: "Node | None", label: str, boiler: bool, main: bool, article: bool) -> None:
-        self.tag, self.parent, self.boiler, self.main, self.article = tag, parent, boiler, main, article
+    def __init__(self, tag: str, parent: "Node | None", label: str, boiler: bool, main: bool, article: bool, suspect: str = "") -> None:
+        self.tag, self.parent, self.boiler, self.main, self.article, self.suspect = tag, parent, boiler, main, article, suspect
         self.path = f"{parent.path}/{label}" if parent else label
+        self.low, self.size, self.own = False, 0, 0  # characters of text in it, and not in a block of it
 
 
 def _child(parent: Node, tag: str, attributes: str) -> Node:
-    names = {a.lower(): b or c or d or "" for a, b, c, d in NAMES.findall(attributes)} if attributes else {}
+    names: dict[str, str] = {}
+    for a, b, c, d in NAMES.findall(attributes) if attributes else ():
+        names.setdefault(a.lower(), b or c or d)
     words = " ".join(names.get(k, "") for k in ("class", "id", "role"))
     article = parent.article or tag in ("article", "main") or "main" in names.get("role", "").split()
-    boiler = parent.boiler or tag in BOILER_TAGS or (tag == "header" and not parent.article) or "hidden" in names or names.get("aria-hidden") == "true"
-    if words and not boiler and tag not in ("html", "body", "article", "main"):
-        boiler = bool(BOILER_WORDS.search(words)) and not MAIN_WORDS.search(names.get("class", "") + " " + names.get("id", ""))
-        boiler = boiler or bool(re.search(r"(?:^|[\s_-])(?:comments?|ads?|advert\w*|cookies?|sidebar|replies|footer|nav|menu)(?:$|[\s_-])", words, re.I))
+    boiler = parent.boiler or tag in BOILER_TAGS or "hidden" in names or names.get("aria-hidden", "").lower() == "true"
+    suspect = "tag" if tag in WRAPPER_TAGS and not (tag == "header" and parent.article) else ""
+    named = False
+    if words.strip() and tag not in ("html", "body"):
+        named = bool(MAIN_WORDS.search(words))
+        if not suspect and tag not in ("article", "main"):
+            word = bool(BOILER_WORDS.search(words)) and not MAIN_WORDS.search(names.get("class", "") + " " + names.get("id", ""))
+            suspect = "word" if word or STRONG_WORDS.search(words) else ""
     label = tag + ("." + SPACE.sub(".", words.strip()) if words.strip() else "")
-    return Node(tag, parent, label, boiler, parent.main or bool(words and MAIN_WORDS.search(words)), article)
+    return Node(tag, parent, label, boiler, named or tag in ("article", "main"), article, suspect)
+
+
+def _settle(texts: list[str], nodes: list[Node], made: list[Node]) -> None:
+    """Suspect elements are boilerplate (by tag) or low (by words), but not wrappers of most of the visible text."""
+    for text, node in zip(texts, nodes):
+        size = len(text.strip()) * (2 if node.article else 1)
+        if size and not node.boiler:
+            box = node
+            while box.parent is not None and box.tag not in BLOCK:
+                box = box.parent
+            box.own += size
+            while node is not None:
+                node.size += size
+                node = node.parent
+    for node in made[1:]:  # parents come first
+        small = True
+        node.boiler = node.boiler or node.parent.boiler or (node.suspect == "tag" and small)
+        node.low = node.parent.low or (node.suspect == "word" and small)
 
 
 def text_runs(page: str) -> tuple[list[str], list[Node], list[int]]:
     """Text of every run, its element, and the number of the block that it stands in."""
     top = here = Node("", None, "", False, False, False)
+    made = [top]
     texts: list[str] = []
     nodes: list[Node] = []
     blocks: list[int] = []
@@ -129,11 +162,13 @@ def text_runs(page: str) -> tuple[list[str], list[Node], list[int]]:
                         here = node.parent
                     node = node.parent
             here = _child(here, tag, found.group(3))
+            made.append(here)
+    _settle(texts, nodes, made)
     return texts, nodes, blocks
 
 
-def scores(texts: list[str], nodes: list[Node], blocks: list[int]) -> tuple[dict[str, float], float]:
-    """Fused score of each tag path and the threshold."""
+def scores(texts: list[str], nodes: list[Node], blocks: list[int]) -> tuple[np.ndarray, float]:
+    """Score of each run, which is the fused one of its tag path or less, and the threshold."""
     paths: dict[str, int] = {}
     index = np.fromiter((paths.setdefault(n.path, len(paths)) for n in nodes), np.int64, len(nodes))
     full = np.fromiter((len(t.strip()) for t in texts), np.float64, len(texts))
@@ -145,11 +180,16 @@ def scores(texts: list[str], nodes: list[Node], blocks: list[int]) -> tuple[dict
     smooth = lambda x: np.convolve(np.pad(x, 2, mode="edge"), kernel, "valid")
     size = np.maximum(np.bincount(index, minlength=len(paths)), 1)
     fused = np.bincount(index, smooth(length[index]), len(paths)) / size * (1 + np.bincount(index, smooth(points[index]), len(paths)) / size)
-    for node in nodes:
-        k = paths[node.path]
-        if node.boiler:
-            fused[k] = 0
-    return {p: float(fused[k]) for p, k in paths.items()}, float(np.std(fused[index])) * 0.5 if len(nodes) else 0.0
+    weight = np.fromiter((0.0 if n.boiler else LOWERED if n.low else 1.0 for n in nodes), np.float64, len(nodes))
+    value = fused[index] * weight
+    return value, float(np.std(value)) * 0.5
+
+
+def _box(node: Node) -> Node:
+    """The container that a run stands in."""
+    while node.parent is not None and (node.tag not in BLOCK or node.tag in INNER):
+        node = node.parent
+    return node
 
 
 def main_text(page: str | None) -> str:
@@ -160,30 +200,35 @@ def main_text(page: str | None) -> str:
     if not texts:
         return ""
     score, threshold = scores(texts, nodes, blocks)
-    sizes: dict[int, float] = {}
-    held: dict[int, Node] = {}
-    area = any(n.article and not n.boiler and t.strip() for t, n in zip(texts, nodes))
-    for text, node in zip(texts, nodes):
-        if node.boiler or not text.strip() or (area and not node.article):
-            continue
-        value = score[node.path]
-        if value <= 0 or (value < threshold and not area):
+    mass: dict[Node, float] = {}  # passing text at or below an element
+    held: set[Node] = set()
+    boxes = [_box(n) for n in nodes]
+    top = None
+    for text, box, value in zip(texts, boxes, score.tolist()):
+        if not text.strip() or value <= 0 or value < threshold:
             continue
-        box = node
-        while box.parent is not None and (box.tag not in BLOCK or box.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dd", "dt", "dl", "blockquote", "pre", "td", "th", "tr", "tbody", "table", "figure", "figcaption")):
-            box = box.parent
-        if area:
-            while box.parent is not None and box.parent.article:
-                box = box.parent
-        sizes[id(box)] = sizes.get(id(box), 0.0) + len(text) * (2.0 if box.main else 1.0)
-        held[id(box)] = box
+        held.add(box)
+        size, node = len(text.strip()) * (2.0 if box.article else 1.0), box
+        while node is not None:
+            mass[node] = mass.get(node, 0.0) + size
+            top, node = node, node.parent
     if not held:
         return ""
-    if area:
-        chosen = set(held)
-    else:
-        best = max(sizes.values())
-        chosen = {k for k, v in sizes.items() if v >= 0.2 * best}
+    content = top
+    for node, size in mass.items():
+        if size >= NEARLY * mass[top] and len(node.path) >= len(content.path):
+            content = node
+    node = content
+    while node is not None:
+        content, node = (node if node.main else content), node.parent
+    chosen: set[Node] = set()
+    for node in held:
+        line = []
+        while node is not None and node is not content:
+            line.append(node)
+            node = node.parent
+        if node is content:
+            chosen.update(line, [content])
     out: list[str] = []
     part: list[str] = []
     last = -1
@@ -194,16 +239,11 @@ def main_text(page: str | None) -> str:
             out.append(line)
         part.clear()
 
-    for text, node, block in zip(texts, nodes, blocks):
+    for text, node, box, block, value in zip(texts, nodes, boxes, blocks, score.tolist()):
         if block != last:
             close()
             last = block
-        if node.boiler:
-            continue
-        box = node
-        while box is not None and id(box) not in chosen:
-            box = box.parent
-        if box is not None:
+        if not node.boiler and box in chosen and not (node.low and value < threshold):
             part.append(text)
     close()
     return "\n".join(out)

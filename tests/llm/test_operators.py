@@ -280,6 +280,23 @@ def test_pages_keep_the_article_only(spark):
     assert got[2]["text"] == got[3]["text"] == "" and len(got) == 5
 
 
+def sentences(draw, n):
+    return " ".join(" ".join(draw.choices(VOCABULARY, k=12)).capitalize() + ", so." for _ in range(n))
+
+
+def page_of(body):
+    return f"<html><body><nav><ul><li><a href=x>Home</a><li><a href=y>News</a></ul></nav>{body}<footer>&copy; 2020</footer></body></html>"
+
+
+def test_scores_select_the_content_with_teaser_articles():
+    draw = random.Random(3)
+    story, more = [sentences(draw, 4) for _ in range(6)], ["Short teaser", "Other one", "Third of all"]
+    paragraphs = "".join(f"<p>{x}</p>" for x in story)
+    teasers = "".join(f"<article class='card'><h3>{x}</h3></article>" for x in more)
+    for body in (f"<div class='text'>{paragraphs}</div><div>{teasers}</div>", f"<main><div>{paragraphs}</div><div>{teasers}</div></main>", f"<div><div>{paragraphs}</div><section>{teasers}</section></div>"):
+        assert tag_paths.main_text(page_of(body)).split("\n") == story
+
+
 def test_registered_queries_name_every_operator():
     names = {re.match(r"op(\d+)_", n)[1] for n in queries.queries() if n.startswith("op")}
     assert names == {str(k) for k in range(1, 11)} and "pipeline" in queries.queries()
