@@ -48,7 +48,7 @@ MAIN_WORDS = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|b
 STRONG_WORDS = re.compile(r"(?:^|[\s_-])(?:comments?|ads?|advert\w*|cookies?|sidebar|replies|footer|nav|menu)(?:$|[\s_-])", re.I)
 PUNCTUATION = ".,;:!?…。，"
 TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s"'>]+)))?|"[^"]*"?|'[^']*'?""")
 SPACE = re.compile(r"[\s\x00]+")
 
 
@@ -63,7 +63,7 @@ class Node:
 
 def _child(parent: Node, tag: str, attributes: str) -> Node:
     names: dict[str, str] = {}
-    for a, b, c, d in NAMES.findall(attributes) if attributes else ():
+    for a, b, c, d in ATTRIBUTE.findall(attributes) if attributes else ():
         names.setdefault(a.lower(), b or c or d)
     words = " ".join(names.get(k, "") for k in ("class", "id", "role"))
     article = parent.article or tag in ("article", "main") or "main" in names.get("role", "").split()
@@ -92,7 +92,7 @@ def _settle(texts: list[str], nodes: list[Node], made: list[Node]) -> None:
                 node.size += size
                 node = node.parent
     for node in made[1:]:  # parents come first
-        small = True
+        small = 2 * node.size <= made[0].size or 2 * node.own > node.size
         node.boiler = node.boiler or node.parent.boiler or (node.suspect == "tag" and small)
         node.low = node.parent.low or (node.suspect == "word" and small)
 

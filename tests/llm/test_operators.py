@@ -297,6 +297,18 @@ def test_scores_select_the_content_with_teaser_articles():
         assert tag_paths.main_text(page_of(body)).split("\n") == story
 
 
+def test_short_parts_and_wrappers_keep_the_article():
+    draw = random.Random(4)
+    lead, story, end = sentences(draw, 3), [sentences(draw, 4) for _ in range(12)], sentences(draw, 3)
+    paragraphs = "".join(f"<p>{x}</p>" for x in story)
+    whole = [lead, *story, end]
+    parts = f"<section><p>{lead}</p></section><section>{paragraphs}</section><section><p>{end}</p></section>"
+    for a, b in (("<div class='content'>", "</div>"), ("<div class='has-sidebar no-ads'><div class='content'>", "</div></div>"), ("<form action='/'><div class=post>", "</div></form>"), ("<div style='overflow:hidden' title=\"the hidden valley id=menu\"><div class='entry'>", "</div></div>")):
+        page = page_of(a + parts + b + "<div class='sidebar'><p>Read this as well.</p></div>")
+        assert tag_paths.main_text(page).split("\n") == whole, a
+    assert "secret" not in tag_paths.main_text(page_of(f"<div class='content'>{parts}<div hidden><p>secret {lead}</p></div></div>"))
+
+
 def test_registered_queries_name_every_operator():
     names = {re.match(r"op(\d+)_", n)[1] for n in queries.queries() if n.startswith("op")}
     assert names == {str(k) for k in range(1, 11)} and "pipeline" in queries.queries()
