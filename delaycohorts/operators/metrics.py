@@ -23,6 +23,12 @@ def covered(actual: Column, predicted: Column) -> Column:
     return (actual <= predicted).cast("double")
 
 
+def exact_ties(df: DataFrame, columns: Sequence[str], digits: int = 9) -> DataFrame:
+    """Rounds the columns, so that the last bits of a double do not part a quantile from a delay of whole
+    minutes, or a probability from an edge of its bin."""
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
 def arrival_metrics(
     weight: Column | None = None, qs: Sequence[tuple[str, float]] = (("p50", 0.5), ("p75", 0.75), ("p90", 0.9)),
 ) -> list[Column]:

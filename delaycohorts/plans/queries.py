@@ -465,6 +465,14 @@ def temporal_replay(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(M.metrics_by(rows, ("carrier", "route_volume_group", "month"), M.arrival_metrics(), ("test_year", "config")))
 
 
+@query
+def temporal_replay_full(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows and thresholds on every holdout flight; no SQL."""
+    daily, cases = _all_cases(spark, sf)
+    rows = M.exact_ties(ST.replay_arrivals(cases, daily, HOLDOUTS), ("p50", "p75", "p90"))
+    return rounded(M.metrics_by(rows, ("carrier", "route_volume_group", "month"), M.arrival_metrics(), ("test_year", "config")))
+
+
 @query
 def tail_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(ST.tail_sensitivity(_history(spark, sf)))
@@ -558,6 +566,34 @@ def tail_experiment(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(ST.tail_experiment_connections(history, records, daily, HOLDOUTS, 200, 100, SEED)["connections"], 6)
 
 
+# The same studies with the case and replicate counts of the reference, and their intervals; no SQL.
+
+
+@query
+def stratified_study_full(spark: SparkSession, sf: str) -> DataFrame:
+    history = materialize(_history(spark, sf))
+    daily = materialize(C.daily_delay_counts(history))
+    out = ST.stratified_arrivals(history, daily, HOLDOUTS, 500, 500, SEED, ties=True)
+    limits = out["coverage_interval"].withColumn("dimension", F.lit("all"))
+    return rounded(out["arrivals"].join(limits, ["test_year", "strategy", "dimension"], "left"), 6)
+
+
+@query
+def stratified_connections_full(spark: SparkSession, sf: str) -> DataFrame:
+    history, records = materialize(_history(spark, sf)), materialize(_one_per_flight(spark, sf))
+    daily = materialize(C.daily_delay_counts(history))
+    out = ST.stratified_connections(history, records, daily, HOLDOUTS, 300, 500, SEED, ties=True)
+    return rounded(out["connections"].join(out["connection_intervals"], ["test_year", "kind"], "left"), 6)
+
+
+@query
+def tail_experiment_full(spark: SparkSession, sf: str) -> DataFrame:
+    history, records = materialize(_history(spark, sf)), materialize(_one_per_flight(spark, sf))
+    daily = materialize(C.daily_delay_counts(history))
+    out = ST.tail_experiment_connections(history, records, daily, HOLDOUTS, 1000, 300, SEED, ties=True)
+    return rounded(out["connections"].join(out["connection_intervals"], ["test_year", "candidate"], "left"), 6)
+
+
 # ------------------------------------------------------------------ schedules
 
 

@@ -173,7 +173,7 @@ def stratified_study(
 
 
 def stratified_arrivals(
-    history: DataFrame, daily: DataFrame, holdouts: Holdouts, delay_cases: int, replicates: int, seed: int,
+    history: DataFrame, daily: DataFrame, holdouts: Holdouts, delay_cases: int, replicates: int, seed: int, ties: bool = False,
 ) -> dict[str, DataFrame]:
     weight = F.col("weight")
     population = materialize(S.with_strata(S.replay_cases(history, holdouts.years), history))
@@ -183,6 +183,7 @@ def stratified_arrivals(
     rows = materialize(arrival_rows(_written_union([rolling, fixed]), daily).select(
         "*", F.month("prediction_date").alias("month"), (F.col("actual") - F.col("p90")).alias("p90_error")
     ))
+    rows = M.exact_ties(rows, ("p50", "p75", "p90")) if ties else rows
     base = ("test_year", "strategy")
     dims = ("carrier", "route_volume_group", "season", "month", "time_bucket", "severity", "cohort_level")
     covered = {"covered": M.covered(F.col("actual"), F.col("p90")) * weight, "w": weight}
@@ -197,7 +198,7 @@ def stratified_arrivals(
 
 def stratified_connections(
     history: DataFrame, records: DataFrame, daily: DataFrame, holdouts: Holdouts, connection_cases: int,
-    replicates: int, seed: int,
+    replicates: int, seed: int, ties: bool = False,
 ) -> dict[str, DataFrame]:
     weight = F.col("weight")
     offers = materialize(S.with_strata(S.replay_cases(records, holdouts.years), history, by_status=True))
@@ -205,6 +206,7 @@ def stratified_connections(
     connections = materialize(connection_rows(fixed_bounds(chosen, holdouts), daily, records, seed, "constant").select(
         "*", buckets.layover_bucket(F.col("layover_minutes")).alias("layover_bucket"), F.month("prediction_date").alias("month")
     ))
+    connections = M.exact_ties(connections, ("combined_probability", "conditional_probability")) if ties else connections
     combined = connections.withColumn("probability", F.col("combined_probability"))
     conditional = connections.withColumn("probability", F.col("conditional_probability"))
     both = combined.withColumn("kind", F.lit("combined")).unionByName(conditional.withColumn("kind", F.lit("conditional")))
@@ -379,7 +381,7 @@ def tail_experiment_arrivals(
 
 def tail_experiment_connections(
     history: DataFrame, records: DataFrame, daily: DataFrame, holdouts: Holdouts, connection_cases: int,
-    replicates: int, seed: int, transfer: Transfer = Transfer(),
+    replicates: int, seed: int, transfer: Transfer = Transfer(), ties: bool = False,
 ) -> dict[str, DataFrame]:
     w, base = F.col("weight"), ("test_year", "candidate")
     strata = materialize(S.with_strata(S.replay_cases(records, holdouts.years), history, by_status=True))
@@ -393,6 +395,7 @@ def tail_experiment_connections(
     )
     outcome = X.replay_outcome(F.col("status") == "completed", F.col("actual"), F.col("layover_minutes"), codes.uniform01(F.col("case_id"), str(seed)), transfer)
     connections = materialize(B.cluster_columns(scored.select("*", outcome.alias("outcome"), buckets.layover_class(F.col("layover_minutes")).alias("layover_class"))))
+    connections = M.exact_ties(connections, ("probability",)) if ties else connections
     by_dimension = M.long_dimensions(connections, ("carrier", "layover_class", "time_bucket", "season", "status"), (*base, "probability", "outcome", "weight"))
     return {
         "connections": M.connection_metrics(connections, base, w),

@@ -134,3 +134,40 @@ def test_tail_pool(spark):
     pooled = expand(ST.tail_pool(center, hist_of(spark, 1, range(200)), ["k"], min_center=100, min_source=20))
     assert len(pooled) == 50 and np.median(pooled) == np.median(range(50)) and np.quantile(pooled, 0.9) > np.quantile(range(50), 0.9)
     assert expand(ST.tail_pool(center, hist_of(spark, 1, range(10)), ["k"], min_center=100, min_source=20)) == list(range(50))
+
+
+def test_coverage_and_bins_are_exact_on_ties(spark):
+    from fractions import Fraction
+    import random as rnd
+
+    from delaycohorts.operators import metrics as M
+
+    draw, members, cases, want = rnd.Random(8), [], [], {}
+    for k in range(300):
+        values = sorted(10 * draw.randrange(-3, 9) for _ in range(2 + k % 60))
+        members += [(k, float(v)) for v in values]
+        for name, q in (("p50", Fraction(1, 2)), ("p75", Fraction(3, 4)), ("p90", Fraction(9, 10))):
+            at = q * (len(values) - 1)
+            exact = values[int(at)] + (at - int(at)) * (values[min(int(at) + 1, len(values) - 1)] - values[int(at)])
+            if exact.denominator == 1:
+                cases.append((k, name, float(exact)))
+                want[k, name] = 1.0
+    hist = spark.createDataFrame(members, "k long, delay double").groupBy("k", "delay").agg(F.count("*").alias("n"))
+    found = M.exact_ties(D.quantiles(hist, ["k"], (0.5, 0.75, 0.9)), ("p50", "p75", "p90"))
+    rows = spark.createDataFrame(cases, "k long, name string, actual double").join(found, "k")
+    predicted = F.when(F.col("name") == "p50", F.col("p50")).when(F.col("name") == "p75", F.col("p75")).otherwise(F.col("p90"))
+    got = {(r["k"], r["name"]): r["c"] for r in rows.select("k", "name", M.covered(F.col("actual"), predicted).alias("c")).collect()}
+    assert got == want
+    edges = spark.createDataFrame([(k, sum([0.1] * k), k / 10 - 2e-16) for k in range(1, 10)], "k int, above double, below double")
+    assert all(r["a"] == r["b"] == r["k"] for r in M.exact_ties(edges, ("above", "below")).select("k", M.bin_of(F.col("above")).alias("a"), M.bin_of(F.col("below")).alias("b")).collect())
+
+
+def test_full_replay_takes_every_holdout_flight(spark):
+    from delaycohorts.plans import queries as Q
+
+    sf = "/root/testdata/sf0.001"
+    found = Q.registered()["temporal_replay_full"](spark, sf).where("dimension = 'all'").collect()
+    _, cases = Q._all_cases(spark, sf)
+    flights = {r["test_year"]: r["count"] for r in cases.groupBy("test_year").count().collect()}
+    assert found and max(flights.values()) > 200
+    assert all(r["sample_count"] <= flights[r["test_year"]] for r in found) and max(r["sample_count"] for r in found) > 200
