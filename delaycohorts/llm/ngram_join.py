@@ -245,7 +245,7 @@ def full_rows(docs: DataFrame, wanted: DataFrame, text: str, n: int) -> DataFram
         field = np.zeros(bits, bool)
         for batch in batches:
             for k in (3, 7):
-                field[_spread(batch.column("doc_id").to_numpy(), k, bits)] = True
+                field[_spread(batch.column("doc_id").fill_null(-1).to_numpy(), k, bits)] = True
         at = np.flatnonzero(np.packbits(field))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(np.packbits(field)[at], pa.int16())], ["at", "v"])
 
@@ -267,7 +267,8 @@ def full_rows(docs: DataFrame, wanted: DataFrame, text: str, n: int) -> DataFram
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([node_of(r) if len(r) else None for r in sets], pa.int64()), pa.array([r.tobytes() for r in sets], pa.binary()), pa.array([bitmap(r) for r in sets], pa.binary())], ["doc_id", "node", "row", "bits"])
 
     found = docs.select(F.col("doc_id").cast("long"), text).mapInArrow(emit, "doc_id long, node long, row binary, bits binary")
-    return found.join(wanted, ["doc_id", "node"]).dropDuplicates(["node"]).select("node", "row", "bits")
+    held = wanted.select(F.col("doc_id").alias("held_by"), F.col("node").alias("held"))
+    return found.join(held, F.col("node").eqNullSafe(F.col("held")) & F.col("doc_id").eqNullSafe(F.col("held_by"))).dropDuplicates(["node"]).select("node", "row", "bits")
 
 
 def _spread(keys: np.ndarray, k: int, bits: int) -> np.ndarray:

@@ -205,6 +205,17 @@ def test_ngram_join_against_all_pairs(spark, docs, empty, n, num, den):
     assert ngram_join.ngram_classes(empty).count() == 0
 
 
+def test_null_id_joins_two_near_copies(spark):
+    words = [f"w{k}" for k in range(200)]
+    near = lambda *at: " ".join("other" if k in at else w for k, w in enumerate(words))
+    big = (1 << 53) + 1  # the ends share 0.8498 of their n-grams, each 0.90 or more with the bridge
+    rows = [(big, near(20, 40)), (None, near(40, 60)), (big + 2, near(60, 80)), (7, prose(90))]
+    edges = [(big, near(20)), (None, near(20, 60, 61, 62)), (big + 2, near(60, 61, 62, 120, 121, 122))]
+    for given in (rows[:3], edges):
+        got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_classes(spark.createDataFrame([*given, rows[3]], "doc_id long, text string")).collect()}
+        assert got == {big: big, None: big, big + 2: big, 7: 7}
+
+
 def test_leaks_finds_exact_and_edited_copies(spark, docs, empty):
     items = [(1, prose(40)), (2, prose(30)), (3, None), (4, ""), (None, prose(30))]
     words = items[0][1].split()
