@@ -59,5 +59,52 @@ SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, t.component_id
 FROM (SELECT doc_id, min(r) AS component_id FROM c GROUP BY doc_id) t LEFT JOIN n ON n.doc_id = t.doc_id"""
 
 
+def _tree(name: str, depth: int) -> str:
+    """Levels of trees: {name}0 has (tree, r, digest); each next one hashes runs of 16 while more than one node is left."""
+    found = []
+    for k in range(depth):
+        node = "CASE WHEN m = 1 THEN min(digest) ELSE sha256(string_agg(digest, '' ORDER BY r)) END"
+        counted = f"(SELECT *, count(*) OVER (PARTITION BY tree) AS m FROM {name}{k})"
+        found.append(f"{name}{k + 1} AS MATERIALIZED (SELECT tree, r // 16 AS r, {node} AS digest FROM {counted} GROUP BY tree, r // 16, m)")
+    return ",\n".join(found)
+
+
+def _sides(name: str, depth: int) -> str:
+    """Digests left and right of every node of every level within its run."""
+    run = "OVER (PARTITION BY tree, r // 16 ORDER BY r ROWS BETWEEN {} AND {})"
+    before, after = run.format("UNBOUNDED PRECEDING", "1 PRECEDING"), run.format("1 FOLLOWING", "UNBOUNDED FOLLOWING")
+    return ",\n".join(
+        f"{name}_s{k} AS MATERIALIZED (SELECT tree, r, coalesce(string_agg(digest, '') {before}, '') AS a, coalesce(string_agg(digest, '') {after}, '') AS z, "
+        f"count(*) OVER (PARTITION BY tree) > 1 AS many FROM {name}{k})" for k in range(depth)
+    )
+
+
+def merkle(depth: int = 5, top: int = 3) -> str:
+    """Manifest of tables with up to 16^depth rows a source and 16^top sources."""
+    folds = []
+    for k in range(depth):
+        folds.append(f"f{k + 1} AS MATERIALIZED (SELECT f.* EXCLUDE (pos, fold, proof), f.pos // 16 AS pos, CASE WHEN s.many THEN sha256(s.a || f.fold || s.z) ELSE f.fold END AS fold, f.proof || s.a || s.z AS proof FROM f{k} f JOIN l_s{k} s ON s.tree = f.tree AND s.r = f.pos)")
+    folds.append(f"g0 AS MATERIALIZED (SELECT f.* EXCLUDE (pos), u.r AS pos, u.digest AS subroot FROM f{depth} f JOIN u0 u ON u.name = f.tree)")
+    for k in range(top):
+        folds.append(f"g{k + 1} AS MATERIALIZED (SELECT f.* EXCLUDE (pos, fold, proof), f.pos // 16 AS pos, CASE WHEN s.many THEN sha256(s.a || f.fold || s.z) ELSE f.fold END AS fold, f.proof || s.a || s.z AS proof FROM g{k} f JOIN u_s{k} s ON s.r = f.pos)")
+    field = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')"
+    head = " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    crc = "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda d, k: CASE WHEN d & 1 = 1 THEN xor(d >> 1, 3988292384) ELSE d >> 1 END)), 4294967295)"
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce('1' || source, '0') AS tree, sha256({head} || {field('text')}) AS digest,
+                  CASE WHEN {crc} % 5 = 0 THEN sha256({head} || {field(lowered)}) END AS tampered FROM documents),
+l0 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, digest) - 1 AS r FROM d),
+{_tree('l', depth)},
+{_sides('l', depth)},
+u0 AS MATERIALIZED (SELECT 0 AS tree, tree AS name, row_number() OVER (ORDER BY tree) - 1 AS r, digest FROM l{depth}),
+{_tree('u', top)},
+{_sides('u', top)},
+f0 AS MATERIALIZED (SELECT doc_id, tree, digest AS leaf, r AS pos, coalesce(tampered, digest) AS fold, '' AS proof FROM l0),
+{(',' + chr(10)).join(folds)}
+SELECT doc_id, leaf, subroot, (SELECT digest FROM u{top}) AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = (SELECT digest FROM u{top}) AS verified
+FROM g{top}"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": WARC, "op4_quality_rules": QUALITY, "op7_line_dedup": LINES, "op9_ngram_jaccard": JACCARD}
+    return {"op2_warc": WARC, "op4_quality_rules": QUALITY, "op7_line_dedup": LINES, "op9_ngram_jaccard": JACCARD, "op11_merkle_manifest": merkle()}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from delaycohorts.llm import decontaminate, kd_shards, line_dedup, nbsvm, ngram_join, packing, quality_rules, tag_paths, token_counts, warc
+from delaycohorts.llm import decontaminate, kd_shards, line_dedup, merkle, nbsvm, ngram_join, packing, quality_rules, tag_paths, token_counts, toxicity, warc, whitening
 from delaycohorts.llm.common import table
 
 _OVER = {
@@ -18,6 +18,8 @@ _OVER = {
     "op8_tag_paths": ("pages", tag_paths.digest_rows),
     "op9_ngram_jaccard": ("documents", ngram_join.digest_rows),
     "op10_token_counts": ("documents", token_counts.digest_rows),
+    "op11_merkle_manifest": ("documents", merkle.digest_rows),
+    "op13_spectrum_whitening": ("embeddings", whitening.digest_rows),
 }
 
 
@@ -26,6 +28,11 @@ def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbsvm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labels that are not held out."""
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -40,7 +47,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     single = {name: (lambda spark, sf_dir, t=t, f=f: f(table(spark, sf_dir, t))) for name, (t, f) in _OVER.items()}
-    return single | {"op1_nbsvm_quality": quality_scores, "op3_benchmark_leaks": benchmark_leaks, "pipeline": pipeline}
+    return single | {"op1_nbsvm_quality": quality_scores, "op3_benchmark_leaks": benchmark_leaks, "op12_text_cnn": toxicity_scores, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
