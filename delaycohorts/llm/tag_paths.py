@@ -3,7 +3,8 @@
 Every text run of a page belongs to a root-to-leaf tag path. Per path the text length and the
 punctuation are summed and set against the number of runs; the ratios are smoothed over the order of
 the page, fused into one score and cut at a threshold that comes from their spread, on every page. Words in
-class, id or role lower the score of what stands below, unless it is most of the page. The passing runs
+class, id or role, and some tags, take out what stands below or lower its score, whatever its size, unless it
+is a wrapper: there are no sentences outside it. The passing runs
 point out the content: the deepest element with nearly all of their text, or what is marked as article
 around it. All containers in it that hold a passing run are the article, short runs too.
 """
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +38,8 @@ SCOPE = frozenset("table td th caption html template button object article secti
 
 # Containers that hold no article text, by tag and by words in class, id or role.
 BOILER_TAGS = frozenset("nav footer button select menu head label input".split())
-WRAPPER_TAGS = frozenset("aside form dialog fieldset header".split())  # they may also stand around the whole page
+WRAPPER_TAGS = frozenset("form dialog fieldset header".split())  # they may also stand around the whole page
+SENTENCE = 40  # characters of a block, with a mark, that count as one
 LOWERED = 0.1  # share of the score that is left below a word of BOILER_WORDS
 NEARLY = 0.8  # of the passing text in the content element
 BOILER_WORDS = re.compile(
@@ -53,54 +56,105 @@ SPACE = re.compile(r"[\s\x00]+")
 
 
 class Node:
-    __slots__ = ("article", "boiler", "low", "main", "own", "parent", "path", "size", "suspect", "tag")
+    """An element: where it hangs, the number of its tag path, and how it counts."""
 
-    def __init__(self, tag: str, parent: "Node | None", label: str, boiler: bool, main: bool, article: bool, suspect: str = "") -> None:
-        self.tag, self.parent, self.boiler, self.main, self.article, self.suspect = tag, parent, boiler, main, article, suspect
-        self.path = f"{parent.path}/{label}" if parent else label
-        self.low, self.size, self.own = False, 0, 0  # characters of text in it, and not in a block of it
+    __slots__ = ("article", "block", "boiler", "box", "depth", "low", "main", "mass", "parent", "path", "suspect", "tag")
 
+    def __init__(self, tag: str, parent: "Node | None", path: int, boiler: bool, main: bool, article: bool, suspect: str = "") -> None:
+        self.tag, self.parent, self.path, self.boiler, self.main, self.article, self.suspect = tag, parent, path, boiler, main, article, suspect
+        self.depth = parent.depth + 1 if parent else 0
+        self.block = self if parent is None or tag in BLOCK else parent.block  # the block that its text stands in
+        self.box = self if parent is None or (tag in BLOCK and tag not in INNER) else parent.box  # and the container
+        self.low, self.mass = False, 0.0
 
-def _child(parent: Node, tag: str, attributes: str) -> Node:
+
+def _child(parent: Node, tag: str, attributes: str, paths: dict[tuple[int, str], int]) -> Node:
     names: dict[str, str] = {}
     for a, b, c, d in ATTRIBUTE.findall(attributes) if attributes else ():
         names.setdefault(a.lower(), b or c or d)
     words = " ".join(names.get(k, "") for k in ("class", "id", "role"))
     article = parent.article or tag in ("article", "main") or "main" in names.get("role", "").split()
     boiler = parent.boiler or tag in BOILER_TAGS or "hidden" in names or names.get("aria-hidden", "").lower() == "true"
-    suspect = "tag" if tag in WRAPPER_TAGS and not (tag == "header" and parent.article) else ""
+    suspect = "strong" if tag == "aside" else "tag" if tag in WRAPPER_TAGS and not (tag == "header" and parent.article) else ""
     named = False
     if words.strip() and tag not in ("html", "body"):
         named = bool(MAIN_WORDS.search(words))
         if not suspect and tag not in ("article", "main"):
             word = bool(BOILER_WORDS.search(words)) and not MAIN_WORDS.search(names.get("class", "") + " " + names.get("id", ""))
-            suspect = "word" if word or STRONG_WORDS.search(words) else ""
+            suspect = "strong" if STRONG_WORDS.search(words) else "word" if word else ""
+        elif tag == "article" and STRONG_WORDS.search(words):
+            suspect = "strong"
     label = tag + ("." + SPACE.sub(".", words.strip()) if words.strip() else "")
-    return Node(tag, parent, label, boiler, named or tag in ("article", "main"), article, suspect)
+    path = paths.setdefault((parent.path, label), len(paths))
+    return Node(tag, parent, path, boiler, named or tag in ("article", "main"), article, suspect)
+
 
+def _settle(texts: list[str], nodes: list[Node], blocks: list[int], made: list[Node]) -> None:
+    """Decide which suspect elements stand around the article and which beside it.
 
-def _settle(texts: list[str], nodes: list[Node], made: list[Node]) -> None:
-    """Suspect elements are boilerplate (by tag) or low (by words), but not wrappers of most of the visible text."""
+    An element named or tagged as a comment, sidebar, advert, form and so on is left out whatever its size if
+    outside it, and in no other such element, there are sentences or an element marked as content, or if most of
+    its text stands in no block of its own. Otherwise it is a wrapper of the page and counts like any other.
+    """
+    size, points = {}, {}  # of each block of text, by the innermost suspect element around it
+    holder: dict[Node, Node] = {made[0]: made[0]}
+    for node in made[1:]:
+        holder[node] = node if node.suspect else holder[node.parent]
+    for text, node, block in zip(texts, nodes, blocks):
+        length = len(text.strip())
+        if length and not node.boiler:
+            key = holder[node], block
+            size[key] = size.get(key, 0) + length
+            points[key] = points.get(key, 0) + sum(map(text.count, PUNCTUATION))
+    own, sentences = dict.fromkeys(holder.values(), 0), dict.fromkeys(holder.values(), 0)
+    for (node, block), length in size.items():
+        if length >= SENTENCE and points[node, block]:
+            own[node] += length
+            sentences[node] += 1
+    total, direct = dict.fromkeys(made, 0), dict.fromkeys(made, 0)  # characters in an element, and not in a block of it
     for text, node in zip(texts, nodes):
-        size = len(text.strip()) * (2 if node.article else 1)
-        if size and not node.boiler:
-            box = node
-            while box.parent is not None and box.tag not in BLOCK:
-                box = box.parent
-            box.own += size
-            while node is not None:
-                node.size += size
-                node = node.parent
+        if not node.boiler:
+            length = len(text.strip())
+            total[node] += length
+            direct[node.block] += length
+    marked = dict.fromkeys(holder.values(), 0)  # elements marked as content, by the innermost suspect element around them
+    for node in reversed(made[1:]):
+        total[node.parent] += total[node]
+        if node.main and not node.suspect and total[node]:
+            marked[holder[node]] += 1
+    inside, content = dict(own), dict(marked)
+    for node in reversed(made[1:]):
+        if node.suspect:
+            inside[holder[node.parent]] += inside[node]
+            content[holder[node.parent]] += content[node]
+    outside = {made[0]: (0, 0, 0)}  # characters, sentences and marked elements that an element could be set against
     for node in made[1:]:  # parents come first
-        small = 2 * node.size <= made[0].size or 2 * node.own > node.size
-        node.boiler = node.boiler or node.parent.boiler or (node.suspect == "tag" and small)
-        node.low = node.parent.low or (node.suspect == "word" and small)
+        node.boiler = node.boiler or node.parent.boiler
+        node.low = node.parent.low
+        if node.suspect:
+            up = holder[node.parent]
+            length, count, marks = (a[up] + b for a, b in zip((own, sentences, marked), outside[up]))
+            outside[node] = length, count, marks
+            beside = count > 1 or (2 if node.suspect == "tag" else 10) * length > inside[node] or (marks and not content[node])
+            if beside or not inside[node] or 2 * direct[node] > total[node]:
+                node.boiler = node.boiler or node.suspect != "word"
+                node.low = True
 
 
-def text_runs(page: str) -> tuple[list[str], list[Node], list[int]]:
-    """Text of every run, its element, and the number of the block that it stands in."""
-    top = here = Node("", None, "", False, False, False)
+def text_runs(page: str) -> tuple[list[str], list[Node], list[int], list[Node]]:
+    """Text of every run, its element, the number of the block that it stands in; and all elements, parents first."""
+    top = here = Node("", None, -1, False, False, False)
     made = [top]
+    paths: dict[tuple[int, str], int] = {}
+    open_tags: Counter[str] = Counter()
+
+    def back_to(node: Node) -> None:
+        """Close all elements below ``node``."""
+        nonlocal here
+        while here is not node:
+            open_tags[here.tag] -= 1
+            here = here.parent
+
     texts: list[str] = []
     nodes: list[Node] = []
     blocks: list[int] = []
@@ -125,14 +179,16 @@ def text_runs(page: str) -> tuple[list[str], list[Node], list[int]]:
                 nodes.append(here)
                 blocks.append(block)
                 continue
+            if not open_tags[tag]:
+                continue
             node = here
-            while node is not top and node.tag != tag:
+            while node.tag != tag:
                 if node.tag in SCOPE and tag not in BLOCK:
                     node = top
                     break
                 node = node.parent
             if node is not top:
-                here = node.parent
+                back_to(node.parent)
         elif tag:
             tag = tag.lower()
             if tag in BLOCK:
@@ -148,28 +204,30 @@ def text_runs(page: str) -> tuple[list[str], list[Node], list[int]]:
                     nodes.append(here)
                     blocks.append(block)
                 continue
-            if tag in CLOSES_P:
+            if tag in CLOSES_P and open_tags["p"]:
                 node = here
-                while node is not top and node.tag != "p" and node.tag not in SCOPE:
+                while node.tag != "p" and node.tag not in SCOPE and node is not top:
                     node = node.parent
                 if node.tag == "p":
-                    here = node.parent
-            if tag in SAME_LEVEL:
+                    back_to(node.parent)
+            if tag in SAME_LEVEL and any(open_tags[t] for t in SAME_LEVEL[tag][0]):
                 ends, stops = SAME_LEVEL[tag]
-                node = here
+                node, last = here, None
                 while node is not top and node.tag not in stops:
-                    if node.tag in ends:
-                        here = node.parent
+                    last = node if node.tag in ends else last
                     node = node.parent
-            here = _child(here, tag, found.group(3))
+                if last is not None:
+                    back_to(last.parent)
+            here = _child(here, tag, found.group(3), paths)
+            open_tags[tag] += 1
             made.append(here)
-    _settle(texts, nodes, made)
-    return texts, nodes, blocks
+    _settle(texts, nodes, blocks, made)
+    return texts, nodes, blocks, made
 
 
 def scores(texts: list[str], nodes: list[Node], blocks: list[int]) -> tuple[np.ndarray, float]:
     """Score of each run, which is the fused one of its tag path or less, and the threshold."""
-    paths: dict[str, int] = {}
+    paths: dict[int, int] = {}
     index = np.fromiter((paths.setdefault(n.path, len(paths)) for n in nodes), np.int64, len(nodes))
     full = np.fromiter((len(t.strip()) for t in texts), np.float64, len(texts))
     marks = np.fromiter((sum(map(t.count, PUNCTUATION)) for t in texts), np.float64, len(texts))
@@ -185,50 +243,40 @@ def scores(texts: list[str], nodes: list[Node], blocks: list[int]) -> tuple[np.n
     return value, float(np.std(value)) * 0.5
 
 
-def _box(node: Node) -> Node:
-    """The container that a run stands in."""
-    while node.parent is not None and (node.tag not in BLOCK or node.tag in INNER):
-        node = node.parent
-    return node
-
-
 def main_text(page: str | None) -> str:
     """The article of one page; empty if there is none."""
     if not page:
         return ""
-    texts, nodes, blocks = text_runs(page)
+    texts, nodes, blocks, made = text_runs(page)
     if not texts:
         return ""
     score, threshold = scores(texts, nodes, blocks)
-    mass: dict[Node, float] = {}  # passing text at or below an element
     held: set[Node] = set()
-    boxes = [_box(n) for n in nodes]
-    top = None
-    for text, box, value in zip(texts, boxes, score.tolist()):
-        if not text.strip() or value <= 0 or value < threshold:
-            continue
-        held.add(box)
-        size, node = len(text.strip()) * (2.0 if box.article else 1.0), box
-        while node is not None:
-            mass[node] = mass.get(node, 0.0) + size
-            top, node = node, node.parent
+    for text, node, value in zip(texts, nodes, score.tolist()):
+        if text.strip() and value > 0 and value >= threshold:
+            held.add(node.box)
+            node.box.mass += len(text.strip()) * (2.0 if node.box.article else 1.0)
     if not held:
         return ""
-    content = top
-    for node, size in mass.items():
-        if size >= NEARLY * mass[top] and len(node.path) >= len(content.path):
+    for node in reversed(made[1:]):  # passing text at or below an element
+        node.parent.mass += node.mass
+    content = made[0]
+    for node in made:
+        if node.mass >= NEARLY * made[0].mass and node.depth >= content.depth:
             content = node
     node = content
     while node is not None:
         content, node = (node if node.main else content), node.parent
-    chosen: set[Node] = set()
+    below = {content}  # elements at or below the content element that hold a passing container
+    within = {content}
+    for node in made[1:]:
+        if node.parent in within:
+            within.add(node)
     for node in held:
-        line = []
-        while node is not None and node is not content:
-            line.append(node)
+        while node in within and node not in below:
+            below.add(node)
             node = node.parent
-        if node is content:
-            chosen.update(line, [content])
+    chosen = below if any(node in within for node in held) else set()
     out: list[str] = []
     part: list[str] = []
     last = -1
@@ -239,11 +287,11 @@ def main_text(page: str | None) -> str:
             out.append(line)
         part.clear()
 
-    for text, node, box, block, value in zip(texts, nodes, boxes, blocks, score.tolist()):
+    for text, node, block, value in zip(texts, nodes, blocks, score.tolist()):
         if block != last:
             close()
             last = block
-        if not node.boiler and box in chosen and not (node.low and value < threshold):
+        if not node.boiler and node.box in chosen and not (node.low and value < threshold):
             part.append(text)
     close()
     return "\n".join(out)
