@@ -108,7 +108,8 @@ def kd_shards(docs: DataFrame, leaves: int | None = None, target_bytes: int | No
     """One row per document: doc_id, size, text_crc32, shard and slot.
 
     ``leaves`` fixes the number of shards; otherwise leaves are split until they hold at most
-    ``target_bytes``. A null text counts as empty; null ids, languages and sources sort first. Equal
+    ``target_bytes``, or one row or rows that are equal in id and text, which are not parted whatever their
+    size. A null text counts as empty; null ids, languages and sources sort first. Equal
     texts share a shard unless a cut has to fall inside their group. Repeated rows keep one slot
     each. An empty table gives an empty result. Only the named columns are used.
     """
@@ -119,9 +120,11 @@ def kd_shards(docs: DataFrame, leaves: int | None = None, target_bytes: int | No
         F.bitwise_and(F.xxhash64(whole(F.col(text))), F.lit((1 << 40) - 1)).alias("hash") if hasattr(F, "bitwise_and") else F.xxhash64(whole(F.col(text))).bitwiseAND(F.lit((1 << 40) - 1)).alias("hash"),
     )
     rows = materialize(rows)
-    same = ["hash", "text_crc32", "size"]
-    first = rows.groupBy(*same).agg(F.min("id").alias("first_id"), F.min("source").alias("first_source"), F.min("lang").alias("first_lang"))
-    rows = materialize(rows.drop("source", "lang").join(first, same).withColumn("node", F.lit(0)))
+    same, own = ["hash", "text_crc32", "size"], ["id", "source", "lang"]
+    # only texts that occur twice meet their group; written first, so that a large group can be split by the join
+    groups = materialize(rows.groupBy(*same).agg(F.count("*").alias("copies"), *[F.min(c).alias(f"g_{c}") for c in own]).where("copies > 1"))
+    met = rows.join(groups, same, "left")
+    rows = materialize(met.select("doc_id", "id", *same, "chars", *[F.coalesce(f"g_{c}", c).alias(f"first_{c}") for c in own], F.lit(0).alias("node")))
     dims = ["first_id", "chars", "first_source", "first_lang"]
     summary = rows.agg(F.sum("size"), *[f(d) for d in dims for f in (F.min, F.max)]).first()
     if summary[0] is None:
@@ -133,8 +136,9 @@ def kd_shards(docs: DataFrame, leaves: int | None = None, target_bytes: int | No
     tree = rows
     next_node = 1
     while share:
-        info = {r["node"]: r for r in tree.groupBy("node").agg(F.sum("size").alias("bytes"), *[f(d).alias(f"{k}_{d}") for d in dims for k, f in (("min", F.min), ("max", F.max))]).collect()}
-        splits = {n: k for n, k in share.items() if n in info and (k > 1 if leaves else info[n]["bytes"] > target_bytes and info[n]["min_chars"] + 1 < info[n]["bytes"])}
+        single = (F.min("hash") == F.max("hash")) & (F.min("id") == F.max("id"))  # nothing that a cut could part
+        info = {r["node"]: r for r in tree.groupBy("node").agg(F.sum("size").alias("bytes"), single.alias("single"), *[f(d).alias(f"{k}_{d}") for d in dims for k, f in (("min", F.min), ("max", F.max))]).collect()}
+        splits = {n: k for n, k in share.items() if n in info and (k > 1 if leaves else info[n]["bytes"] > target_bytes and not info[n]["single"])}
         done += [n for n in share if n not in splits]
         if not splits:
             break

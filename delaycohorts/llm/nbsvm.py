@@ -94,7 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str = "t
     """
     chosen = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    train = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", text, "label")  # at most ``sample`` rows
+    train = docs.select("doc_id", text).join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
@@ -154,7 +154,8 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str
     """doc_id, held_out, score and predicted of every row of ``docs``.
 
     Only labels of ids that are not held out are read. A null id is never held out. Repeated rows are
-    scored one by one; an empty table gives an empty result.
+    scored one by one; an empty table gives an empty result. Texts are read whole, whatever their length;
+    equal texts have equal scores. Other columns are not read, whatever their names.
     """
     known = labels.where(~F.coalesce(held_out(F.col("doc_id")), F.lit(False))).select("doc_id", F.col("quality").cast("int").alias("label"))
     ratio, weights = fit(docs, known, sample, text)

@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import corpus_pipeline
+import pytest
 from delaycohorts.llm import quality_rules
 from tests.llm.test_operators import LINE, brute_classes, brute_lines, prose
 
@@ -34,3 +35,36 @@ def test_stages_keep_what_plain_python_keeps(spark, tmp_path):
     assert {r["doc_id"] for r in step.collect()} == left and step.columns == docs.columns
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == left
     assert quality_rules.MIN_WORDS == 50
+
+
+@pytest.fixture
+def folder(spark, tmp_path):
+    spark.createDataFrame([(1, prose(30)), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return str(tmp_path)
+
+
+EXTRA = ["kept", "measures", "base_failed", "n_lines", "n_dropped", "kept_text", "component_id", "hit", "item_id", "score", "ids"]
+
+
+def test_stages_keep_columns_null_ids_and_repeated_rows(spark, folder):
+    base = "the of and to in " * 3 + prose(90)
+    texts = [(1, base), (2, base + " tail"), (None, prose(80) + " the of and to in " * 2), (None, None), (4, ""), (5, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"{c} string" for c in EXTRA)
+    rows = [(i, t, "en", None, None, *[f"mine {c}" for c in EXTRA]) for i, t in [*texts, texts[0]]]
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+        assert docs.dtypes == spark.createDataFrame([], schema).dtypes, name
+    left = docs.collect()
+    assert sorted((r["doc_id"] for r in left), key=str) == [1, 1, None]
+    assert all(r[c] == f"mine {c}" for r in left for c in EXTRA) and all(r["n_chars"] == len(r["text"]) for r in left)
+    packed = corpus_pipeline.pack_windows(spark, docs, folder)
+    assert {r["doc_id"] for r in packed.collect()} == {1, None}
+
+
+def test_stages_on_an_empty_table(spark, folder):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, kept string")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, folder).count() == 0
+    assert corpus_pipeline.run(spark, folder).count() == 0
