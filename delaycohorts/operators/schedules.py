@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from delaycohorts.functions import clock, codes
+from delaycohorts.operators import daybits as B
 from delaycohorts.operators.topn import top_n_per_group
 from delaycohorts.schema import SCHEDULE_COLUMNS, SIGNATURE
 
@@ -78,70 +79,88 @@ def expand_periods(periods: DataFrame) -> DataFrame:
 
 def false_rows(expanded: DataFrame, sched: DataFrame) -> DataFrame:
     """Rows a representation claims but the source lacks (set difference)."""
-    return expanded.select(*SCHEDULE_COLUMNS).subtract(sched.select(*SCHEDULE_COLUMNS))
+    sets = B.compared(B.of_rows(expanded), B.of_rows(sched))
+    return B.dates(sets, B.only("c", "s"), SIGNATURE).select(*SCHEDULE_COLUMNS)
 
 
 def missing_rows(expanded: DataFrame, sched: DataFrame) -> DataFrame:
     return false_rows(sched, expanded)
 
 
+def compared_days(periods: DataFrame, sched: DataFrame) -> DataFrame:
+    """Days that periods claim and the source has, per signature and year, as bitmaps ``c`` and ``s``."""
+    return B.compared(B.of_periods(periods), B.of_rows(sched))
+
+
 def pattern_exclusions(periods: DataFrame, sched: DataFrame) -> DataFrame:
-    return false_rows(expand_periods(periods), sched)
+    """Dated rows that the periods claim and the source lacks; only these are ever listed."""
+    return B.dates(compared_days(periods, sched), B.only("c", "s"), SIGNATURE).select(*SCHEDULE_COLUMNS)
+
+
+def pattern_gaps(periods: DataFrame, sched: DataFrame) -> DataFrame:
+    """Dated rows of the source that no period claims."""
+    return B.dates(compared_days(periods, sched), B.only("s", "c"), SIGNATURE).select(*SCHEDULE_COLUMNS)
 
 
-def _compare(claimed: DataFrame, source: DataFrame) -> DataFrame:
-    """Full comparison in one shuffle on the schedule columns: how often each side has a row."""
-    side = lambda df, a, b: df.select(*SCHEDULE_COLUMNS, F.lit(a).alias("c"), F.lit(b).alias("s"))
-    both = side(claimed, 1, 0).unionByName(side(source, 0, 1))
-    return both.groupBy(*SCHEDULE_COLUMNS).agg(F.sum("c").alias("claimed"), F.sum("s").alias("source"))
+def _with_operations(compared: DataFrame) -> DataFrame:
+    """Adds the days on which the route (``r``) and the flight number (``f``) operate at any time.
+
+    A flight number has one row per route, pair of times and year here, whatever it flies.
+    """
+    flight = W.partitionBy("reporting_carrier", "flight_number", "year")
+    route = W.partitionBy("reporting_carrier", "flight_number", "year", "origin", "destination")
+    any_of = lambda prefix, w: [F.bit_or(s).over(w).alias(n) for s, n in zip(B.words("s"), B.words(prefix))]
+    return compared.select("*", *any_of("f", flight), *any_of("r", route))
+
 
+def _reasons(compared: DataFrame) -> DataFrame:
+    """False days parted by reason: words ``t`` wrong time, ``o`` wrong route, ``x`` no operation at all."""
+    with_days = _with_operations(compared).withColumns(dict(zip(B.words("e"), B.only("c", "s"))))
+    with_days = with_days.withColumns(dict(zip(B.words("q"), B.only("f", "r"))))  # flown, but not on this route
+    return with_days.select("*", *B.named(B.both("e", "r"), "t"), *B.named(B.both("e", "q"), "o"), *B.named(B.only("e", "f"), "x"))
 
-def classify_extra_rows(errors: DataFrame, sched: DataFrame) -> DataFrame:
-    """Adds why a false row is wrong: ``route``, ``time`` or ``not_operating``."""
-    keys = sched.select(*FLIGHT_DAY).distinct().withColumn("_key", F.lit(True))
-    routes = sched.select(*FLIGHT_DAY, "origin", "destination").distinct().withColumn("_route", F.lit(True))
-    joined = errors.join(keys, list(FLIGHT_DAY), "left").join(routes, [*FLIGHT_DAY, "origin", "destination"], "left")
-    reason = F.when(F.col("_route"), "time").when(F.col("_key"), "route").otherwise("not_operating")
-    return joined.select(*errors.columns, reason.alias("reason"))
+
+def false_row_reasons(periods: DataFrame, sched: DataFrame) -> DataFrame:
+    """False rows with why they are wrong: ``route``, ``time`` or ``not_operating``."""
+    sets = _reasons(compared_days(periods, sched))
+    out = None
+    for prefix, reason in (("o", "route"), ("t", "time"), ("x", "not_operating")):
+        part = B.dates(sets, [F.col(n) for n in B.words(prefix)], SIGNATURE).select(*SCHEDULE_COLUMNS, F.lit(reason).alias("reason"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def reconstruction_accuracy(periods: DataFrame, sched: DataFrame, label: str) -> DataFrame:
     """One row: expanded, exact, false, missing, reasons, recall and precision.
 
-    The source is taken as a set, as the comparison is set based.
+    Both sides are sets of days, compared as bitmaps in one shuffle of a row per signature and year.
     """
-    source = sched.select(*SCHEDULE_COLUMNS).distinct()
-    compared = _compare(expand_periods(periods), source)
-    errors = compared.where("source = 0")
-    reasons = classify_extra_rows(errors.select(*SCHEDULE_COLUMNS), sched).agg(
-        F.count_if(F.col("reason") == "route").alias("r"), F.count_if(F.col("reason") == "time").alias("t"),
-        F.count_if(F.col("reason") == "not_operating").alias("x"),
-    ).select(F.struct("r", "t", "x").alias("s"))
-    totals = compared.agg(
-        F.sum("claimed").alias("expanded_rows"), F.count_if(F.expr("source = 0")).alias("false_positive_rows"),
-        F.count_if(F.expr("claimed = 0")).alias("false_negative_rows"), F.count_if(F.expr("source > 0")).alias("source_rows"),
-    ).withColumn("_s", reasons.scalar())
+    sets = _reasons(compared_days(periods, sched))
+    column = lambda prefix: [F.col(n) for n in B.words(prefix)]
+    totals = sets.agg(
+        F.sum(B.size(column("c"))).alias("expanded_rows"), F.sum(B.size(column("e"))).alias("false_positive_rows"),
+        F.sum(B.size(B.only("s", "c"))).alias("false_negative_rows"), F.sum(B.size(column("s"))).alias("source_rows"),
+        F.sum(B.size(column("o"))).alias("_o"), F.sum(B.size(column("t"))).alias("_t"), F.sum(B.size(column("x"))).alias("_x"),
+    )
     exp, fp, fn, src = (F.col(c) for c in ("expanded_rows", "false_positive_rows", "false_negative_rows", "source_rows"))
     return totals.select(
         F.lit(label).alias("representation"), exp, (exp - fp).alias("exact_matches"), fp, fn,
-        F.col("_s.r").alias("route_mismatch_candidates"),
-        F.col("_s.t").alias("schedule_time_mismatch_candidates"),
-        F.col("_s.x").alias("false_positive_nonoperating_dates"),
+        F.col("_o").alias("route_mismatch_candidates"),
+        F.col("_t").alias("schedule_time_mismatch_candidates"),
+        F.col("_x").alias("false_positive_nonoperating_dates"),
         F.round((src - fn) / src, 9).alias("source_recall"),
         F.round((exp - fp) / exp, 9).alias("expanded_precision"),
     )
 
 
+FLIGHT = ("reporting_carrier", "flight_number")
+
+
 def reconstruct_keys(keys: DataFrame, periods: DataFrame) -> DataFrame:
     """Schedule rows of (carrier, number, date) keys according to the periods."""
-    day = F.col("flight_date")
-    inside = day.between(F.col("valid_from"), F.col("valid_to")) & clock.mask_includes(
-        F.col("weekday_mask"), clock.iso_weekday(day)
-    )
-    wanted = keys.select(*FLIGHT_DAY).distinct().withColumn("month_bin", F.trunc("flight_date", "MM"))
-    return wanted.join(
-        month_bins(periods), ["reporting_carrier", "flight_number", "month_bin"]
-    ).where(inside).select(*SCHEDULE_COLUMNS)
+    asked = B.of_rows(keys, FLIGHT, "k")
+    met = B.of_periods(periods).join(asked, [*FLIGHT, "year"])
+    return B.dates(met, B.both("b", "k"), SIGNATURE).select(*SCHEDULE_COLUMNS)
 
 
 def month_bins(periods: DataFrame) -> DataFrame:
@@ -174,14 +193,13 @@ def stratified_keys(sched: DataFrame, routes: DataFrame, times: DataFrame, n: in
 
 
 def sample_reconstruction(keys: DataFrame, periods: DataFrame, sched: DataFrame, label: str) -> DataFrame:
-    """The accuracy of sampled keys only."""
-    wanted = keys.select(*FLIGHT_DAY).distinct()
-    source = sched.select(*SCHEDULE_COLUMNS).distinct().join(wanted, list(FLIGHT_DAY), "left_semi")
-    compared = _compare(reconstruct_keys(wanted, periods), source)
+    """The accuracy of sampled keys only: both sides cut to the days that their flight number is asked for."""
+    met = compared_days(periods, sched).join(B.of_rows(keys, FLIGHT, "k"), [*FLIGHT, "year"])
+    cut = met.select(*B.named(B.both("c", "k"), "c"), *B.named(B.both("s", "k"), "s"))
     src, fn = F.col("source_segments"), F.col("false_negative_rows")
-    return compared.agg(
-        F.count_if(F.expr("source > 0")).alias("source_segments"), F.sum("claimed").alias("reconstructed_segments"),
-        F.count_if(F.expr("source = 0")).alias("false_positive_rows"), F.count_if(F.expr("claimed = 0")).alias("false_negative_rows"),
+    return cut.agg(
+        F.sum(B.size([F.col(n) for n in B.words("s")])).alias("source_segments"), F.sum(B.size([F.col(n) for n in B.words("c")])).alias("reconstructed_segments"),
+        F.sum(B.size(B.only("c", "s"))).alias("false_positive_rows"), F.sum(B.size(B.only("s", "c"))).alias("false_negative_rows"),
     ).select(
         F.lit(label).alias("representation"), src, "reconstructed_segments", "false_positive_rows", fn,
         F.round((src - fn) / src, 9).alias("exact_source_row_accuracy"),

@@ -115,6 +115,9 @@ psource AS (SELECT DISTINCT {COLS} FROM sched JOIN picked USING (reporting_carri
         "pattern_periods": s(PATTERN) + "SELECT * FROM pattern",
         "expand_periods": s(PATTERN, expanded("pattern", "x")) + "SELECT * FROM x",
         "pattern_exclusions": s(PATTERN, expanded("pattern", "x")) + "SELECT * FROM x EXCEPT SELECT * FROM sched",
+        "false_row_reasons": s(PATTERN, expanded("pattern", "pattern_x"), pattern_f) + """SELECT *, CASE WHEN (reporting_carrier, flight_number, flight_date, origin, destination) IN (SELECT (reporting_carrier, flight_number, flight_date, origin, destination) FROM sched) THEN 'time'
+            WHEN (reporting_carrier, flight_number, flight_date) IN (SELECT (reporting_carrier, flight_number, flight_date) FROM sched) THEN 'route' ELSE 'not_operating' END AS reason FROM pattern_f""",
+        "missing_rows": w(FLIGHTS, SCHED.replace("sched AS", "all_sched AS", 1), "sched AS (SELECT * FROM all_sched WHERE month(flight_date) <= 6)", PATTERN, expanded("pattern", "x")) + f"SELECT {COLS} FROM all_sched EXCEPT SELECT {COLS} FROM x",
         "reconstruction_accuracy": s(WEEKS, EXACT, PATTERN, expanded("exact", "exact_x"), expanded("pattern", "pattern_x"), exact_f, pattern_f) + accuracy("exact", "exact") + " UNION ALL " + accuracy("pattern", "pattern"),
         "sample_reconstruction": s(DAYS, WEEKS, EXACT, PATTERN, STABLE, MODES, TIMES, sample_keys, rebuilt("exact"), rebuilt("pattern")) + sample("exact") + " UNION ALL " + sample("pattern"),
         "compaction_summary": s(WEEKS, EXACT, PATTERN, expanded("pattern", "x")) + f"""SELECT *, {r('source_rows / exact_period_rows', 'exact_row_ratio', 6)}, {r('source_rows / pattern_period_rows', 'pattern_row_ratio', 6)} FROM (

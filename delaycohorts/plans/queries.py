@@ -619,10 +619,24 @@ def expand_periods(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def pattern_exclusions(spark: SparkSession, sf: str) -> DataFrame:
-    sched = _schedule(spark, sf)
+    sched = materialize(_schedule(spark, sf))
     return H.pattern_exclusions(H.pattern_periods(sched), sched)
 
 
+@query
+def false_row_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    sched = materialize(_schedule(spark, sf))
+    return H.false_row_reasons(H.pattern_periods(sched), sched)
+
+
+@query
+def missing_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Source rows that periods of the first half of the year alone do not claim."""
+    sched = materialize(_schedule(spark, sf))
+    early = H.pattern_periods(sched.where("month(flight_date) <= 6"))
+    return H.pattern_gaps(early, sched)
+
+
 @query
 def reconstruction_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     sched = materialize(_schedule(spark, sf))

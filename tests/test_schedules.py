@@ -1,4 +1,5 @@
 import datetime as d
+import random
 
 from delaycohorts.operators import lookup as L
 from delaycohorts.operators import payloads as P
@@ -67,3 +68,48 @@ def test_payload_rejects(spark):
     assert got == {"a": "unique_match", "b": "no_match", "c": "malformed_response", "d": "malformed_response", "e": "missing_required_fields"}
     r = P.candidates_of(n).first()
     assert (r.marketing_carrier, r.operating_flight_number, r.origin_iata, r.departure_offset, r.arrival_offset) == ("DL", "DL 1", "ATL", -240, 0)
+
+
+def brute_days(periods):
+    out = set()
+    for key, first, last, mask in periods:
+        day = first
+        while day <= last:
+            if mask >> day.weekday() & 1:
+                out.add((key, day))
+            day += d.timedelta(days=1)
+    return out
+
+
+def test_day_bitmaps_against_listed_days(spark):
+    draw = random.Random(4)
+    start = d.date(1999, 12, 1)  # two leap years and three year ends
+    periods, rows = [], []
+    for k in range(60):
+        first = start + d.timedelta(days=draw.randrange(800))
+        periods.append((str(k % 7), first, first + d.timedelta(days=draw.choice([0, 1, 40, 400])), draw.randrange(128)))
+    for _ in range(900):
+        rows.append((str(draw.randrange(9)), start + d.timedelta(days=draw.randrange(1200))))
+    signature = lambda n: ("DL", n, "ATL", "BOS", 600, 700)
+    p = spark.createDataFrame([(*signature(n), a, b, m) for n, a, b, m in periods] + [(*signature("0"), None, start, 127)], SCHED.split("date, ", 1)[1] + ", valid_from date, valid_to date, weekday_mask int")
+    s = spark.createDataFrame([(day, *signature(n)) for n, day in rows] + [(None, *signature("0"))], SCHED)
+    claimed, source = brute_days(periods), set(rows)
+    listed = lambda df: sorted((r.flight_number, r.flight_date) for r in df.collect())
+    assert listed(H.pattern_exclusions(p, s)) == sorted(claimed - source)
+    assert listed(H.pattern_gaps(p, s)) == sorted(source - claimed)
+    assert listed(H.missing_rows(H.expand_periods(p.where("valid_from is not null")), s.where("flight_date is not null"))) == sorted(source - claimed)
+    a = H.reconstruction_accuracy(p, s, "x").first()
+    assert (a.expanded_rows, a.exact_matches, a.false_positive_rows, a.false_negative_rows) == (len(claimed), len(claimed & source), len(claimed - source), len(source - claimed))
+    keys = s.where("flight_number < '4'")
+    assert listed(H.reconstruct_keys(keys, p)) == sorted(x for x in claimed if x in source and x[0] < "4")
+    few = H.sample_reconstruction(keys, p, s, "x").first()
+    assert (few.source_segments, few.reconstructed_segments, few.false_positive_rows) == (sum(x[0] < "4" for x in source), sum(x in source and x[0] < "4" for x in claimed), 0)
+    assert H.pattern_exclusions(p.limit(0), s).count() == 0 and H.pattern_exclusions(p, s.limit(0)).count() == len(claimed)
+
+
+def test_false_rows_have_reasons(spark):
+    row = lambda o, dest, minute: (DAY + d.timedelta(days=o), "DL", "5", "ATL", dest, minute, 700)
+    s = spark.createDataFrame([row(0, "BOS", 600), row(1, "JFK", 600), row(2, "BOS", 630)], SCHED)
+    p = spark.createDataFrame([("DL", "5", "ATL", "BOS", 600, 700, DAY, DAY + d.timedelta(days=3), 127)], SCHED.split("date, ", 1)[1] + ", valid_from date, valid_to date, weekday_mask int")
+    got = {((r.flight_date - DAY).days, r.reason) for r in H.false_row_reasons(p, s).collect()}
+    assert got == {(1, "route"), (2, "time"), (3, "not_operating")}
