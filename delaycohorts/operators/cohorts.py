@@ -1,9 +1,8 @@
 """Cohorts for whole tables of cases: ladder counts, level choice, member histograms.
 
 Every question here is "how many rows of key K lie in [start, end)". It is answered by a
-difference of two running totals, taken in one window per key over (daily counts + request
-marks). There is no range join, nothing is paired up, and a key never holds more rows than
-calendar days plus distinct request bounds.
+difference of two running totals over the days of a place (see ``packed``). There is no range
+join, nothing is paired up, and a group never holds more facts than calendar days, buckets and delays.
 """
 
 from __future__ import annotations
@@ -11,9 +10,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from delaycohorts.operators import packed
 from delaycohorts.session import materialize
 
 # Ladder levels from narrow to broad.
@@ -105,18 +104,6 @@ def _key(level: str, month: str, date: str, bucket: str) -> str:
     return f"named_struct('k_hash', xxhash64({text}), 'k_text', {text})"
 
 
-def _fact_keys(levels: Sequence[str]) -> Column:
-    """Keys a history row counts for; a season key is the month or one of its neighbours."""
-    month = "month(flight_date)"
-    keys = []
-    for level in levels:
-        around = (11, 0, 1) if level == "route_carrier_season" else (None,)
-        for shift in around:
-            m = month if shift is None else f"(({month} - 1 + {shift}) % 12 + 1)"
-            keys.append(_key(level, m, "flight_date", "bucket"))
-    return F.expr("array(" + ", ".join(keys) + ")")
-
-
 CASE_BUCKET = (
     "case when departure_minutes < 360 then 'overnight' when departure_minutes < 720 then 'morning' "
     "when departure_minutes < 1080 then 'afternoon' else 'evening' end"
@@ -133,43 +120,6 @@ def case_key(level: str) -> Column:
     return _case_keys([level])[0]
 
 
-def _prune(facts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Facts that some request asks for; the join strategy follows from measured sizes."""
-    return facts.join(wanted.select(*KEY).distinct(), list(KEY), "left_semi")
-
-
-def sums_in_bounds(
-    facts: DataFrame, requests: DataFrame, keys: Sequence[str], measures: Sequence[str]
-) -> DataFrame:
-    """Per request (keys + bounds): sum of each measure over start <= date < end.
-
-    ``facts`` holds one row per key and ``flight_date``; ``requests`` is distinct.
-    """
-    none = F.lit(None).cast("date")
-    marks = requests.select(
-        *keys, *BOUNDS,
-        F.explode(F.array(
-            F.struct(F.col("hist_start").alias("at"), F.lit(-1).alias("sign")),
-            F.struct(F.col("hist_end").alias("at"), F.lit(1).alias("sign")),
-        )).alias("m"),
-    ).select(*keys, *BOUNDS, "m.at", "m.sign", *[F.lit(0).cast("bigint").alias(c) for c in measures])
-    rows = facts.select(
-        *keys, none.alias("hist_start"), none.alias("hist_end"), F.col("flight_date").alias("at"),
-        F.lit(0).alias("sign"), *measures,
-    )
-    # marks sort before the facts of their own day: the bound itself is excluded
-    before = (
-        W.partitionBy(*keys).orderBy("at", F.abs("sign").desc())
-        .rowsBetween(W.unboundedPreceding, W.currentRow)
-    )
-    run = rows.unionByName(marks).select(
-        *keys, *BOUNDS, "sign", *[F.sum(c).over(before).alias(c) for c in measures]
-    )
-    return run.where("sign != 0").groupBy(*keys, *BOUNDS).agg(
-        *[F.sum(F.col(c) * F.col("sign")).cast("bigint").alias(c) for c in measures]
-    )
-
-
 def level_requests(cases: DataFrame, levels: Sequence[str] = LEVELS) -> DataFrame:
     """Every case once per level, with the level's key."""
     keys = F.posexplode(_case_keys(levels))
@@ -178,43 +128,23 @@ def level_requests(cases: DataFrame, levels: Sequence[str] = LEVELS) -> DataFram
     )
 
 
-def count_levels(
-    requests: DataFrame, daily: DataFrame, levels: Sequence[str], measures: Sequence[str],
-) -> DataFrame:
-    """``requests`` with the measures of their key summed inside their bounds."""
-    wanted = requests.select(*KEY, *BOUNDS).distinct()
-    per_day = daily.groupBy("carrier", "origin", "destination", "flight_date", "bucket").agg(
-        *[F.sum(m).alias(m) for m in measures]
-    )
-    facts = per_day.select("flight_date", *measures, F.explode(_fact_keys(levels)).alias("k")).select(
-        *[F.col(f"k.{c}").alias(c) for c in KEY], "flight_date", *measures
-    )
-    facts = _prune(facts, wanted)
-    facts = facts.groupBy(*KEY, "flight_date").agg(*[F.sum(m).alias(m) for m in measures])
-    counted = sums_in_bounds(facts, wanted, KEY, measures)
-    return requests.join(counted, [*KEY, *BOUNDS])
-
-
 def _profiled(cases: DataFrame, levels: Sequence[str]) -> DataFrame:
     """``cases`` plus ``_profile``: all that decides their keys at these levels, and the bounds."""
-    parts = {"month": F.month("prediction_date"), "dow": F.weekday("prediction_date"), "bucket": F.expr(CASE_BUCKET)}
+    parts = {"month": F.month("prediction_date"), "dow": F.weekday("prediction_date") + 1, "bucket": F.expr(CASE_BUCKET)}
     used = dict.fromkeys(name for level in levels for name in _USES[level])
     return cases.withColumn("_profile", F.struct(*[parts.get(c, F.col(c)).alias(c) for c in used], *BOUNDS))
 
 
 def count_profiles(cases: DataFrame, daily: DataFrame, levels: Sequence[str], measures: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """``cases`` with their profile, and one row per distinct profile and level with its measures.
+    """``cases`` with their profile, and one row per distinct profile with ``c_<level>``, its measures per level.
 
-    Cases of one profile have equal keys and bounds, so only profiles go up the ladder. A broad key
-    that half of all cases ask for meets as many rows as there are profiles, not cases.
+    Cases of one profile have equal keys and bounds, so only profiles are counted.
     """
     marked = _profiled(cases, levels)
-    day, minute = F.min("prediction_date").alias("prediction_date"), F.min("departure_minutes").alias("departure_minutes")
-    heads = marked.groupBy("_profile").agg(day, minute)
-    places = ("carrier", "origin", "destination", *BOUNDS)
-    asked = heads.select("_profile", *[F.col(f"_profile.{c}").alias(c) for c in places], "prediction_date", "departure_minutes")
-    requests = level_requests(asked, levels).select("_profile", "level_index", *KEY, *BOUNDS)
-    return marked, count_levels(requests, daily, levels, measures)
+    fields = marked.schema["_profile"].dataType.names
+    heads = marked.select("_profile").distinct().select(*[F.col(f"_profile.{c}").alias(c) for c in fields])
+    counted = packed.level_counts(heads, daily, levels, measures)
+    return marked, counted.select(F.struct(*fields).alias("_profile"), *[f"c_{level}" for level in levels])
 
 
 def profile_heads(cases: DataFrame, levels: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -233,9 +163,7 @@ def cohort_counts(
 ) -> DataFrame:
     """Size of all seven levels per case, as columns ``n_<level>``."""
     marked, counted = count_profiles(cases, daily, LEVELS, ["n"])
-    sizes = counted.groupBy("_profile").agg(
-        *[F.max(F.when(F.col("level_index") == i, F.col("n"))).alias(f"n_{level}") for i, level in enumerate(LEVELS)]
-    )
+    sizes = counted.select("_profile", *[F.col(f"c_{level}")[0].alias(f"n_{level}") for level in LEVELS])
     return marked.join(sizes, "_profile").drop("_profile")
 
 
@@ -291,23 +219,16 @@ def select_cohorts(
     return materialize(choose_level(cohort_counts(cases, daily), min_obs))
 
 
+def packed_histograms(requests: DataFrame, daily: DataFrame, levels: Sequence[str] = LEVELS, qs: Sequence[float] = ()) -> DataFrame:
+    """One written row per requested cohort: sorted delays, counts, quantiles at ``qs``; requests carry KEY and BOUNDS."""
+    return packed.histograms(requests, daily, levels, qs)
+
+
 def member_histograms(
     requests: DataFrame, daily: DataFrame, levels: Sequence[str] = LEVELS,
 ) -> DataFrame:
-    """``key, bounds, delay, n`` of the requested cohorts; requests carry KEY and BOUNDS.
-
-    The window runs per key *and* delay, which also spreads a hot key over many tasks. The
-    result is written once: quantiles, ranks and probabilities all read it.
-    """
-    wanted = requests.where(F.col("k_text").isNotNull()).select(*KEY, *BOUNDS).distinct()
-    facts = daily.select("flight_date", "delay", "n", F.explode(_fact_keys(levels)).alias("k")).select(
-        *[F.col(f"k.{c}").alias(c) for c in KEY], "flight_date", "delay", "n"
-    )
-    facts = _prune(facts, wanted)
-    facts = facts.groupBy(*KEY, "delay", "flight_date").agg(F.sum("n").alias("n"))
-    delays = facts.select(*KEY, "delay").distinct()
-    per_delay = wanted.join(delays, list(KEY))
-    return materialize(sums_in_bounds(facts, per_delay, (*KEY, "delay"), ["n"]).where("n > 0"))
+    """``key, bounds, delay, n`` of the requested cohorts, read off their written packed rows."""
+    return packed.unpacked(packed_histograms(requests, daily, levels))
 
 
 def status_probabilities(
@@ -325,14 +246,14 @@ def status_probabilities(
         F.count_if("diverted").alias("diverted"),
     )
     marked, counted = count_profiles(cases, daily, STATUS_LEVELS, measures)
+    found = F.array(*[f"c_{level}" for level in STATUS_LEVELS])
     last = len(STATUS_LEVELS) - 1
-    enough = (F.col("total") >= min_obs) | ((F.col("level_index") == last) & (F.col("total") > 0))
-    best = F.min(F.when(enough, F.col("level_index")))
-    at = lambda i, c: F.max(F.when(F.col("level_index") == i, F.col(c)))
-    arrays = [F.array(*[at(i, m) for i in range(len(STATUS_LEVELS))]).alias(f"_{m}") for m in measures]
-    shares = counted.groupBy("_profile").agg(best.alias("_best"), *arrays).where("_best is not null")
-    wide = marked.join(shares, "_profile")
-    value = lambda m: F.col(f"_{m}")[F.col("_best")]
+    enough = F.coalesce(*[
+        F.when((F.col(f"c_{level}")[0] >= min_obs) | ((F.col(f"c_{level}")[0] > 0) & F.lit(i == last)), i) for i, level in enumerate(STATUS_LEVELS)
+    ])
+    shares = counted.select("_profile", enough.alias("_best"), found.alias("_found")).where("_best is not null")
+    wide = marked.join(shares, "_profile").withColumn("_chosen", F.col("_found")[F.col("_best")])
+    value = lambda m: F.col("_chosen")[measures.index(m)]
     names = F.array(*[F.lit(level) for level in STATUS_LEVELS])
     return wide.select(
         *cases.columns,

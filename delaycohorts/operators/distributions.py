@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from delaycohorts.functions.transfer import Transfer
-from delaycohorts.operators.cohorts import BOUNDS, KEY
+from delaycohorts.operators import packed
+from delaycohorts.operators.cohorts import BOUNDS, KEY, packed_histograms
 
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9, 0.95)
 
@@ -84,6 +85,15 @@ def evaluate_cases(
     return out.select(*case_columns, *names, "cohort_n", *results)
 
 
+def evaluate_cohorts(
+    selected: DataFrame, daily: DataFrame, *, case_columns: Sequence[str], layover: Column | None = None,
+    actual: Column | None = None, qs: Sequence[float] = (0.5, 0.75, 0.9), transfer: Transfer = Transfer(),
+) -> DataFrame:
+    """What ``evaluate_cases`` gives, for cases of selected cohorts: each cohort is one packed row, met once per case."""
+    rows = packed_histograms(selected, daily, qs=qs)
+    return packed.evaluate(selected, rows, [quantile_name(q) for q in qs], case_columns, layover, actual, transfer)
+
+
 def with_runs(hist: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """Adds the 0-based first and last position of each value, the total and the next value."""
     by_value = W.partitionBy(*keys).orderBy(value)

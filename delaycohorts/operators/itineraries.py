@@ -125,9 +125,8 @@ def score_itineraries(
     )
     daily = materialize(C.daily_delay_counts(history))
     selected = C.select_cohorts(C.with_bounds(usable, lookback), daily, min_obs)
-    members = C.member_histograms(selected, daily)
-    scored = D.evaluate_cases(
-        selected, members, case_columns=["case_id", "cohort_level", "cohort_size", "hist_start", "hist_end", "layover_minutes"],
+    scored = D.evaluate_cohorts(
+        selected, daily, case_columns=["case_id", "cohort_level", "cohort_size", "hist_start", "hist_end", "layover_minutes"],
         layover=F.col("layover_minutes"), transfer=transfer,
     ).withColumnRenamed("case_id", "request_id").drop("layover_minutes", "cohort_n")
     key = codes.itinerary_key(*[F.col(c) for c in (

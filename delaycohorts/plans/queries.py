@@ -287,8 +287,7 @@ def cohort_members(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def cohort_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     selected, daily = _selected(spark, sf)
-    members = C.member_histograms(selected, daily)
-    return rounded(D.evaluate_cases(selected, members, case_columns=["case_id"], qs=D.QUANTILES))
+    return rounded(D.evaluate_cohorts(selected, daily, case_columns=["case_id"], qs=D.QUANTILES))
 
 
 @query
@@ -296,9 +295,8 @@ def delay_distribution(spark: SparkSession, sf: str) -> DataFrame:
     history = materialize(_history(spark, sf))
     daily = materialize(C.daily_delay_counts(history))
     selected = C.select_cohorts(_cases(spark, sf), daily)
-    members = C.member_histograms(selected, daily)
     keep = ["case_id", "prediction_date", "hist_start", "hist_end", "cohort_level", "cohort_size"]
-    rows = D.evaluate_cases(selected, members, case_columns=keep, qs=(0.1, 0.25, 0.5, 0.75, 0.9))
+    rows = D.evaluate_cohorts(selected, daily, case_columns=keep, qs=(0.1, 0.25, 0.5, 0.75, 0.9))
     return rounded(C.history_coverage(rows, history).drop("cohort_n", "hist_start", "hist_end"))
 
 
@@ -306,9 +304,7 @@ def delay_distribution(spark: SparkSession, sf: str) -> DataFrame:
 def connection_probability(spark: SparkSession, sf: str) -> DataFrame:
     """How likely is each connection? The flagship."""
     selected, daily = _selected(spark, sf)
-    members = C.member_histograms(selected, daily)
-    return rounded(D.evaluate_cases(
-        selected, members, case_columns=["case_id", "cohort_level", "cohort_size", "layover_minutes"], layover=F.col("layover_minutes"),
+    return rounded(D.evaluate_cohorts(selected, daily, case_columns=["case_id", "cohort_level", "cohort_size", "layover_minutes"], layover=F.col("layover_minutes"),
     ))
 
 

@@ -56,9 +56,8 @@ def fixed_bounds(cases: DataFrame, holdouts: Holdouts) -> DataFrame:
 def arrival_rows(cases: DataFrame, daily: DataFrame, min_obs: int | Column = 30, qs=(0.5, 0.75, 0.9)) -> DataFrame:
     """Bounded cases with the chosen level, quantiles and CRPS."""
     selected = C.select_cohorts(cases, daily, min_obs)
-    members = C.member_histograms(selected, daily)
     keep = [*cases.columns, "n_route_carrier", "cohort_level", "cohort_size"]
-    return D.evaluate_cases(selected, members, case_columns=keep, actual=F.col("actual"), qs=qs)
+    return D.evaluate_cohorts(selected, daily, case_columns=keep, actual=F.col("actual"), qs=qs)
 
 
 def connection_rows(
@@ -68,9 +67,8 @@ def connection_rows(
     """Bounded cases (with status) to conditional, combined probability and replayed outcome."""
     routed = materialize(X.connection_options(cases, records, seed, default))
     selected = C.select_cohorts(routed, daily, min_obs)
-    members = C.member_histograms(selected, daily)
-    scored = D.evaluate_cases(
-        selected, members, case_columns=[*routed.columns, "cohort_level", "cohort_size"],
+    scored = D.evaluate_cohorts(
+        selected, daily, case_columns=[*routed.columns, "cohort_level", "cohort_size"],
         layover=F.col("layover_minutes"), transfer=transfer,
     ).withColumnRenamed("probability", "conditional_probability")
     shares = C.status_probabilities(cases, records, min_obs).select(
@@ -418,7 +416,7 @@ def candidate_parity(
     """
     minimums = F.explode(F.array(*[F.lit(m) for m in eager_minimums])).alias("eager_minimum")
     lazy_sel = C.select_cohorts(cases, daily, min_obs)
-    lazy = D.evaluate_cases(lazy_sel, C.member_histograms(lazy_sel, daily), case_columns=["case_id", "cohort_level"], qs=qs)
+    lazy = D.evaluate_cohorts(lazy_sel, daily, case_columns=["case_id", "cohort_level"], qs=qs)
     requests = materialize(C.level_requests(cases).select("case_id", "level_index", *C.KEY, *C.BOUNDS))
     members = C.member_histograms(requests, daily)
     sized = D.quantiles(members, [*C.KEY, *C.BOUNDS], qs)
@@ -485,9 +483,8 @@ def boundary_rows(
         df.where("k_text is not null").select("case_id", "layover_minutes", F.lit(name).alias("role"), "cohort_level", "cohort_size", *C.KEY, *C.BOUNDS)
         for name, df in roles.items()
     ])
-    members = C.member_histograms(wanted, daily)
-    scored = D.evaluate_cases(
-        wanted, members, case_columns=["case_id", "layover_minutes", "role", "cohort_level", "cohort_size"],
+    scored = D.evaluate_cohorts(
+        wanted, daily, case_columns=["case_id", "layover_minutes", "role", "cohort_level", "cohort_size"],
         layover=F.col("layover_minutes"), transfer=transfer,
     )
     at = lambda role, c: F.max(F.when(F.col("role") == role, F.col(c)))
@@ -540,7 +537,7 @@ def threshold_study(
     hard = materialize(C.choose_level(crossed, F.col("threshold")).withColumn("method", F.format_string("hard_n%d", "threshold")))
     keep = ["case_id", "test_year", "method", "cohort_level", "specific_weight", "actual", "status", "layover_minutes"]
     hard = hard.withColumn("specific_weight", F.lit(None).cast("double"))
-    rows_hard = D.evaluate_cases(hard, C.member_histograms(hard, daily), case_columns=keep, layover=F.col("layover_minutes"), actual=F.col("actual"), transfer=transfer)
+    rows_hard = D.evaluate_cohorts(hard, daily, case_columns=keep, layover=F.col("layover_minutes"), actual=F.col("actual"), transfer=transfer)
     hist, blended = blend_cohorts(counted, daily)
     blended = blended.withColumn("method", F.lit("research_blend_n_over_60")).withColumn("cohort_level", F.col("blend_label"))
     rows_blend = D.evaluate_cases(blended, hist, case_columns=keep, layover=F.col("layover_minutes"), actual=F.col("actual"), transfer=transfer, value="value", keys=("case_id",))

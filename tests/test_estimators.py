@@ -91,8 +91,7 @@ def test_ladder_matches_brute_force(spark):
     daily = C.daily_delay_counts(history(spark, rows))
     bounded = C.with_bounds(spark.createDataFrame(cases, CASE), 12)
     selected = C.select_cohorts(bounded, daily, 30)
-    members = C.member_histograms(selected, daily)
-    scored = D.evaluate_cases(selected, members, case_columns=["case_id"], actual=F.lit(5.0), layover=F.lit(70))
+    scored = D.evaluate_cohorts(selected, daily, case_columns=["case_id"], actual=F.lit(5.0), layover=F.lit(70))
     got = {r.case_id: r for r in selected.collect()}
     scores = {r.case_id: r for r in scored.collect()}
     for case in cases:
