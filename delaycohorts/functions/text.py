@@ -54,11 +54,12 @@ def redact(text: Column, secrets: list[str]) -> Column:
     return text
 
 
-def is_json(text: Column) -> Column:
-    return F.try_parse_json(text).isNotNull()
+def parsed_json(text: Column) -> Column:
+    """The text as VARIANT, null if it is no JSON; parse once and hand the column to the functions below."""
+    return F.try_parse_json(text)
 
 
-def body_kind(body: Column, content_type: Column) -> Column:
+def body_kind(body: Column, content_type: Column, parsed: Column) -> Column:
     declared = F.lower(F.coalesce(content_type, F.lit("")))
     start = F.lower(F.ltrim(body))
     looks_json = F.contains(declared, F.lit("json")) | start.rlike(r"\A[{\[]")
@@ -66,7 +67,7 @@ def body_kind(body: Column, content_type: Column) -> Column:
     printable = F.startswith(declared, F.lit("text/")) | ~body.rlike(r"[\x00-\x08\x0e-\x1b\x7f]")
     return (
         F.when(body.isNull() | (body == ""), "empty")
-        .when(looks_json, F.when(is_json(body), "json").otherwise("text"))
+        .when(looks_json, F.when(parsed.isNotNull(), "json").otherwise("text"))
         .when(looks_html, "html")
         .when(printable, "text")
         .otherwise("unknown")
@@ -81,32 +82,31 @@ def body_marker(body: Column) -> Column:
     return chain.otherwise("unknown")
 
 
-def has_quota_code(body: Column) -> Column:
-    hits = [
-        F.lower(F.get_json_object(body, f"$.{field}")).isin(*QUOTA_CODES)
-        for field in ("code", "error", "type")
-    ]
+_CODE_FIELDS = ("code", "error", "type")
+
+
+def has_quota_code(parsed: Column) -> Column:
+    hits = [F.lower(F.try_variant_get(parsed, f"$.{field}", "string")).isin(*QUOTA_CODES) for field in _CODE_FIELDS]
     return reduce(lambda a, b: a | b, [F.coalesce(h, F.lit(False)) for h in hits])
 
 
-def error_code(body: Column) -> Column:
-    """First field holding a short, harmless machine code."""
+def error_code(parsed: Column) -> Column:
+    """First field holding a short, harmless machine code, as JSON text and nothing else."""
     picks = []
-    for field in ("code", "error", "type"):
-        value = F.get_json_object(body, f"$.{field}")
-        part = F.try_variant_get(F.try_parse_json(body), f"$.{field}", "variant")
-        value = F.when(F.schema_of_variant(part) == "STRING", value)
+    for field in _CODE_FIELDS:
+        is_text = F.schema_of_variant(F.try_variant_get(parsed, f"$.{field}", "variant")) == "STRING"
+        value = F.when(is_text, F.try_variant_get(parsed, f"$.{field}", "string"))
         picks.append(F.when(value.rlike(r"\A[A-Za-z0-9_.:-]{1,80}\z") & ~looks_secret(value), value))
     return F.coalesce(*picks)
 
 
-def classify_response(status: Column, body: Column) -> Column:
+def classify_response(status: Column, parsed: Column) -> Column:
     """Outcome class of one logged response; 403 is quota only with a known code."""
     return (
         F.when(status == 204, "no_match")
         .when(status.between(200, 299), "ok")
         .when(status == 401, "authentication")
-        .when((status == 402) | ((status == 403) & has_quota_code(body)), "quota")
+        .when((status == 402) | ((status == 403) & has_quota_code(parsed)), "quota")
         .when(status == 429, "rate_limit")
         .when(status.isin(408, 504), "timeout")
         .otherwise("other_error")

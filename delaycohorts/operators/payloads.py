@@ -22,19 +22,23 @@ _ITEM = (
 
 
 def explode_payloads(log: DataFrame) -> DataFrame:
-    """One row per candidate object; a body that is no JSON array keeps one row with a reason."""
-    body = F.col("body")
-    parsed = F.from_json(body, f"array<{_ITEM}>")
-    variant = F.try_parse_json(body)
-    shape = F.schema_of_variant(variant)
+    """One row per candidate object; a body that is no JSON array keeps one row with a reason.
+
+    A body is parsed once, into a VARIANT that lives for this row only; items and their fields are read
+    off the variant. Null items are kept, as an array may hold them; any other item has to be an object.
+    """
+    parsed = log.select("request_key", "requested_number", "requested_date", F.try_parse_json("body").alias("_body"))
+    listed = parsed.withColumn("_list", F.try_variant_get("_body", "$", "array<variant>"))
+    item = lambda v: F.try_variant_get(v, "$", _ITEM)
+    typed = listed.withColumn("_items", F.transform("_list", lambda v: F.struct(F.is_variant_null(v).alias("blank"), item(v).alias("item"))))
     reason = (
-        F.when(variant.isNull(), "malformed_json").when(~shape.rlike(r"\AARRAY<"), "not_an_array")
-        .when(shape.rlike(r"\AARRAY<(?!OBJECT|VOID)"), "non_object_item")
+        F.when(F.col("_body").isNull(), "malformed_json").when(F.col("_list").isNull(), "not_an_array")
+        .when(F.exists("_items", lambda x: x["item"].isNull() & ~F.coalesce(x["blank"], F.lit(True))), "non_object_item")
     )
-    tagged = log.select("request_key", "requested_number", "requested_date", reason.alias("reject"), parsed.alias("_items"))
+    tagged = typed.select("request_key", "requested_number", "requested_date", reason.alias("reject"), "_items")
     return tagged.select(
         "request_key", "requested_number", "requested_date", "reject",
-        F.posexplode_outer(F.when(F.col("reject").isNull(), F.col("_items"))).alias("item_index", "item"),
+        F.posexplode_outer(F.when(F.col("reject").isNull(), F.transform("_items", lambda x: x["item"]))).alias("item_index", "item"),
     )
 
 
@@ -187,17 +191,23 @@ def provider_coverage(lookups: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def grade_responses(log: DataFrame) -> DataFrame:
-    """Sanitised diagnostics of a response log."""
-    body = F.col("body")
-    kind = text.body_kind(body, F.col("content_type"))
-    return log.select(
-        "event_id", "status", text.classify_response(F.col("status"), body).alias("outcome"), kind.alias("body_kind"),
+    """Sanitised diagnostics of a response log; every body is parsed once."""
+    body, kind, parsed = F.col("body"), F.col("body_kind"), F.col("_parsed")
+    read = log.withColumn("_parsed", text.parsed_json(body))
+    known = read.withColumn("body_kind", text.body_kind(body, F.col("content_type"), parsed))
+    return known.select(
+        "event_id", "status", text.classify_response(F.col("status"), parsed).alias("outcome"), "body_kind",
         F.when(kind.isin("html", "text"), text.body_marker(body)).alias("body_marker"),
-        F.when(kind == "json", text.error_code(body)).alias("error_code"),
+        F.when(kind == "json", text.error_code(parsed)).alias("error_code"),
         F.octet_length(body).cast("int").alias("body_length"),
     )
 
 
+def log_values(df: DataFrame, key: str, column: str = "text") -> DataFrame:
+    """``key`` with what of a whole text may be logged: bounded metadata (null if secret) and message (redacted if secret)."""
+    return df.select(key, text.safe_metadata(F.col(column)).alias("metadata"), text.safe_message(F.col(column)).alias("message"))
+
+
 def flag_secrets(df: DataFrame, column: str = "text") -> DataFrame:
     """Adds ``secret_bearing`` for the whole text."""
     return df.withColumn("secret_bearing", text.looks_secret(F.col(column)))

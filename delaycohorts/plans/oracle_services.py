@@ -200,6 +200,8 @@ def payloads() -> dict[str, str]:
         "classify_response": w(log) + """SELECT event_id, status, CASE k WHEN 0 THEN 'no_match' WHEN 1 THEN 'authentication' WHEN 2 THEN 'quota' WHEN 3 THEN 'quota' WHEN 4 THEN 'other_error' WHEN 5 THEN 'rate_limit' WHEN 6 THEN 'timeout' WHEN 7 THEN 'timeout' WHEN 8 THEN 'other_error' ELSE 'ok' END AS outcome,
             CASE WHEN body = '' THEN 'empty' WHEN k = 4 THEN 'html' WHEN k = 5 THEN 'text' WHEN json_valid(body) THEN 'json' ELSE 'text' END AS body_kind,
             CASE WHEN k = 4 THEN 'access_denied' WHEN k = 5 THEN 'cloudflare' WHEN body <> '' AND NOT json_valid(body) THEN 'unknown' END AS body_marker, CASE WHEN k = 3 THEN 'QUOTA_EXCEEDED' END AS error_code, CAST(strlen(body) AS INT) AS body_length FROM bodies""",
+        "log_values": f"""WITH d AS (SELECT doc_id, trim(regexp_replace(text, '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g')) AS text FROM documents)
+            SELECT doc_id, CASE WHEN text <> '' AND NOT {secret} THEN substr(text, 1, 200) END AS metadata, CASE WHEN {secret} THEN '[REDACTED]' ELSE nullif(substr(text, 1, 160), '') END AS message FROM d""",
         "flag_secrets": f"SELECT doc_id, {secret} AS secret_bearing FROM documents",
         "redact": f"SELECT doc_id, md5({redacted}) AS digest, CAST(length({redacted}) AS INT) AS length FROM documents",
     }

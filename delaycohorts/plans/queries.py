@@ -53,19 +53,15 @@ def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
 
 
 def _raw(spark: SparkSession, sf: str) -> DataFrame:
-    """The text rows as landed files, as a user has them.
-
-    The texts are derived here; inlined into the cleaning they outgrow the limit of generated code.
-    """
-    return materialize(dt.raw_rows(spark, sf))
+    return dt.raw_rows(spark, sf)
 
 
 def _raw_wide(spark: SparkSession, sf: str) -> DataFrame:
-    return materialize(dt.raw_wide_rows(spark, sf))
+    return dt.raw_wide_rows(spark, sf)
 
 
 def _payload_log(spark: SparkSession, sf: str) -> DataFrame:
-    return materialize(dp.payload_log(spark, sf))
+    return dp.payload_log(spark, sf)
 
 
 def _history(spark: SparkSession, sf: str) -> DataFrame:
@@ -880,6 +876,11 @@ def flag_secrets(spark: SparkSession, sf: str) -> DataFrame:
     return P.flag_secrets(dt.table(spark, sf, "documents")).select("doc_id", "secret_bearing")
 
 
+@query
+def log_values(spark: SparkSession, sf: str) -> DataFrame:
+    return P.log_values(dt.table(spark, sf, "documents"), "doc_id")
+
+
 @query
 def redact(spark: SparkSession, sf: str) -> DataFrame:
     """Whole texts with listed secrets replaced, compared by digest."""

@@ -52,10 +52,14 @@ def _pick(text: str, width: int, index: Column) -> Column:
 
 
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per lineitem with the small integers everything else is built from."""
+    """One row per lineitem with the small integers everything else is built from.
+
+    Rows are dealt out by order before anything is derived: a file of one row group is one task, and the
+    join with large orders needs this exchange anyway.
+    """
     li = table(spark, sf_dir, "lineitem", [
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_tax", "l_returnflag", "l_shipdate",
-    ])
+    ]).repartition("l_orderkey")
     od = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
     cu = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     su = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")

@@ -73,7 +73,7 @@ def test_labels(spark):
 def test_secrets_and_responses(spark):
     s = text.looks_secret
     assert one(spark, s(F.lit("Bearer abc")), s(F.lit("x" * 24)), s(F.lit("plain words")), s(F.lit(None).cast("string"))) == (True, True, False, False)
-    c = lambda status, body: text.classify_response(F.lit(status), F.lit(body))
+    c = lambda status, body: text.classify_response(F.lit(status), text.parsed_json(F.lit(body)))
     assert one(spark, c(403, '{"code":"quota_exceeded"}'), c(403, "nope"), c(429, ""), c(204, ""), c(200, "[]")) == ("quota", "other_error", "rate_limit", "no_match", "ok")
     assert one(spark, text.redact(F.lit("a secret b secret"), ["secret"])) == ("a [REDACTED] b [REDACTED]",)
 
@@ -88,3 +88,16 @@ def test_minutes_between_ignores_the_session_zone(spark):
         assert df.select(_minutes_between(df.a, df.b)).first()[0] == 120
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_error_codes_are_short_texts(spark):
+    code = lambda body: text.error_code(text.parsed_json(F.lit(body)))
+    got = one(spark, code('{"code":"E1","error":"E2"}'), code('{"code":7,"error":"E2"}'), code('{"code":null,"type":"t"}'), code('{"code":"two words"}'), code('{"code":"api-key"}'), code("[]"), code("{broken"))
+    assert got == ("E1", "E2", "t", None, None, None, None)
+
+
+def test_log_values(spark):
+    m, s = text.safe_metadata, text.safe_message
+    long = "word " * 100
+    assert one(spark, m(F.lit(" a\n\tb ")), m(F.lit(long + "token")), m(F.lit(" \n")), s(F.lit(long + "token")), s(F.lit(" ")), s(F.lit(None).cast("string"))) == ("a b", None, None, "[REDACTED]", None, None)
+    assert one(spark, F.length(m(F.lit(long))), F.length(s(F.lit(long)))) == (200, 160)
