@@ -13,19 +13,25 @@ def hhmm_number(text: Column) -> Column:
     return F.round(F.nullif(F.trim(text), F.lit("")).try_cast("double")).try_cast("int")
 
 
-def hhmm_valid(text: Column) -> Column:
-    number = hhmm_number(text)
-    on_clock = number.between(0, 2359) & (number % 100 < 60)
-    return F.coalesce(on_clock | (number == 2400), F.lit(False))
+def on_clock(number: Column) -> Column:
+    """Is an HHMM number a time of day? 2400 is one; null is not."""
+    return F.coalesce((number.between(0, 2359) & (number % 100 < 60)) | (number == 2400), F.lit(False))
 
 
-def hhmm_minutes(text: Column) -> Column:
-    """Minutes after midnight, 2400 meaning 0. Only meaningful where ``hhmm_valid``."""
-    number = hhmm_number(text)
+def clock_minutes(number: Column) -> Column:
+    """Minutes after midnight of an HHMM number, 2400 meaning 0. Only meaningful where ``on_clock``."""
     hours = F.floor(number / 100).cast("int")
     return F.when(number == 2400, 0).otherwise(hours * 60 + number % 100).cast("int")
 
 
+def hhmm_valid(text: Column) -> Column:
+    return on_clock(hhmm_number(text))
+
+
+def hhmm_minutes(text: Column) -> Column:
+    return clock_minutes(hhmm_number(text))
+
+
 def nullable_hhmm(text: Column) -> Column:
     return F.when(hhmm_valid(text), hhmm_minutes(text))
 

@@ -59,36 +59,68 @@ def flight_status() -> Column:
     )
 
 
+def _valid_only(parsed: DataFrame, valid: Column, columns: list[Column]) -> DataFrame:
+    """``columns`` of the valid rows.
+
+    Written as a generator: a filter would be moved below the parsing and parse everything a second time.
+    """
+    return parsed.select(F.inline(F.when(valid, F.array(F.struct(*columns)))))
+
+
+def _core_values() -> dict[str, Column]:
+    """What several columns and conditions need, computed once per row."""
+    return {
+        "_day": F.col("FlightDate").try_cast("date"), "_carrier": codes.norm_code(F.col("Reporting_Airline")),
+        "_origin": codes.norm_code(F.col("Origin")), "_dest": codes.norm_code(F.col("Dest")),
+        "_dep": clock.hhmm_number(F.col("CRSDepTime")), "_arr": clock.hhmm_number(F.col("CRSArrTime")),
+        "_cancelled": codes.flag01(F.col("Cancelled")), "_diverted": codes.flag01(F.col("Diverted")), "_delay": _number("ArrDelay"),
+    }
+
+
+def _core_valid() -> list[Column]:
+    return [
+        F.col("_day").isNotNull(), F.col("_carrier").rlike(codes.CARRIER_SHAPE), F.col("_origin").rlike(codes.AIRPORT_SHAPE),
+        F.col("_dest").rlike(codes.AIRPORT_SHAPE), clock.on_clock(F.col("_dep")), clock.on_clock(F.col("_arr")),
+        F.col("_cancelled").isNotNull(), F.col("_diverted").isNotNull(),
+    ]
+
+
 def clean_flights(raw: DataFrame) -> DataFrame:
     """Valid records of any status, 23 typed columns. Narrow: no shuffle."""
     require_columns(raw, RAW_FIELDS)
-    day = F.col("FlightDate").try_cast("date")
-    departure = clock.hhmm_minutes(F.col("CRSDepTime"))
-    return raw.where(valid_record()).select(
+    parsed = raw.select("*", *[c.alias(n) for n, c in _core_values().items()])
+    day, delay = F.col("_day"), F.col("_delay")
+    departure = clock.clock_minutes(F.col("_dep"))
+    weekday = clock.iso_weekday(day)
+    status = (
+        F.when(F.col("_cancelled"), "cancelled").when(F.col("_diverted"), "diverted")
+        .when(delay.isNull(), "missing_arrival_delay").otherwise("completed")
+    )
+    return _valid_only(parsed, _all(*_core_valid(), F.col("DayOfWeek").try_cast("int") == weekday), [
         day.alias("flight_date"),
         F.year(day).alias("year"),
         F.month(day).alias("month"),
-        clock.iso_weekday(day).alias("day_of_week"),
-        codes.norm_code(F.col("Reporting_Airline")).alias("reporting_carrier"),
+        weekday.alias("day_of_week"),
+        F.col("_carrier").alias("reporting_carrier"),
         codes.norm_text(F.col("Flight_Number_Reporting_Airline")).alias("flight_number"),
-        codes.norm_code(F.col("Origin")).alias("origin"),
-        codes.norm_code(F.col("Dest")).alias("destination"),
+        F.col("_origin").alias("origin"),
+        F.col("_dest").alias("destination"),
         departure.alias("crs_departure_minutes"),
-        clock.hhmm_minutes(F.col("CRSArrTime")).alias("crs_arrival_minutes"),
+        clock.clock_minutes(F.col("_arr")).alias("crs_arrival_minutes"),
         clock.time_bucket(departure).alias("departure_time_bucket"),
         _number("DepDelay").alias("departure_delay_minutes"),
-        _number("ArrDelay").alias("arrival_delay_minutes"),
-        codes.flag01(F.col("Cancelled")).alias("cancelled"),
-        codes.flag01(F.col("Diverted")).alias("diverted"),
-        flight_status().alias("flight_status"),
+        delay.alias("arrival_delay_minutes"),
+        F.col("_cancelled").alias("cancelled"),
+        F.col("_diverted").alias("diverted"),
+        status.alias("flight_status"),
         _number("CarrierDelay").alias("carrier_delay_minutes"),
         _number("WeatherDelay").alias("weather_delay_minutes"),
         _number("NASDelay").alias("nas_delay_minutes"),
         _number("SecurityDelay").alias("security_delay_minutes"),
         _number("LateAircraftDelay").alias("late_aircraft_delay_minutes"),
-        buckets.delay_outlier(_number("ArrDelay")).alias("arrival_delay_outlier"),
-        "source_file",
-    )
+        buckets.delay_outlier(delay).alias("arrival_delay_outlier"),
+        F.col("source_file"),
+    ])
 
 
 def diversion_legs() -> Column:
@@ -140,27 +172,29 @@ WIDE_CLOCKS = (
 def clean_flights_wide(raw: DataFrame) -> DataFrame:
     """Valid records of any status, 40 columns, diversion legs as an array of structs."""
     require_columns(raw, RAW_WIDE_FIELDS)
-    return raw.where(valid_record_wide()).select(
-        F.col("FlightDate").try_cast("date").alias("flight_date"),
-        codes.norm_code(F.col("Reporting_Airline")).alias("reporting_carrier"),
+    ids = {"_origin_id": F.col("OriginAirportID").try_cast("int"), "_dest_id": F.col("DestAirportID").try_cast("int")}
+    parsed = raw.select("*", *[c.alias(n) for n, c in (_core_values() | ids).items()])
+    return _valid_only(parsed, _all(*_core_valid(), *[F.col(n).isNotNull() for n in ids]), [
+        F.col("_day").alias("flight_date"),
+        F.col("_carrier").alias("reporting_carrier"),
         codes.norm_text(F.col("Flight_Number_Reporting_Airline")).alias("flight_number"),
         F.upper(codes.norm_text(F.col("Tail_Number"))).alias("tail_number"),
-        codes.norm_code(F.col("Origin")).alias("origin"),
-        codes.norm_code(F.col("Dest")).alias("destination"),
-        F.col("OriginAirportID").try_cast("int").alias("origin_airport_id"),
-        F.col("DestAirportID").try_cast("int").alias("destination_airport_id"),
-        clock.hhmm_minutes(F.col("CRSDepTime")).alias("crs_departure_minutes"),
-        clock.hhmm_minutes(F.col("CRSArrTime")).alias("crs_arrival_minutes"),
+        F.col("_origin").alias("origin"),
+        F.col("_dest").alias("destination"),
+        F.col("_origin_id").alias("origin_airport_id"),
+        F.col("_dest_id").alias("destination_airport_id"),
+        clock.clock_minutes(F.col("_dep")).alias("crs_departure_minutes"),
+        clock.clock_minutes(F.col("_arr")).alias("crs_arrival_minutes"),
         *[clock.nullable_hhmm(F.col(src)).alias(name) for name, src in WIDE_CLOCKS],
-        codes.flag01(F.col("Cancelled")).alias("cancelled"),
-        codes.flag01(F.col("Diverted")).alias("diverted"),
+        F.col("_cancelled").alias("cancelled"),
+        F.col("_diverted").alias("diverted"),
         F.upper(codes.norm_text(F.col("CancellationCode"))).alias("cancellation_code"),
         *[_number(src).alias(name) for name, src in WIDE_NUMBERS],
         F.col("DivAirportLandings").try_cast("int").alias("diversion_airport_landings"),
         codes.flag01(F.col("DivReachedDest")).alias("diversion_reached_destination"),
         diversion_legs().alias("diversion_details"),
-        "source_file",
-    )
+        F.col("source_file"),
+    ])
 
 
 def quality_by_source(raw: DataFrame) -> DataFrame:

@@ -121,7 +121,7 @@ def _histogrammer(qs: Sequence[float]) -> Callable:
     def collect(requests: pa.Table, facts: pa.Table) -> pa.Table:
         """Sorted delays and counts of every request that has any, with quantiles and spread."""
         held = Facts(facts)
-        delay = facts.column("delay").cast(pa.int64()).to_numpy()[held.order]
+        delay = facts.column("delay").cast(pa.float64()).to_numpy()[held.order]
         weight = facts.column("n").cast(pa.int64()).to_numpy()[held.order]
         start, end = (_days(requests.column(b)) for b in BOUNDS)
         level_of = np.array(requests.column("level").to_pylist(), object)
@@ -160,7 +160,7 @@ def _histogrammer(qs: Sequence[float]) -> Callable:
         nested = lambda rows, kind: pa.ListArray.from_arrays(
             pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate(rows) if rows else [], kind)
         )
-        columns = [nested(lists["delays"], pa.int32()) if not lists["delays"] else nested([x.astype(np.int32) for x in lists["delays"]], pa.int32())]
+        columns = [nested(lists["delays"], pa.float64())]
         columns += [nested(lists["counts"], pa.int64()), nested(lists["quantiles"], pa.float64()), pa.array(lists["spread"], pa.float64()), pa.array(lists["size"], pa.int64())]
         return pa.table([found.column(k) for k in keys] + columns, names=[*keys, "delays", "counts", "quantiles", "spread", "cohort_n"])
 
@@ -239,7 +239,7 @@ def histograms(requests: DataFrame, daily: DataFrame, levels: Sequence[str], qs:
             "k_hash", "k_text", *BOUNDS, "level", *columns, selects("month").try_cast("int").alias("month"),
             selects("dow").try_cast("int").alias("dow"), selects("bucket").cast("string").alias("bucket"),
         )
-        schema = f"{_kinds(request, ('k_hash', 'k_text', *BOUNDS))}, delays array<int>, counts array<bigint>, quantiles array<double>, spread double, cohort_n bigint"
+        schema = f"{_kinds(request, ('k_hash', 'k_text', *BOUNDS))}, delays array<double>, counts array<bigint>, quantiles array<double>, spread double, cohort_n bigint"
         found = _apply(request, rows, places, _histogrammer(tuple(qs)), schema)
         out = found if out is None else out.unionByName(found)
     return materialize(out)

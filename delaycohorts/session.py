@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +17,7 @@ def local_session(cores: int | str = "*", app: str = "delaycohorts") -> SparkSes
         .config("spark.sql.shuffle.partitions", partitions)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")  # longer methods are never compiled by the JVM
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # cheaper plan building
@@ -31,8 +31,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster; a temporary one only if unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        if configured.startswith("file:") and spark.sparkContext.master.startswith(("yarn", "k8s", "spark://")):
-            warnings.warn(f"spark.checkpoint.dir is {configured}; it has to be a folder that all hosts share", stacklevel=2)
+        if configured.startswith("file:") and spark.sparkContext.master.startswith(("yarn", "k8s")):
+            raise RuntimeError(f"spark.checkpoint.dir is {configured}; it has to be a folder that all hosts share")
         return configured
     active = spark.sparkContext._jsc.sc().getCheckpointDir()
     if active.isDefined():
