@@ -8,10 +8,12 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from delaycohorts.llm import decontaminate, kd_shards, line_dedup, nbsvm, ngram_join, packing, quality_rules, queries, tag_paths, token_counts, warc
 from delaycohorts.llm.common import components
 from delaycohorts.llm.pieces import Pieces
+from delaycohorts.session import materialize
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, measures string, hash string, size string, node string, row string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -146,18 +148,47 @@ def test_token_counts_and_packing_match_the_tokenizer(docs, empty):
         got = token_counts.token_counts(docs, path, head=head).collect()
         assert sorted(((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in got), key=str) == sorted(((i, len(t.encode()), len(x)) for (i, t), x in zip(rows, ids)), key=str)
     full = {i: np.append(x, 2).astype("<u4") for (i, _), x in zip(rows, ids)}
-    out = packing.pack(docs, path, window=256, shard_tokens=3000).toPandas()
-    assert out.groupby("doc_id", dropna=False)["length"].sum().sum() == sum(len(x) + 1 for x in ids)
-    for r in out.itertuples():
-        x = full[None if r.doc_id != r.doc_id else int(r.doc_id)]
-        assert zlib.crc32(x[r.start : r.start + r.length].tobytes()) == r.ids_crc32 and r.doc_tokens == len(x)
-    for _, g in out.groupby("sequence_id"):
-        g = g.sort_values("offset")
-        total = int(g["length"].sum())
-        assert list(g["offset"]) == [0, *np.cumsum(g["length"])[:-1]] and total <= 256 and total & (total - 1) == 0
+    for options in ({}, {"last_tokens": 3000}, {"last_tokens": 0}):
+        out = packing.pack(docs, path, window=256, shard_tokens=3000, **options).toPandas()
+        assert out.groupby("doc_id", dropna=False)["length"].sum().sum() == sum(len(x) + 1 for x in ids)
+        for r in out.itertuples():
+            x = full[None if r.doc_id != r.doc_id else int(r.doc_id)]
+            assert zlib.crc32(x[r.start : r.start + r.length].tobytes()) == r.ids_crc32 and r.doc_tokens == len(x)
+        for _, g in out.groupby("sequence_id"):
+            g = g.sort_values("offset")
+            total = int(g["length"].sum())
+            assert list(g["offset"]) == [0, *np.cumsum(g["length"])[:-1]] and total <= 256 and total & (total - 1) == 0
     assert packing.pack(empty, path).count() == 0 and token_counts.digest_rows(empty).count() == 0
 
 
+def test_retrieval_equals_brute_force_bm25(spark):
+    path = token_counts.public_path("word_bpe_49k.json")
+    rows = packing.tokens(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), path).where("n >= 0").withColumn("row", F.monotonically_increasing_id())
+    rows = materialize(rows)
+    got = rows.orderBy("row").collect()
+    ids = [np.frombuffer(r["ids"], np.uint16) for r in got]
+    sets = [np.unique(x) for x in ids]
+    held = np.bincount(np.concatenate(sets), minlength=1 << 16)
+    idf, mean = np.log(1 + (len(ids) - held + 0.5) / (held + 0.5)), np.mean([len(x) for x in ids])
+    shared = spark.sparkContext.broadcast((idf, mean))
+    asked = [i for i, r in enumerate(got) if r["doc_id"] % 20 == 0]
+    weights = []
+    for x in ids:
+        t, f = np.unique(x, return_counts=True)
+        line = np.zeros(1 << 16)
+        line[t] = idf[t] * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(x) / mean))
+        weights.append(line[held > 0])
+    truth = np.array([np.isin(np.flatnonzero(held > 0), sets[i]) for i in asked], float) @ np.array(weights).T
+    place = {r["row"]: i for i, r in enumerate(got)}
+    for shard_tokens in (100_000, 10_000_000):
+        found = packing.search(rows.select("row", "ids"), rows.where("doc_id % 20 = 0").select("row", "ids"), shared, 10, sum(map(len, ids)), len(asked), shard_tokens).toPandas()
+        assert len(found) == 10 * len(asked)
+        for seed, part in found.groupby("seed"):
+            line = truth[asked.index(place[seed])]
+            assert np.allclose(line[[place[r] for r in part["row"]]], part["score"], atol=5e-3)
+            assert part["score"].min() >= np.sort(line)[-10] - 5e-3
+
+
 def test_pieces_equal_whole_encoding():
     path = token_counts.public_path("word_bpe_49k.json")
     words = ["naïve", "DON'T", "it's", "a1b2", "½x", "<|endoftext|>foo", "İstanbul", "ǅx", "ßt", "日本語", "a b", "--'s", "x﻿", "Σας", "x---'s", "ªb", "abc.'s", "word###"]
