@@ -181,7 +181,7 @@ def test_retrieval_equals_brute_force_bm25(spark):
     truth = np.array([np.isin(np.flatnonzero(held > 0), sets[i]) for i in asked], float) @ np.array(weights).T
     place = {r["row"]: i for i, r in enumerate(got)}
     for shard_tokens in (100_000, 10_000_000):
-        found = packing.search(rows.select("row", "ids"), rows.where("doc_id % 20 = 0").select("row", "ids"), shared, 10, sum(map(len, ids)), len(asked), shard_tokens).toPandas()
+        found = packing.search(rows.select("row", "ids"), rows.where("doc_id % 20 = 0").select("row", "ids"), shared, 10, len(asked), shard_tokens).toPandas()
         assert len(found) == 10 * len(asked)
         for seed, part in found.groupby("seed"):
             line = truth[asked.index(place[seed])]
