@@ -13,7 +13,7 @@ def _sampled(n: int) -> str:
 cases AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY test_year ORDER BY {md5('case_id', f"'{SEED}'")}) AS k FROM all_cases) WHERE k <= {n})"""
 
 
-def _replay() -> str:
+def _replay(cases: str, ties: bool = False) -> str:
     configs = [(f"{m}_months", m, 30) for m in (6, 12, 24)] + [("fixed_training_period", None, 30)] + [(f"threshold_{t}", None, t) for t in (10, 30, 60)]
     rows = ", ".join(f"('{n}', {m or 'NULL'}, {t})" for n, m, t in configs)
     crossed = f"""
@@ -22,7 +22,10 @@ crossed AS (SELECT cases.* EXCLUDE (hs, he, min_obs, case_id), case_id || config
   CASE WHEN months IS NULL THEN make_date(test_year, 1, 1) ELSE prediction_date END AS he FROM cases, (VALUES {rows}) t(config, months, least_))"""
     dims = {"carrier": "carrier", "route_volume_group": o.VOLUME.format("n_route_carrier"), "month": "CAST(month(prediction_date) AS VARCHAR)", "all": "'all'"}
     final = " UNION ALL ".join(f"SELECT test_year, config, '{d}' AS dimension, {e} AS value, {o.arrival_metrics()} FROM rows_ GROUP BY 1, 2, 3, 4" for d, e in dims.items())
-    return w(FLIGHTS, HIST, _sampled(200), crossed, o.ladder("crossed"), o.chosen(), o.REPLAY_ROWS) + final
+    exact = "exact AS (SELECT * REPLACE (round(p50, 9) AS p50, round(p75, 9) AS p75, round(p90, 9) AS p90) FROM rows_)"
+    if ties:  # quantiles without the last bits of a double, as in the query
+        return w(FLIGHTS, HIST, cases, crossed, o.ladder("crossed"), o.chosen(), o.REPLAY_ROWS, exact) + final.replace("FROM rows_", "FROM exact")
+    return w(FLIGHTS, HIST, cases, crossed, o.ladder("crossed"), o.chosen(), o.REPLAY_ROWS) + final
 
 
 def _pool_sql(center: str, source: str, keys: str, name: str, min_center: str, min_source: int) -> str:
@@ -158,7 +161,8 @@ def studies() -> dict[str, str]:
     b = _boundary()
     pp = lambda c, p, n, cond="": r(f"quantile_cont({c}, {p}){cond}", n)
     return {
-        "temporal_replay": _replay(),
+        "temporal_replay": _replay(_sampled(200)),
+        "temporal_replay_full": _replay(o.REPLAY_CASES, ties=True),
         "tail_sensitivity": w(FLIGHTS, HIST, f"clipped AS (SELECT {delays} AS raw, greatest(lo, least(hi, {delays})) AS cut FROM hist, (SELECT quantile_cont({delays}, 0.001) AS lo, quantile_cont({delays}, 0.999) AS hi FROM hist))")
             + sens("all_retained", "raw") + " UNION ALL " + sens("winsorized_0.1_99.9", "cut"),
         "tail_pool": w(FLIGHTS, HIST, f"center AS (SELECT {pool_keys}, {delays} AS v FROM hist)", f"source AS (SELECT c.reporting_carrier, origin, destination, {delays} AS v FROM hist JOIN (SELECT DISTINCT {pool_keys} FROM hist) c USING (origin, destination))",

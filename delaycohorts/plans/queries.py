@@ -459,7 +459,7 @@ def temporal_replay(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def temporal_replay_full(spark: SparkSession, sf: str) -> DataFrame:
-    """Windows and thresholds on every holdout flight; no SQL."""
+    """Windows and thresholds on every holdout flight."""
     daily, cases = _all_cases(spark, sf)
     rows = M.exact_ties(ST.replay_arrivals(cases, daily, HOLDOUTS), ("p50", "p75", "p90"))
     return rounded(M.metrics_by(rows, ("carrier", "route_volume_group", "month"), M.arrival_metrics(), ("test_year", "config")))
