@@ -122,6 +122,40 @@ def _strata_inputs(status: bool, target: int, seed: int) -> tuple[str, ...]:
     return (cases, strata("status" if status else None), stratified(target, seed), picked)
 
 
+def _draws(base: str, sums: tuple[str, ...], replicates: int, seed: int) -> str:
+    """Sums over the draws of every replicate; ``units`` holds the base columns, ``unit`` (their md5) and the sums."""
+    total = ", ".join(f"sum({c}) AS {c}" for c in sums)
+    return f"""
+placed AS (SELECT *, row_number() OVER (PARTITION BY {base} ORDER BY unit) - 1 AS idx, count(*) OVER (PARTITION BY {base}) AS size FROM units),
+reps AS (SELECT {base}, replicate, {total} FROM (SELECT {base}, replicate, {o.h60(f"'{seed}'", "replicate", "idx")} % size AS idx FROM placed, generate_series(1, {replicates}) g(replicate))
+  JOIN placed USING ({base}, idx) GROUP BY ALL)"""
+
+
+def _limits(base: str, metrics: dict[str, str]) -> str:
+    long = " UNION ALL ".join(f"SELECT {base}, '{name}' AS metric, {e} AS m FROM reps" for name, e in metrics.items())
+    return f"limits AS (SELECT {base}, metric, count(*) AS replicates, {q(.025, 'lower', 'm', 6)}, {q(.975, 'upper', 'm', 6)} FROM ({long}) GROUP BY ALL)"
+
+
+def _connection_limits(source: str, base: str, unit: tuple[str, ...], replicates: int, seed: int) -> tuple[str, ...]:
+    """Intervals of Brier score, calibration error and gap over weighted rows with probability and outcome."""
+    bins = {f"g{b}": f"sum(CASE WHEN least(CAST(floor(probability * 10) AS INT), 9) = {b} THEN (probability - outcome) * weight ELSE 0 END)" for b in range(10)}
+    sums = {"ww": "sum(weight)", "wb": "sum((probability - outcome) * (probability - outcome) * weight)", "gap": "sum((probability - outcome) * weight)"} | bins
+    units = f"units AS (SELECT {base}, {md5(chr(39) + 'unit' + chr(39), *base.split(', '), *unit)} AS unit, {', '.join(f'{e} AS {n}' for n, e in sums.items())} FROM {source} GROUP BY ALL)"
+    error = " + ".join(f"abs({b})" for b in bins)
+    return units, _draws(base, tuple(sums), replicates, seed), _limits(base, {"brier_score": "wb / ww", "ece": f"({error}) / ww", "mean_calibration_gap": "gap / ww"})
+
+
+def _stratified_arrivals_full() -> str:
+    exact = "exact AS (SELECT * REPLACE (round(p50, 9) AS p50, round(p75, 9) AS p75, round(p90, 9) AS p90) FROM rows_)"
+    unit = md5("'unit'", "test_year", "strategy", "case_id[1:length(case_id) - 1]")
+    units = f"units AS (SELECT test_year, strategy, {unit} AS unit, CASE WHEN actual <= p90 THEN weight ELSE 0.0 END AS covered, weight AS ww FROM exact)"
+    base = "test_year, strategy"
+    head, final = _stratified_arrivals().rsplit("\nSELECT", 1)
+    ctes = (exact, units, _draws(base, ("covered", "ww"), 500, SEED), _limits(base, {"p90_coverage": "covered / ww"}))
+    found = ("SELECT" + final).replace("FROM rows_", "FROM exact")
+    return f"{head},\n" + ",\n".join(c.strip() for c in ctes) + f"\nSELECT * FROM ({found}) LEFT JOIN (SELECT *, 'all' AS dimension FROM limits) USING (test_year, strategy, dimension)"
+
+
 def _stratified_arrivals() -> str:
     both = """both_ AS (SELECT * EXCLUDE (hs, he, case_id), case_id || 'r' AS case_id, 'previous_24_months' AS strategy, greatest(DATE '1995-01-01', CAST(prediction_date - INTERVAL 24 MONTH AS DATE)) AS hs, prediction_date AS he FROM picked
       UNION ALL SELECT * EXCLUDE (hs, he, case_id), case_id || 'f', 'all_prior_fixed_training', DATE '1995-01-01', make_date(test_year, 1, 1) FROM picked)"""
@@ -136,6 +170,13 @@ def _conn_rows(target: int) -> tuple[str, ...]:
     )
 
 
+def _stratified_connections_full() -> str:
+    head, _ = _stratified_connections().split("two AS (", 1)
+    two = "two AS (SELECT * EXCLUDE (combined, conditional), 'combined' AS kind, round(combined, 9) AS probability FROM conn UNION ALL SELECT * EXCLUDE (combined, conditional), 'conditional', round(conditional, 9) FROM conn)"
+    limits = _connection_limits("two", "test_year, kind", ("case_id",), 500, SEED + 1)
+    return head + ",\n".join(c.strip() for c in (two, *limits)) + f"\nSELECT * FROM ({o.conn_metrics('test_year, kind', 'two', 'weight', digits=6)}) LEFT JOIN limits USING (test_year, kind)"
+
+
 def _stratified_connections() -> str:
     parts = (*_conn_rows(300), o.ladder("routed"), o.chosen(), o.members(extra=", c.layover_minutes"),
         f"cond AS (SELECT case_id, avg({tri('layover_minutes - 35 - delay')}) AS conditional FROM mem GROUP BY 1)", o.status_ladder("picked", "one"),
@@ -144,11 +185,20 @@ def _stratified_connections() -> str:
     return w(*parts) + o.conn_metrics("test_year, kind", "two", "weight", digits=6)
 
 
-def _tail_connections() -> str:
-    parts = (*_conn_rows(200), *_tails("routed"),
+def _tail_rows(target: int, probability: str, extra: str = "") -> tuple[str, ...]:
+    return (*_conn_rows(target), *_tails("routed"),
         f"scored AS (SELECT case_id, candidate, avg({tri('layover_minutes - 35 - v')}) AS probability FROM pool JOIN routed USING (case_id) GROUP BY 1, 2)",
-        f"conn AS (SELECT test_year, weight, candidate, probability, {o.OUTCOME} AS outcome FROM scored JOIN routed USING (case_id))")
-    return w(*parts) + o.conn_metrics("test_year, candidate", "conn", "weight", digits=6)
+        f"conn AS (SELECT test_year, weight, candidate, {probability}, {o.OUTCOME} AS outcome{extra} FROM scored JOIN routed USING (case_id))")
+
+
+def _tail_connections() -> str:
+    return w(*_tail_rows(200, "probability")) + o.conn_metrics("test_year, candidate", "conn", "weight", digits=6)
+
+
+def _tail_connections_full() -> str:
+    cluster = ", origin || '-' || destination AS rt, strftime(prediction_date, '%Y-%m') AS mo"
+    limits = _connection_limits("conn", "test_year, candidate", ("rt", "mo"), 300, SEED + 1)
+    return w(*_tail_rows(1000, "round(probability, 9) AS probability", cluster), *limits) + f"SELECT * FROM ({o.conn_metrics('test_year, candidate', 'conn', 'weight', digits=6)}) LEFT JOIN limits USING (test_year, candidate)"
 
 
 def studies() -> dict[str, str]:
@@ -181,4 +231,7 @@ def studies() -> dict[str, str]:
         "stratified_study": _stratified_arrivals(),
         "stratified_connections": _stratified_connections(),
         "tail_experiment": _tail_connections(),
+        "stratified_study_full": _stratified_arrivals_full(),
+        "stratified_connections_full": _stratified_connections_full(),
+        "tail_experiment_full": _tail_connections_full(),
     }

@@ -558,7 +558,8 @@ def tail_experiment(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(ST.tail_experiment_connections(history, records, daily, HOLDOUTS, 200, 100, SEED)["connections"], 6)
 
 
-# The same studies with the case and replicate counts of the reference, and their intervals; no SQL.
+# The same studies at full case and replicate counts, with their intervals; values rounded to 9 digits
+# before they meet a bin edge or a whole minute, here and in the SQL.
 
 
 @query
