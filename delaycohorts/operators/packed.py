@@ -115,6 +115,39 @@ def _counter(levels: Sequence[str], measures: Sequence[str], names: Sequence[str
     return count
 
 
+# Fields of a packed row after its key.
+ROW = ("delays", "counts", "quantiles", "spread", "cohort_n")
+ROW_KINDS = "delays array<double>, counts array<bigint>, quantiles array<double>, spread double, cohort_n bigint"
+
+
+class Rows:
+    """Packed rows under construction: sorted values with counts go in, columns with quantiles and spread come out."""
+
+    def __init__(self, qs: Sequence[float]) -> None:
+        self.qs = np.array(qs)
+        self.lists: dict[str, list] = {name: [] for name in ROW}
+
+    def add(self, v: np.ndarray, c: np.ndarray) -> None:
+        run = c.cumsum()
+        n = int(run[-1])
+        place = self.qs * (n - 1)
+        low, high = np.floor(place), np.ceil(place)
+        a, b = (v[np.searchsorted(run, p.astype(np.int64), "right")] for p in (low, high))
+        between = np.where(low == high, a, (high - place) * a + (place - low) * b)
+        spread = float((v * c / n * ((2 * (run - c) + c - n) / n)).sum())
+        for name, value in zip(ROW, (v, c, between, spread, n)):
+            self.lists[name].append(value)
+
+    def columns(self) -> list[pa.Array]:
+        nested = lambda rows, kind: pa.ListArray.from_arrays(
+            pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate(rows) if rows else [], kind)
+        )
+        kinds = (pa.float64(), pa.int64(), pa.float64())
+        return [nested(self.lists[n], k) for n, k in zip(ROW, kinds)] + [
+            pa.array(self.lists["spread"], pa.float64()), pa.array(self.lists["cohort_n"], pa.int64()),
+        ]
+
+
 def _histogrammer(qs: Sequence[float]) -> Callable:
     keys = ("k_hash", "k_text", *BOUNDS)
 
@@ -139,30 +172,15 @@ def _histogrammer(qs: Sequence[float]) -> Callable:
                     low, high = (np.searchsorted(days, b[some]) for b in (start, end))
                     counts = total[np.maximum(low, high)].astype(np.int64) - total[low]
                     parts.append((some, values, counts))
-        lists: dict[str, list] = {"delays": [], "counts": [], "quantiles": [], "spread": [], "size": []}
-        taken: list[int] = []
+        out, taken = Rows(qs), []
         for some, values, counts in parts:
             running = counts.cumsum(axis=1)
-            size = running[:, -1]
-            for i in np.flatnonzero(size > 0):
+            for i in np.flatnonzero(running[:, -1] > 0):
                 there = np.flatnonzero(counts[i])
-                v, c, run, n = values[there], counts[i][there], running[i][there], int(size[i])
-                place = np.array(qs) * (n - 1)
-                low, high = np.floor(place), np.ceil(place)
-                a, b = (v[np.searchsorted(run, p.astype(np.int64), "right")] for p in (low, high))
+                out.add(values[there], counts[i][there])
                 taken.append(int(some[i]))
-                lists["delays"].append(v)
-                lists["counts"].append(c)
-                lists["quantiles"].append(np.where(low == high, a, (high - place) * a + (place - low) * b))
-                lists["spread"].append(float((v * c / n * ((2 * (run - c) + c - n) / n)).sum()))
-                lists["size"].append(n)
         found = requests.take(pa.array(taken, pa.int64()))
-        nested = lambda rows, kind: pa.ListArray.from_arrays(
-            pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate(rows) if rows else [], kind)
-        )
-        columns = [nested(lists["delays"], pa.float64())]
-        columns += [nested(lists["counts"], pa.int64()), nested(lists["quantiles"], pa.float64()), pa.array(lists["spread"], pa.float64()), pa.array(lists["size"], pa.int64())]
-        return pa.table([found.column(k) for k in keys] + columns, names=[*keys, "delays", "counts", "quantiles", "spread", "cohort_n"])
+        return pa.table([found.column(k) for k in keys] + out.columns(), names=[*keys, *ROW])
 
     return collect
 
@@ -239,7 +257,7 @@ def histograms(requests: DataFrame, daily: DataFrame, levels: Sequence[str], qs:
             "k_hash", "k_text", *BOUNDS, "level", *columns, selects("month").try_cast("int").alias("month"),
             selects("dow").try_cast("int").alias("dow"), selects("bucket").cast("string").alias("bucket"),
         )
-        schema = f"{_kinds(request, ('k_hash', 'k_text', *BOUNDS))}, delays array<double>, counts array<bigint>, quantiles array<double>, spread double, cohort_n bigint"
+        schema = f"{_kinds(request, ('k_hash', 'k_text', *BOUNDS))}, {ROW_KINDS}"
         found = _apply(request, rows, places, _histogrammer(tuple(qs)), schema)
         out = found if out is None else out.unionByName(found)
     return materialize(out)

@@ -20,6 +20,8 @@ from delaycohorts.operators import cohorts as C
 from delaycohorts.operators import connections as X
 from delaycohorts.operators import distributions as D
 from delaycohorts.operators import metrics as M
+from delaycohorts.operators import packed
+from delaycohorts.operators import pools as PL
 from delaycohorts.operators import sampling as S
 from delaycohorts.operators.itineraries import score_itineraries
 from delaycohorts.session import materialize
@@ -291,54 +293,52 @@ def tail_pool(
     return kept.unionByName(added).groupBy(*keys, "value").agg(F.sum("n").alias("n"))
 
 
-CANDIDATES = ("baseline", "hierarchical_tail_pooling", "recent_tail_augmentation", "tail_aware_carrier_month_bucket")
+# Name, source, largest center tail (None: any), smallest source tail.
+POOLS = (
+    ("hierarchical_tail_pooling", "_season", 100, 100), ("recent_tail_augmentation", "_recent", None, 30),
+    ("tail_aware_carrier_month_bucket", "_bucket", 100, 100),
+)
+TAIL_QS = (("p50", 0.5), ("p75", 0.75), ("p90", 0.9), ("p95", 0.95))
 
 
 def tail_candidates(cases: DataFrame, daily: DataFrame, holdouts: Holdouts) -> tuple[DataFrame, DataFrame]:
-    """Histograms (case_id, candidate, value, n) of the four candidates, and the case rows."""
-    cases = materialize(cases)
-    bounded = C.with_bounds(cases, 24, holdouts.start())
-    recent = C.with_bounds(cases, 6, holdouts.start())
-    base = C.select_cohorts(bounded, daily)
-    near = C.select_cohorts(recent, daily)
-    request = lambda df, role: df.where(F.col("k_text").isNotNull()).select("case_id", F.lit(role).alias("role"), *C.KEY, *C.BOUNDS)
-    keyed = lambda level: bounded.withColumn("_k", C.case_key(level)).select("case_id", F.lit(level).alias("role"), *[F.col(f"_k.{c}").alias(c) for c in C.KEY], *C.BOUNDS)
-    wanted = _written_union([
-        request(base, "baseline"), request(near, "recent"), keyed("route_carrier_season"), keyed(C.CARRIER_MONTH_BUCKET),
-    ])
-    members = C.member_histograms(wanted, daily, (*C.LEVELS, C.CARRIER_MONTH_BUCKET))
-    hist = materialize(wanted.join(members, [*C.KEY, *C.BOUNDS]).select("case_id", "role", F.col("delay").alias("value"), "n"))
-    role = lambda name: hist.where(F.col("role") == name).select("case_id", "value", "n")
-    center = role("baseline")
-    pools = {
-        "baseline": center,
-        "hierarchical_tail_pooling": tail_pool(center, role("route_carrier_season"), ["case_id"]),
-        "recent_tail_augmentation": tail_pool(center, role("recent"), ["case_id"], min_center=None, min_source=30),
-        "tail_aware_carrier_month_bucket": tail_pool(center, role(C.CARRIER_MONTH_BUCKET), ["case_id"]),
-    }
-    out = _written_union([
-        df.select("case_id", F.lit(name).alias("candidate"), F.col("value").cast("double").alias("value"), "n") for name, df in pools.items()
-    ])
-    recent_share = role("recent").groupBy("case_id").agg(
-        (F.sum(F.when(F.col("value") > 30, F.col("n")).otherwise(0)) / F.sum("n")).alias("recent_severe_share")
-    )
-    rows = base.join(near.select("case_id", F.col("cohort_level").alias("recent_level")), "case_id").join(recent_share, "case_id", "left")
-    return out, rows
-
-
-TAIL_QS = (("p50", 0.5), ("p75", 0.75), ("p90", 0.9), ("p95", 0.95))
+    """A row per case and candidate with the key of the cohort or pool it reads, and these as packed rows."""
+    cases, qs = materialize(cases), [q for _, q in TAIL_QS]
+    base = C.select_cohorts(C.with_bounds(cases, 24, holdouts.start()), daily)
+    near = C.select_cohorts(C.with_bounds(cases, 6, holdouts.start()), daily)
+    cohort = F.struct(*PL.COHORT)
+    at = lambda level: F.struct(*[C.case_key(level)[k].alias(k) for k in C.KEY], *C.BOUNDS)
+    recent = near.select("case_id", F.col("cohort_level").alias("recent_level"), cohort.alias("_recent"))
+    met = materialize(base.where("k_text is not null").select(
+        *cases.columns, *C.BOUNDS, "cohort_level", "cohort_size", cohort.alias("_center"),
+        at("route_carrier_season").alias("_season"), at(C.CARRIER_MONTH_BUCKET).alias("_bucket"),
+    ).join(recent, "case_id"))
+    requests = met.select(F.explode(F.array("_center", "_season", "_bucket", "_recent")).alias("_k")).select("_k.*")
+    cohorts = C.packed_histograms(requests, daily, (*C.LEVELS, C.CARRIER_MONTH_BUCKET), qs)
+    severe = F.aggregate(F.zip_with("delays", "counts", lambda v, n: F.when(v > 30, n).otherwise(0)), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    share = cohorts.select(cohort.alias("_recent"), (severe / F.col("cohort_n")).alias("recent_severe_share"))
+    met = materialize(met.join(share, "_recent", "left"))
+    pooled = F.explode(F.array(*[
+        F.struct(F.lit(name).alias("candidate"), F.col(source).alias("source"), F.lit(most).cast("int").alias("min_center"), F.lit(least).alias("min_source"))
+        for name, source, most, least in POOLS
+    ])).alias("_c")
+    asked = met.select("*", pooled).select(*met.columns, "_c.*")
+    used, pools = PL.pool_tails(asked.select("candidate", F.col("_center").alias("center"), "source", "min_center", "min_source"), cohorts, qs)
+    keep = [c for c in met.columns if c not in ("_recent", "_season", "_bucket", *C.BOUNDS)]
+    keyed = asked.select(*keep, "candidate", *PL.pool_key(F.col("_center"), F.col("source")))
+    found = keyed.join(used.withColumn("_used", F.lit(True)), ["candidate", *PL.COHORT], "left")
+    resolved = [F.when(F.col("_used"), F.col(k)).otherwise(F.col("_center")[k]).alias(k) for k in PL.COHORT]
+    plain = met.select(*keep, F.lit("baseline").alias("candidate"), "_center.*")
+    rows = plain.unionByName(found.select(*keep, "candidate", *resolved)).drop("_center")
+    level = F.when(F.col("candidate") == "recent_tail_augmentation", F.concat_ws("+recent_", "cohort_level", "recent_level"))
+    return rows.withColumn("cohort_label", F.coalesce(level, F.col("cohort_level"))), cohorts.unionByName(pools)
 
 
 def tail_arrivals(cases: DataFrame, daily: DataFrame, holdouts: Holdouts) -> DataFrame:
     """Quantiles and CRPS per case and candidate, with the labels the study groups by."""
-    hist, rows = tail_candidates(cases, daily, holdouts)
-    labels = F.explode(F.array(*[F.lit(c) for c in CANDIDATES])).alias("candidate")
-    level = F.when(F.col("candidate") == "recent_tail_augmentation", F.concat_ws("+recent_", "cohort_level", "recent_level")).otherwise(F.col("cohort_level"))
-    crossed = rows.select("*", labels).withColumn("cohort_level", level)
-    keep = [*cases.columns, "candidate", "cohort_level", "cohort_size", "recent_severe_share"]
-    out = D.evaluate_cases(
-        crossed, hist, case_columns=keep, actual=F.col("actual"), qs=[q for _, q in TAIL_QS], value="value", keys=("case_id", "candidate"),
-    )
+    rows, cohorts = tail_candidates(cases, daily, holdouts)
+    keep = [*cases.columns, "candidate", F.col("cohort_label").alias("cohort_level"), "cohort_size", "recent_severe_share"]
+    out = packed.evaluate(rows, cohorts, [name for name, _ in TAIL_QS], keep, actual=F.col("actual"))
     return out.select(
         "*", buckets.cohort_size_bucket(F.col("cohort_size")).alias("cohort_size_bucket"),
         buckets.severe_freq_bucket(F.col("recent_severe_share")).alias("recent_severe_frequency_bucket"),
@@ -385,11 +385,9 @@ def tail_experiment_connections(
     strata = materialize(S.with_strata(S.replay_cases(records, holdouts.years), history, by_status=True))
     offers = materialize(S.stratified_sample(strata, connection_cases, seed + 100))
     routed = materialize(X.connection_options(offers, records, seed, "constant"))
-    hist, chosen = tail_candidates(routed, daily, holdouts)
-    crossed = chosen.select("*", F.explode(F.array(*[F.lit(c) for c in CANDIDATES])).alias("candidate"))
-    scored = D.evaluate_cases(
-        crossed, hist, case_columns=[*routed.columns, "candidate"], layover=F.col("layover_minutes"), transfer=transfer,
-        value="value", keys=("case_id", "candidate"),
+    rows, cohorts = tail_candidates(routed, daily, holdouts)
+    scored = packed.evaluate(
+        rows, cohorts, [name for name, _ in TAIL_QS], [*routed.columns, "candidate"], layover=F.col("layover_minutes"), transfer=transfer,
     )
     outcome = X.replay_outcome(F.col("status") == "completed", F.col("actual"), F.col("layover_minutes"), codes.uniform01(F.col("case_id"), str(seed)), transfer)
     connections = materialize(B.cluster_columns(scored.select("*", outcome.alias("outcome"), buckets.layover_class(F.col("layover_minutes")).alias("layover_class"))))

@@ -170,3 +170,53 @@ def test_full_replay_takes_every_holdout_flight(spark):
     flights = {r["test_year"]: r["count"] for r in cases.groupBy("test_year").count().collect()}
     assert found and max(flights.values()) > 200
     assert all(r["sample_count"] <= flights[r["test_year"]] for r in found) and max(r["sample_count"] for r in found) > 200
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 40, 700])
+@pytest.mark.parametrize("kc", [1, 7, 99, 350])
+def test_midpoints_of_a_packed_histogram(size, kc):
+    from delaycohorts.operators import pools as PL
+
+    draw = random.Random(size * 1000 + kc)
+    values = sorted(float(draw.randrange(-20, 20)) for _ in range(size))
+    v, c = np.unique(values, return_counts=True)
+    found, times = PL.midpoints(v, c, kc)
+    assert times.sum() == kc
+    assert np.sort(np.repeat(found, times)) == pytest.approx(np.quantile(values, (np.arange(kc) + 0.5) / kc))
+
+
+def test_packed_pool_equals_the_listed_one():
+    from delaycohorts.operators import pools as PL
+
+    draw = random.Random(5)
+    for _ in range(60):
+        center = sorted(float(draw.randrange(-9, 30)) for _ in range(draw.randrange(5, 400)))
+        source = sorted(float(draw.randrange(-9, 90)) for _ in range(draw.randrange(5, 900)))
+        kc, ks = len(center) // 5, max(1, len(source) // 5)
+        if not kc:
+            continue
+        packed = [np.unique(x, return_counts=True) for x in (center, source)]
+        values, counts = PL.pool(*packed, kc, ks)
+        want = sorted(center[:-kc] + list(np.quantile(source[-ks:], (np.arange(kc) + 0.5) / kc)))
+        assert np.repeat(values, counts) == pytest.approx(want) and (np.diff(values) > 0).all()
+
+
+def test_pools_are_used_by_the_sizes_of_both_tails(spark):
+    from delaycohorts.operators import packed, pools as PL
+
+    cohorts = [("a", 50), ("b", 600), ("c", 140), ("d", 700), ("e", 4)]
+    rows = []
+    for name, n in cohorts:
+        out = packed.Rows([0.5])
+        out.add(np.arange(n, dtype=float), np.ones(n, np.int64))
+        rows.append((1, name, None, None, *[column[0].as_py() for column in out.columns()]))
+    table = spark.createDataFrame(rows, f"k_hash long, k_text string, hist_start date, hist_end date, {packed.ROW_KINDS}").withColumns(
+        {"hist_start": F.lit("1995-01-01").cast("date"), "hist_end": F.lit("1999-01-01").cast("date")}
+    )
+    of = lambda c: F.struct(F.lit(1).cast("bigint").alias("k_hash"), F.col(c).alias("k_text"), F.lit("1995-01-01").cast("date").alias("hist_start"), F.lit("1999-01-01").cast("date").alias("hist_end"))
+    asked = [("x", "a", "b", 100, 100), ("x", "a", "c", 100, 100), ("x", "d", "b", 100, 100), ("y", "d", "b", None, 30), ("y", "a", "b", None, 30), ("y", "e", "b", None, 30), ("y", "a", None, None, 30), ("x", "a", "b", 100, 100)]
+    df = spark.createDataFrame(asked, "candidate string, c string, s string, min_center int, min_source int")
+    df = df.select("candidate", of("c").alias("center"), of("s").alias("source"), "min_center", "min_source")
+    used, made = PL.pool_tails(df, table, [0.5])
+    assert sorted((r.candidate, r.k_text.split("|")[1:3]) for r in used.collect()) == [("x", ["a", "b"]), ("y", ["a", "b"]), ("y", ["d", "b"])]
+    assert sorted((r.k_text.split("|")[1], r.cohort_n, max(r.delays) > 480) for r in made.collect()) == [("a", 50, True), ("d", 700, True)]
