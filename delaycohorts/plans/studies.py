@@ -304,8 +304,9 @@ TAIL_QS = (("p50", 0.5), ("p75", 0.75), ("p90", 0.9), ("p95", 0.95))
 def tail_candidates(cases: DataFrame, daily: DataFrame, holdouts: Holdouts) -> tuple[DataFrame, DataFrame]:
     """A row per case and candidate with the key of the cohort or pool it reads, and these as packed rows."""
     cases, qs = materialize(cases), [q for _, q in TAIL_QS]
-    base = C.select_cohorts(C.with_bounds(cases, 24, holdouts.start()), daily)
-    near = C.select_cohorts(C.with_bounds(cases, 6, holdouts.start()), daily)
+    windows = cases.select("*", F.explode(F.array(F.lit(24), F.lit(6))).alias("lookback"))
+    chosen = C.select_cohorts(C.with_bounds(windows, F.col("lookback"), holdouts.start()), daily)
+    base, near = chosen.where("lookback = 24"), chosen.where("lookback = 6")
     cohort = F.struct(*PL.COHORT)
     at = lambda level: F.struct(*[C.case_key(level)[k].alias(k) for k in C.KEY], *C.BOUNDS)
     recent = near.select("case_id", F.col("cohort_level").alias("recent_level"), cohort.alias("_recent"))
