@@ -85,8 +85,8 @@ def _core_valid() -> list[Column]:
     ]
 
 
-def clean_flights(raw: DataFrame) -> DataFrame:
-    """Valid records of any status, 23 typed columns. Narrow: no shuffle."""
+def _core_record(raw: DataFrame) -> tuple[DataFrame, Column, list[Column]]:
+    """Rows with their parsed values, whether they are valid, and the 22 columns of a record."""
     require_columns(raw, RAW_FIELDS)
     parsed = raw.select("*", *[c.alias(n) for n, c in _core_values().items()])
     day, delay = F.col("_day"), F.col("_delay")
@@ -96,7 +96,7 @@ def clean_flights(raw: DataFrame) -> DataFrame:
         F.when(F.col("_cancelled"), "cancelled").when(F.col("_diverted"), "diverted")
         .when(delay.isNull(), "missing_arrival_delay").otherwise("completed")
     )
-    return _valid_only(parsed, _all(*_core_valid(), F.col("DayOfWeek").try_cast("int") == weekday), [
+    return parsed, _all(*_core_valid(), F.col("DayOfWeek").try_cast("int") == weekday), [
         day.alias("flight_date"),
         F.year(day).alias("year"),
         F.month(day).alias("month"),
@@ -119,8 +119,36 @@ def clean_flights(raw: DataFrame) -> DataFrame:
         _number("SecurityDelay").alias("security_delay_minutes"),
         _number("LateAircraftDelay").alias("late_aircraft_delay_minutes"),
         buckets.delay_outlier(delay).alias("arrival_delay_outlier"),
-        F.col("source_file"),
-    ])
+    ]
+
+
+def clean_flights(raw: DataFrame) -> DataFrame:
+    """Valid records of any status, 23 typed columns. Narrow: no shuffle."""
+    parsed, valid, columns = _core_record(raw)
+    return _valid_only(parsed, valid, [*columns, F.col("source_file")])
+
+
+def judged_flights(raw: DataFrame) -> DataFrame:
+    """Every raw row as ``source_file`` and ``record``, its cleaned columns, null where the row is invalid."""
+    parsed, valid, columns = _core_record(raw)
+    return parsed.select(F.when(valid, F.struct(*columns)).alias("record"), "source_file")
+
+
+def quality_of_judged(judged: DataFrame) -> DataFrame:
+    """What ``quality_by_source`` counts, from judged rows."""
+    count = lambda condition, name: F.count_if(condition).cast("bigint").alias(name)
+    record = F.col("record")
+    return judged.groupBy("source_file").agg(
+        F.count("*").cast("bigint").alias("source_rows"),
+        count(record.isNotNull(), "cleaned_rows"),
+        count(record["flight_status"] == "completed", "completed_flights"),
+        count(record["cancelled"], "cancelled_flights"),
+        count(record["diverted"], "diverted_flights"),
+        count(record.isNotNull() & record["arrival_delay_minutes"].isNull(), "missing_arrival_delay_rows"),
+        count(record.isNull(), "invalid_field_rows"),
+        count(record["cancelled"] & record["diverted"], "inconsistent_status_rows"),
+        count(record["arrival_delay_outlier"], "arrival_delay_outlier_rows"),
+    )
 
 
 def diversion_legs() -> Column:

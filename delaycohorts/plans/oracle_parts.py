@@ -81,16 +81,16 @@ def ingestion() -> dict[str, str]:
     serving = "flight_date, month, day_of_week, reporting_carrier, origin, destination, departure_time_bucket, arrival_delay_minutes"
     digest = o.h60(*serving.split(", "))
     return {
-        "clean_flights": raw + """SELECT day AS flight_date, CAST(year(day) AS INT) AS year, CAST(month(day) AS INT) AS month, CAST(isodow(day) AS INT) AS day_of_week, carrier AS reporting_carrier,
+        **dict.fromkeys(("clean_flights", "clean_archives"), raw + """SELECT day AS flight_date, CAST(year(day) AS INT) AS year, CAST(month(day) AS INT) AS month, CAST(isodow(day) AS INT) AS day_of_week, carrier AS reporting_carrier,
             nullif(trim(Flight_Number_Reporting_Airline), '') AS flight_number, o_ AS origin, d_ AS destination, dep AS crs_departure_minutes, arr AS crs_arrival_minutes,
             """ + o.BUCKET.format("dep") + """ AS departure_time_bucket, TRY_CAST(DepDelay AS DOUBLE) AS departure_delay_minutes, delay AS arrival_delay_minutes, cx = 1 AS cancelled, dv = 1 AS diverted,
             status AS flight_status, NULL::DOUBLE AS carrier_delay_minutes, NULL::DOUBLE AS weather_delay_minutes, NULL::DOUBLE AS nas_delay_minutes, NULL::DOUBLE AS security_delay_minutes,
-            TRY_CAST(LateAircraftDelay AS DOUBLE) AS late_aircraft_delay_minutes, coalesce(abs(delay) > 1440, false) AS arrival_delay_outlier, source_file FROM judged WHERE valid""",
+            TRY_CAST(LateAircraftDelay AS DOUBLE) AS late_aircraft_delay_minutes, coalesce(abs(delay) > 1440, false) AS arrival_delay_outlier, source_file FROM judged WHERE valid"""),
         "clean_flights_wide": wide + "SELECT * FROM wide",
-        "quality_by_source": raw + """SELECT source_file, count(*) AS source_rows, count(*) FILTER (valid) AS cleaned_rows, count(*) FILTER (valid AND status = 'completed') AS completed_flights,
+        **dict.fromkeys(("quality_by_source", "ingest_bounded"), raw + """SELECT source_file, count(*) AS source_rows, count(*) FILTER (valid) AS cleaned_rows, count(*) FILTER (valid AND status = 'completed') AS completed_flights,
             count(*) FILTER (valid AND cx = 1) AS cancelled_flights, count(*) FILTER (valid AND dv = 1) AS diverted_flights, count(*) FILTER (valid AND delay IS NULL) AS missing_arrival_delay_rows,
             count(*) FILTER (NOT valid) AS invalid_field_rows, count(*) FILTER (valid AND cx = 1 AND dv = 1) AS inconsistent_status_rows, count(*) FILTER (valid AND abs(delay) > 1440) AS arrival_delay_outlier_rows
-            FROM judged GROUP BY 1""",
+            FROM judged GROUP BY 1"""),
         "quality_by_source_wide": wide + wide_quality.format(""),
         "upsert_by_source": w(FLIGHTS, RAW, WIDE) + """SELECT source_file, count(*) AS source_rows, count(*) FILTER (valid) AS valid_rows FROM judged WHERE source_file < 'm_1999' GROUP BY 1
             UNION ALL SELECT source_file, count(*), count(*) FILTER (valid) FROM wraw WHERE source_file >= 'm_1999' GROUP BY 1""",

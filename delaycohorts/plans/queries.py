@@ -24,9 +24,11 @@ from delaycohorts.operators import schedules as H
 from delaycohorts.operators import stability as T
 from delaycohorts.plans import studies as ST
 from delaycohorts.schema import DOMESTIC_COUNTRIES
-from delaycohorts.session import materialize
+from delaycohorts.session import materialize, work_folder
+from delaycohorts.sources import archives as AR
 from delaycohorts.sources import driver_payloads as dp
 from delaycohorts.sources import driver_tables as dt
+from delaycohorts.streaming import bounded as BS
 
 Query = Callable[[SparkSession, str], DataFrame]
 HOLDOUTS = ST.Holdouts((1999, 2000), "1995-01-01")
@@ -137,6 +139,31 @@ def quality_by_source_wide(spark: SparkSession, sf: str) -> DataFrame:
     return CL.quality_by_source_wide(dt.raw_wide_rows(spark, sf))
 
 
+@query
+def clean_archives(spark: SparkSession, sf: str) -> DataFrame:
+    """All raw rows written as ZIP archives, read back by the data source and cleaned."""
+    folder = work_folder(spark)
+    written = materialize(AR.write_archives(_raw(spark, sf), folder)).agg(F.sum("n_rows")).first()[0]
+    raw = AR.read_archive_folder(spark, folder).withColumn("source_file", F.regexp_replace("source_file", "~.*$", ""))
+    if (found := raw.count()) != (written or 0):
+        raise RuntimeError(f"archives hold {written} rows, {found} were read")
+    return CL.clean_flights(raw)
+
+
+@query
+def ingest_bounded(spark: SparkSession, sf: str) -> DataFrame:
+    """Counters of all files after two runs of the bounded stream; files of later years arrive between the runs."""
+    folder, target, checkpoint = (work_folder(spark) for _ in range(3))
+    rows = materialize(_raw(spark, sf))
+    source = F.regexp_extract("_metadata.file_path", "source_file=([^/]+)/", 1)
+    for part in (F.col("source_file") < "m_1997", F.col("source_file") >= "m_1997"):
+        rows.where(part).hint("rebalance", "source_file").write.mode("append").option("header", True).partitionBy("source_file").csv(folder)
+        BS.ingest_stream(BS.read_bounded_stream(spark, folder, 24, source), target, checkpoint)
+    if again := BS.ingest_stream(BS.read_bounded_stream(spark, folder, 24, source), target, checkpoint):
+        raise RuntimeError(f"{again} batches ran without a new file")
+    return BS.ingested_quality(spark, target)
+
+
 @query
 def upsert_by_source(spark: SparkSession, sf: str) -> DataFrame:
     """Wide counters of the later years replace narrow ones of the same file."""

@@ -44,6 +44,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new name in the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/delaycohorts/{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write once to the shared checkpoint folder and read back.
 
@@ -51,6 +56,6 @@ def materialize(df: DataFrame) -> DataFrame:
     executors, cuts the lineage, and gives the optimizer its true size.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/delaycohorts/{uuid.uuid4().hex}"
+    path = work_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
