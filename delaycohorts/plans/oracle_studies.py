@@ -192,7 +192,7 @@ def _tail_rows(target: int, probability: str, extra: str = "") -> tuple[str, ...
 
 
 def _tail_connections() -> str:
-    return w(*_tail_rows(200, "probability")) + o.conn_metrics("test_year, candidate", "conn", "weight", digits=6)
+    return w(*_tail_rows(200, "round(probability, 9) AS probability")) + o.conn_metrics("test_year, candidate", "conn", "weight", digits=6)
 
 
 def _tail_connections_full() -> str:

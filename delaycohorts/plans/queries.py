@@ -582,7 +582,7 @@ def stratified_connections(spark: SparkSession, sf: str) -> DataFrame:
 def tail_experiment(spark: SparkSession, sf: str) -> DataFrame:
     history, records = materialize(_history(spark, sf)), materialize(_one_per_flight(spark, sf))
     daily = materialize(C.daily_delay_counts(history))
-    return rounded(ST.tail_experiment_connections(history, records, daily, HOLDOUTS, 200, 100, SEED)["connections"], 6)
+    return rounded(ST.tail_experiment_connections(history, records, daily, HOLDOUTS, 200, 100, SEED, ties=True)["connections"], 6)
 
 
 # The same studies at full case and replicate counts, with their intervals; values rounded to 9 digits
