@@ -103,7 +103,7 @@ def ingestion() -> dict[str, str]:
         "route_year_stats": h + f"""SELECT year, reporting_carrier, origin, destination, count(*) AS sample_size, {r('avg(arrival_delay_minutes)', 'mean_minutes')}, {q(.5, 'median_minutes', 'arrival_delay_minutes')},
             {q(.75, 'p75_minutes', 'arrival_delay_minutes')}, {q(.9, 'p90_minutes', 'arrival_delay_minutes')} FROM hist
             WHERE (reporting_carrier, origin, destination) IN (SELECT (reporting_carrier, origin, destination) FROM hist WHERE day_of_week = 7) GROUP BY 1, 2, 3, 4""",
-        "serving_projection": h + f"SELECT {serving} FROM hist",
+        **dict.fromkeys(("serving_projection", "serving_layout"), h + f"SELECT {serving} FROM hist"),
         "dataset_fingerprint": h + f"SELECT count(*) AS row_count, bit_xor(x) AS xor_hash, sum(x % 1000003)::BIGINT AS sum_hash FROM (SELECT {digest} AS x FROM hist)",
         "exact_schedule": wide + f"SELECT flight_date, {SIG} FROM wide WHERE flight_number IS NOT NULL",
         "airports_seen": h + "SELECT origin AS code FROM hist UNION SELECT destination FROM hist",
@@ -218,6 +218,8 @@ def replay_metrics() -> dict[str, str]:
             + f"SELECT test_year, metric, count(*) AS replicates, {q(.025, 'lower', 'm')}, {q(.975, 'upper', 'm')} FROM long GROUP BY 1, 2",
         "stratified_weights": w(FLIGHTS, HIST, o.REPLAY_CASES, strata(), stratified(500)) + f"SELECT case_id, test_year, carrier, route_volume_group, season, time_bucket, severity, CAST(stratum_rank AS INT) AS stratum_rank, population_count, sampled_count, {r('weight', 'weight')} FROM weighted",
         "route_volume": w(FLIGHTS, HIST, o.REPLAY_CASES, strata()) + "SELECT case_id, route_count, route_volume_group FROM strata",
+        "exact_sample": w(FLIGHTS, HIST) + "SELECT flight_date, reporting_carrier, origin, destination, departure_time_bucket, " + md5(f"'{SEED}'", "flight_date", "reporting_carrier", "origin", "destination", "departure_time_bucket")
+            + " AS digest FROM hist ORDER BY digest LIMIT (SELECT CAST(ceil(count(*) / 10.0) AS BIGINT) FROM hist)",
         "hash_sample": w(FLIGHTS, HIST, o.REPLAY_CASES) + "SELECT case_id, test_year, actual FROM (SELECT *, row_number() OVER (PARTITION BY test_year ORDER BY " + md5("case_id", f"'{SEED}'") + ") AS k FROM cases) WHERE k <= 200",
     }
 

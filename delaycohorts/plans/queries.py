@@ -22,17 +22,20 @@ from delaycohorts.operators import payloads as P
 from delaycohorts.operators import sampling as S
 from delaycohorts.operators import schedules as H
 from delaycohorts.operators import stability as T
+from delaycohorts.operators.topn import exact_sample as exact_rows
 from delaycohorts.plans import studies as ST
 from delaycohorts.schema import DOMESTIC_COUNTRIES
 from delaycohorts.session import materialize, work_folder
 from delaycohorts.sources import archives as AR
 from delaycohorts.sources import driver_payloads as dp
 from delaycohorts.sources import driver_tables as dt
+from delaycohorts.sources import files
 from delaycohorts.streaming import bounded as BS
 
 Query = Callable[[SparkSession, str], DataFrame]
 HOLDOUTS = ST.Holdouts((1999, 2000), "1995-01-01")
 SEED = 20260811
+HISTORY_KEY = ("flight_date", "reporting_carrier", "origin", "destination", "departure_time_bucket")
 _REGISTRY: dict[str, Query] = {}
 
 
@@ -217,6 +220,14 @@ def serving_projection(spark: SparkSession, sf: str) -> DataFrame:
     return CL.serving_projection(_history(spark, sf))
 
 
+@query
+def serving_layout(spark: SparkSession, sf: str) -> DataFrame:
+    """The serving rows written sorted, counted while they are written, and read back from the files."""
+    path = work_folder(spark)
+    serving = CL.serving_projection(_history(spark, sf))
+    return files.checked_layout(spark, path, files.write_serving(serving, path), serving.schema)
+
+
 @query
 def dataset_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     return CL.dataset_fingerprint(CL.serving_projection(_history(spark, sf)))
@@ -492,6 +503,13 @@ def temporal_replay_full(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(M.metrics_by(rows, ("carrier", "route_volume_group", "month"), M.arrival_metrics(), ("test_year", "config")))
 
 
+@query
+def exact_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """A tenth of the flights of the history, rounded up: exactly that many, in digest order."""
+    history = materialize(_history(spark, sf).withColumn("digest", F.md5(F.concat_ws("|", F.lit(str(SEED)), *HISTORY_KEY))))
+    return exact_rows(history, F.col("digest"), -(-history.count() // 10)).select(*HISTORY_KEY, "digest")
+
+
 @query
 def tail_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(ST.tail_sensitivity(_history(spark, sf)))

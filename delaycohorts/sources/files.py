@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,19 +91,31 @@ def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_serving(df: DataFrame, path: str) -> None:
-    """Narrow file sorted so that carrier and date filters skip row groups."""
-    (
+def _write_counted(df: DataFrame, path: str) -> int:
+    """Writes and returns the number of rows, counted by the tasks that write them."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
+    return seen.get["rows"]
+
+
+def checked_layout(spark: SparkSession, path: str, rows: int, schema: T.StructType) -> DataFrame:
+    """The files of a layout; an error if their footers do not add up to the rows that were written."""
+    df = spark.read.schema(schema).parquet(path)
+    found = df.count()
+    if found != rows:
+        raise RuntimeError(f"row-count mismatch: written={rows}, found={found}")
+    return df
+
+
+def write_serving(df: DataFrame, path: str) -> int:
+    """Narrow file sorted so that carrier and date filters skip row groups; returns the rows written."""
+    return _write_counted(
         df.repartitionByRange("reporting_carrier", "origin", "flight_date")
-        .sortWithinPartitions("reporting_carrier", "origin", "destination", "flight_date")
-        .write.mode("overwrite").parquet(path)
+        .sortWithinPartitions("reporting_carrier", "origin", "destination", "flight_date"), path,
     )
 
 
-def write_schedule(df: DataFrame, path: str) -> None:
-    """Schedule facts range-sorted by the lookup key."""
+def write_schedule(df: DataFrame, path: str) -> int:
+    """Schedule facts range-sorted by the lookup key; returns the rows written."""
     key = ("reporting_carrier", "flight_date", "flight_number")
-    (
-        df.repartitionByRange(*key).sortWithinPartitions(*key, "crs_departure_minutes")
-        .write.mode("overwrite").parquet(path)
-    )
+    return _write_counted(df.repartitionByRange(*key).sortWithinPartitions(*key, "crs_departure_minutes"), path)

@@ -220,3 +220,24 @@ def test_pools_are_used_by_the_sizes_of_both_tails(spark):
     used, made = PL.pool_tails(df, table, [0.5])
     assert sorted((r.candidate, r.k_text.split("|")[1:3]) for r in used.collect()) == [("x", ["a", "b"]), ("y", ["a", "b"]), ("y", ["d", "b"])]
     assert sorted((r.k_text.split("|")[1], r.cohort_n, max(r.delays) > 480) for r in made.collect()) == [("a", 50, True), ("d", 700, True)]
+
+
+@pytest.mark.parametrize("n", [0, 1, 13, 64, 65, 399, 400, 500])
+def test_exact_sample_has_the_first_digests(spark, n):
+    import hashlib
+
+    from delaycohorts.operators.topn import exact_sample
+
+    # every value three times, and one that holds a third of all rows
+    keys = [f"k{i % 90}" for i in range(270)] + ["hot"] * 130
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k string, i int")
+    digest = lambda k: hashlib.md5(k.encode()).hexdigest()
+    found = exact_sample(df, F.md5("k"), n).collect()
+    assert sorted(digest(r.k) for r in found) == sorted(map(digest, keys))[:n]
+    assert len({r.i for r in found}) == len(found) == min(n, 400)
+
+
+def test_exact_sample_of_nothing(spark):
+    from delaycohorts.operators.topn import exact_sample
+
+    assert exact_sample(spark.createDataFrame([], "k string"), F.md5("k"), 5).collect() == []

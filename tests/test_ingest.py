@@ -133,3 +133,17 @@ def test_bounded_batches_and_a_replay(spark, tmp_path):
     (ck / "commits" / ".2.crc").unlink(missing_ok=True)
     assert run() == 1 and same() == want
     assert sorted(map(str, bounded.ingested_records(spark, out).collect())) == records
+
+
+def test_written_layouts_are_counted(spark, tmp_path):
+    rows = [{"Origin": "BOS" if i % 3 else "ATL", "Flight_Number_Reporting_Airline": str(i)} for i in range(200)]
+    records = CL.clean_flights(raw_frame(spark, rows))
+    path = str(tmp_path / "serving")
+    serving = CL.serving_projection(records)
+    n = files.write_serving(serving, path)
+    assert n == 200 and files.checked_layout(spark, path, n, serving.schema).where("reporting_carrier = 'DL' and origin = 'ATL'").count() == 67
+    assert files.write_schedule(CL.exact_schedule(records), str(tmp_path / "schedule")) == 200
+    assert files.write_serving(CL.serving_projection(records).where("origin = 'XXX'"), str(tmp_path / "none")) == 0
+    next(iter(sorted((tmp_path / "serving").glob("part-*")))).unlink()
+    with pytest.raises(RuntimeError, match="written=200"):
+        files.checked_layout(spark, path, n, serving.schema)
