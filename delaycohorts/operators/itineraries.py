@@ -148,7 +148,9 @@ def score_itineraries(
     )
 
 
-def resolve_two_legs(requests: DataFrame, lookups: DataFrame, candidates: DataFrame, airports: DataFrame) -> DataFrame:
+def resolve_two_legs(
+    requests: DataFrame, lookups: DataFrame, candidates: DataFrame, airports: DataFrame, answer: str | None = None,
+) -> DataFrame:
     """Two schedule lookups to one itinerary per request.
 
     ``requests``: request_id, first_choice, second_choice (0-based or null).
@@ -156,29 +158,37 @@ def resolve_two_legs(requests: DataFrame, lookups: DataFrame, candidates: DataFr
     ``candidates``: request_id, leg, position, carrier, number, origin, destination,
     departure_local, arrival_local (timestamp_ntz), departure_terminal, arrival_terminal, and
     departure_offset, arrival_offset (minutes from UTC, null when the time carried none).
+    ``answer`` names a column of ``lookups`` and ``candidates`` that holds what was asked: equal lookups then share
+    one list of candidates, which carries ``answer`` in place of request_id and leg and is never copied per request.
     Status order: lookup problems of leg 1 then leg 2, bad choice, ambiguity, airport, times.
     """
-    sizes = candidates.groupBy("request_id").agg(
-        F.count_if(F.expr("leg = 1")).alias("n1"), F.count_if(F.expr("leg = 2")).alias("n2")
-    )
-    classes = lookups.groupBy("request_id").agg(
-        F.max(F.when(F.col("leg") == 1, F.col("outcome"))).alias("o1"),
-        F.max(F.when(F.col("leg") == 2, F.col("outcome"))).alias("o2"),
-    )
+    per_leg = lambda c: [F.max(F.when(F.col("leg") == leg, F.col(c))).alias(f"{c}_{leg}") for leg in (1, 2)]
+    classes = lookups.groupBy("request_id").agg(*per_leg("outcome"), *(per_leg(answer) if answer else []))
+    classes = classes.withColumnsRenamed({"outcome_1": "o1", "outcome_2": "o2"})
+    base = requests.join(classes, "request_id", "left")
+    if answer:
+        sizes = candidates.groupBy(answer).agg(F.count("*").alias("n"))
+        for leg in (1, 2):
+            base = base.join(sizes.select(F.col(answer).alias(f"{answer}_{leg}"), F.col("n").alias(f"n{leg}")), f"{answer}_{leg}", "left")
+    else:
+        sizes = candidates.groupBy("request_id").agg(
+            F.count_if(F.expr("leg = 1")).alias("n1"), F.count_if(F.expr("leg = 2")).alias("n2")
+        )
+        base = base.join(sizes, "request_id", "left")
     base = (
-        requests.join(classes, "request_id", "left").join(sizes, "request_id", "left")
-        .withColumn("n1", F.coalesce("n1", F.lit(0))).withColumn("n2", F.coalesce("n2", F.lit(0)))
+        base.withColumn("n1", F.coalesce("n1", F.lit(0))).withColumn("n2", F.coalesce("n2", F.lit(0)))
         .withColumn("i1", F.coalesce("first_choice", F.when(F.col("n1") == 1, 0)))
         .withColumn("i2", F.coalesce("second_choice", F.when(F.col("n2") == 1, 0)))
     )
     for leg in (1, 2):
-        side = candidates.where(F.col("leg") == leg).select(
-            "request_id", F.col("position").alias(f"i{leg}"),
+        own = [F.col(answer).alias(f"{answer}_{leg}")] if answer else [F.col("request_id")]
+        side = (candidates if answer else candidates.where(F.col("leg") == leg)).select(
+            *own, F.col("position").alias(f"i{leg}"),
             *[F.col(c).alias(f"{c}_{leg}") for c in (
                 "carrier", "number", "origin", "destination", "departure_local", "arrival_local",
                 "departure_offset", "arrival_offset", "departure_terminal", "arrival_terminal")],
         )
-        base = base.join(side, ["request_id", f"i{leg}"], "left")
+        base = base.join(side, [f"{answer}_{leg}" if answer else "request_id", f"i{leg}"], "left")
     for leg in (1, 2):
         base = airport_zone(base, airports, f"origin_{leg}", f"_za{leg}")
         base = airport_zone(base, airports, f"destination_{leg}", f"_zb{leg}")
