@@ -1,7 +1,5 @@
 import datetime as d
 
-from pyspark.sql import functions as F
-
 from delaycohorts.operators import itineraries as I
 from delaycohorts.plans import queries
 from delaycohorts.sources import driver_tables as dt
@@ -32,3 +30,34 @@ def test_two_legs_share_the_answers_of_equal_lookups(spark, tmp_path):
     got = I.resolve_two_legs(requests, lookups, answers, dt.airports(spark), answer="asked").collect()
     assert sorted(map(str, got)) == sorted(map(str, want)) and len({r["status"] for r in got}) > 2
     assert 0 < answers.count() * 10 < listed.count()  # candidates are not copied per request
+
+
+def test_lines_are_moved_once_for_their_customers(spark, tmp_path):
+    sf = small_tables(spark, tmp_path, 20)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = dt.flights(spark, sf)._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    at = next(i for i, line in enumerate(plan) if "hashpartitioning(o_custkey" in line)
+    below = []
+    for line in plan[at + 1 :]:
+        if depth(line) <= depth(plan[at]):
+            break
+        below.append(line)
+    assert any("o_orderkey" in line for line in below) and not any("l_suppkey" in line for line in below)
+
+
+def test_flights_keep_generated_methods_short(spark, tmp_path):
+    sf = small_tables(spark, tmp_path, 20)
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(limit)
+    try:
+        for given, wanted in (("65535", "8000"), ("4000", "4000")):  # a limit that the session chose is kept
+            spark.conf.set(limit, given)
+            dt.flights(spark, sf)
+            assert spark.conf.get(limit) == wanted
+    finally:
+        spark.conf.set(limit, before)
