@@ -353,4 +353,4 @@ def test_short_parts_and_wrappers_keep_the_article():
 
 def test_registered_queries_name_every_operator():
     names = {re.match(r"op(\d+)_", n)[1] for n in queries.queries() if n.startswith("op")}
-    assert names == {str(k) for k in range(1, 11)} and "pipeline" in queries.queries()
+    assert names == {str(k) for k in range(1, 14)} and "pipeline" in queries.queries()
