@@ -198,3 +198,15 @@ def test_network_without_both_classes(spark):
         got = toxicity.classify(docs, labels).collect()
         assert [r["predicted"] for r in got] == [0, 0] and all(abs(r["score"] - toxicity.CUT / 2) < 1e-9 for r in got)
     assert toxicity.classify(docs.where(F.lit(False)), none).count() == 0
+
+
+def test_network_learns_from_every_labelled_row(spark):
+    ids = spark.range(13_000).select("id", toxicity.held_out(F.col("id")).alias("held")).orderBy(F.xxhash64("id")).collect()
+    draw, late = random.Random(4), {r[0] for r in [r for r in ids if not r[1]][8000::3]}  # toxic texts stand only past 8,000 rows in the order of the hash
+    assert len(late) > 300
+    toxic = {r[0]: r[0] in late or (r[1] and r[0] % 2 == 0) for r in ids}
+    rows = [(i, " ".join(draw.choices(WORDS[:300], k=4) + (["scurvy"] if bad else ["kindly"])), "en") for i, bad in toxic.items()]
+    labels = spark.createDataFrame([(i, 0, int(bad)) for i, bad in toxic.items()], "doc_id long, quality int, toxic int")
+    got = toxicity.classify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels).toPandas()
+    held = got[got["held_out"]]
+    assert len(got) == 13_000 and len(held) > 3000 and (held["predicted"] == held["doc_id"].map(toxic)).mean() > 0.98
