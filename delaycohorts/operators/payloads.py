@@ -24,21 +24,21 @@ _ITEM = (
 def explode_payloads(log: DataFrame) -> DataFrame:
     """One row per candidate object; a body that is no JSON array keeps one row with a reason.
 
-    A body is parsed once, into a VARIANT that lives for this row only; items and their fields are read
-    off the variant. Null items are kept, as an array may hold them; any other item has to be an object.
+    A body is parsed once, into a VARIANT that lives for this row only, and its items are read off it in one
+    cast. Null items are kept, as an array may hold them; any other item has to be an object. Only an array
+    in which an item came out null is taken apart once more, to tell the two.
     """
     parsed = log.select("request_key", "requested_number", "requested_date", F.try_parse_json("body").alias("_body"))
-    listed = parsed.withColumn("_list", F.try_variant_get("_body", "$", "array<variant>"))
-    item = lambda v: F.try_variant_get(v, "$", _ITEM)
-    typed = listed.withColumn("_items", F.transform("_list", lambda v: F.struct(F.is_variant_null(v).alias("blank"), item(v).alias("item"))))
+    typed = parsed.withColumn("_items", F.try_variant_get("_body", "$", f"array<{_ITEM}>"))
+    no_object = lambda v: ~F.is_variant_null(v) & F.try_variant_get(v, "$", _ITEM).isNull()
     reason = (
-        F.when(F.col("_body").isNull(), "malformed_json").when(F.col("_list").isNull(), "not_an_array")
-        .when(F.exists("_items", lambda x: x["item"].isNull() & ~F.coalesce(x["blank"], F.lit(True))), "non_object_item")
+        F.when(F.col("_body").isNull(), "malformed_json").when(F.col("_items").isNull(), "not_an_array")
+        .when(F.exists("_items", lambda x: x.isNull()), F.when(F.exists(F.try_variant_get("_body", "$", "array<variant>"), no_object), "non_object_item"))
     )
     tagged = typed.select("request_key", "requested_number", "requested_date", reason.alias("reject"), "_items")
     return tagged.select(
         "request_key", "requested_number", "requested_date", "reject",
-        F.posexplode_outer(F.when(F.col("reject").isNull(), F.transform("_items", lambda x: x["item"]))).alias("item_index", "item"),
+        F.posexplode_outer(F.when(F.col("reject").isNull(), F.col("_items"))).alias("item_index", "item"),
     )
 
 
