@@ -10,6 +10,7 @@ LOG = "request_key string, requested_number string, requested_date date, body st
 
 
 def plan(df) -> str:
+    df.sparkSession.conf.set("spark.sql.debug.maxToStringFields", 1000)
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
