@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from delaycohorts.functions import clock, codes
 from delaycohorts.operators.schedules import month_bins
+from delaycohorts.session import materialize
 
 SEGMENT = ("origin", "destination", "crs_departure_minutes", "crs_arrival_minutes")
 
@@ -101,13 +102,49 @@ def classify(segments: DataFrame, detail: Sequence[str] = ()) -> DataFrame:
         F.coalesce(F.sum("copies"), F.lit(0)).cast("bigint").alias("match_count"),
         F.array_sort(F.collect_list(item)).alias("segments"),
     )
+    return _labelled(grouped.withColumnRenamed("q_date", "flight_date"))
+
+
+def _labelled(grouped: DataFrame) -> DataFrame:
     n = F.col("match_count")
     label = F.when(n == 0, "no_match").when(n == 1, "unique_match").otherwise("multiple_segments")
-    return grouped.select("lookup_id", F.col("q_date").alias("flight_date"), label.alias("classification"), n, "segments")
+    return grouped.select("lookup_id", "flight_date", label.alias("classification"), n, "segments")
 
 
 def lookup_flights(keys: DataFrame, records: DataFrame, detail: Sequence[str] = ()) -> DataFrame:
-    return classify(lookup_segments(keys, records, detail), detail)
+    """What ``classify`` makes of ``lookup_segments``, without a row per lookup and segment.
+
+    The segments of a flight day are listed and sorted once; a lookup meets the list as one row and keeps what its filters
+    let through. Only a ``lookup_id`` asked more than once on a date puts its lists together.
+    """
+    usable = check_keys(keys).where("reason is null")
+    ask = F.struct(*[c for c in usable.columns if c not in ("lookup_id", "q_date", "reason")])
+    asked = usable.groupBy("lookup_id", "q_date").agg(F.collect_list(ask).alias("_asks"))
+    asks = materialize(asked.select("lookup_id", "q_date", F.size("_asks").alias("_n"), F.explode("_asks").alias("_a")).select(
+        "lookup_id", "q_date", "_n", "_a.*"
+    ))
+    key = {"reporting_carrier": "q_carrier", "flight_number": "q_number", "flight_date": "q_date"}
+    wanted = asks.select(*[F.col(q).alias(c) for c, q in key.items()]).distinct()
+    distinct = records.join(wanted, [*key], "left_semi").groupBy(*key, *SEGMENT, *detail).agg(F.count("*").alias("copies"))
+    fields = ("crs_departure_minutes", "crs_arrival_minutes", "origin", "destination", *detail, "copies")
+    days = materialize(distinct.groupBy(*[F.col(c).alias(q) for c, q in key.items()]).agg(
+        F.array_sort(F.collect_list(F.struct(*fields))).alias("_day")
+    ))
+    same = lambda q, actual: F.col(q).isNull() | (F.col(q) == actual)
+    fits = lambda s: same("q_origin", s["origin"]) & same("q_destination", s["destination"]) & same("q_minutes", s["crs_departure_minutes"])
+
+    def met(some: DataFrame) -> DataFrame:
+        found = some.join(days, [*key.values()], "left").withColumn("_fits", F.coalesce(F.filter("_day", fits), F.array()))
+        return found.select(
+            "lookup_id", F.col("q_date").alias("flight_date"),
+            F.aggregate("_fits", F.lit(0).cast("bigint"), lambda n, s: n + s["copies"]).alias("match_count"),
+            F.filter("_fits", lambda s: s["origin"].isNotNull()).alias("segments"),
+        )
+
+    again = met(asks.where("_n > 1")).groupBy("lookup_id", "flight_date").agg(
+        F.sum("match_count").alias("match_count"), F.array_sort(F.flatten(F.collect_list("segments"))).alias("segments")
+    )
+    return _labelled(met(asks.where("_n = 1")).unionByName(again))
 
 
 def lookup_periods(keys: DataFrame, periods: DataFrame) -> DataFrame:
