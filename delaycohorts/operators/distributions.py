@@ -26,9 +26,14 @@ def quantiles(hist: DataFrame, keys: Sequence[str], qs: Sequence[float] = QUANTI
     return out.select(*keys, *[F.col("_q")[i].alias(quantile_name(x)) for i, x in enumerate(qs)], "cohort_n")
 
 
-def attach_members(selected: DataFrame, members: DataFrame) -> DataFrame:
-    """One row per case and distinct delay of its cohort; rejected cases drop out."""
-    return selected.join(members, [*KEY, *BOUNDS])
+def attach_members(selected: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row per case and distinct delay of its cohort; rejected cases drop out.
+
+    A case meets the packed row of its cohort, which is listed after the join: no row per delay is moved or sorted.
+    """
+    met = selected.join(rows.select(*KEY, *BOUNDS, "delays", "counts"), [*KEY, *BOUNDS])
+    pair = F.explode(F.arrays_zip("delays", "counts")).alias("_p")
+    return met.select(*selected.columns, pair).select(*selected.columns, F.col("_p.delays").alias("delay"), F.col("_p.counts").alias("n"))
 
 
 def spread(hist: DataFrame, keys: Sequence[str], value: str = "delay") -> DataFrame:
