@@ -27,6 +27,7 @@ CARRIER_MONTH_BUCKET = "carrier_month_bucket"
 # A cohort key is one text plus its hash; the hash only makes sorting and shuffling cheap,
 # equality is always decided on the text as well.
 KEY = ("k_hash", "k_text")
+PROFILE = ("_profile_hash", "_profile")
 BOUNDS = ("hist_start", "hist_end")
 OPEN_START = "0001-01-01"
 FRESHNESS_WARNING_DAYS = 90
@@ -94,13 +95,17 @@ def history_coverage(cases: DataFrame, history: DataFrame) -> DataFrame:
     )
 
 
-def _key(level: str, month: str, date: str, bucket: str) -> str:
-    """SQL of one key; written as text because seven to nine of them form an array."""
+def _key_text(level: str, month: str, date: str, bucket: str) -> str:
     parts = {
         "month": f"cast({month} as string)", "dow": f"cast(weekday({date}) + 1 as string)", "bucket": bucket,
     }
     used = [parts.get(name, name) for name in _USES[level]]
-    text = "concat_ws('|', " + ", ".join([f"'{level}'", *used]) + ")"
+    return "concat_ws('|', " + ", ".join([f"'{level}'", *used]) + ")"
+
+
+def _key(level: str, month: str, date: str, bucket: str) -> str:
+    """SQL of one key; written as text because seven to nine of them form an array."""
+    text = _key_text(level, month, date, bucket)
     return f"named_struct('k_hash', xxhash64({text}), 'k_text', {text})"
 
 
@@ -129,10 +134,14 @@ def level_requests(cases: DataFrame, levels: Sequence[str] = LEVELS) -> DataFram
 
 
 def _profiled(cases: DataFrame, levels: Sequence[str]) -> DataFrame:
-    """``cases`` plus ``_profile``: all that decides their keys at these levels, and the bounds."""
+    """``cases`` plus ``_profile``: all that decides their keys at these levels, and the bounds.
+
+    ``_profile_hash`` goes first in joins and groups, as with KEY.
+    """
     parts = {"month": F.month("prediction_date"), "dow": F.weekday("prediction_date") + 1, "bucket": F.expr(CASE_BUCKET)}
     used = dict.fromkeys(name for level in levels for name in _USES[level])
-    return cases.withColumn("_profile", F.struct(*[parts.get(c, F.col(c)).alias(c) for c in used], *BOUNDS))
+    marked = cases.withColumn("_profile", F.struct(*[parts.get(c, F.col(c)).alias(c) for c in used], *BOUNDS))
+    return marked.withColumn("_profile_hash", F.xxhash64("_profile"))
 
 
 def count_profiles(cases: DataFrame, daily: DataFrame, levels: Sequence[str], measures: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -144,7 +153,18 @@ def count_profiles(cases: DataFrame, daily: DataFrame, levels: Sequence[str], me
     fields = marked.schema["_profile"].dataType.names
     heads = marked.select("_profile").distinct().select(*[F.col(f"_profile.{c}").alias(c) for c in fields])
     counted = packed.level_counts(heads, daily, levels, measures)
-    return marked, counted.select(F.struct(*fields).alias("_profile"), *[f"c_{level}" for level in levels])
+    named = counted.select(F.struct(*fields).alias("_profile"), *[f"c_{level}" for level in levels])
+    return marked, named.withColumn("_profile_hash", F.xxhash64("_profile"))
+
+
+def profiles(cases: DataFrame, levels: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """``case_id`` with its PROFILE, and one row per profile with all that its keys are made of."""
+    marked = _profiled(cases, levels)
+    # month, weekday and bucket are equal within a profile, so any date and departure of it will do
+    one = [F.min(c).alias(c) for c in ("prediction_date", "departure_minutes")]
+    places = [c for c in marked.schema["_profile"].dataType.names if c not in ("month", "dow", "bucket")]
+    heads = marked.groupBy(*PROFILE).agg(*one).select("*", *[F.col(f"_profile.{c}").alias(c) for c in places])
+    return marked.select("case_id", *PROFILE), heads
 
 
 def profile_heads(cases: DataFrame, levels: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -153,8 +173,8 @@ def profile_heads(cases: DataFrame, levels: Sequence[str]) -> tuple[DataFrame, D
     What depends on keys and bounds alone is computed for the heads; every case reads it from its head.
     """
     marked = _profiled(cases, levels)
-    heads = marked.groupBy("_profile").agg(F.min_by(F.struct(*cases.columns), "case_id").alias("_head"))
-    links = marked.select("case_id", "_profile").join(heads.select("_profile", F.col("_head.case_id").alias("head_id")), "_profile")
+    heads = marked.groupBy(*PROFILE).agg(F.min_by(F.struct(*cases.columns), "case_id").alias("_head"))
+    links = marked.select("case_id", *PROFILE).join(heads.select(*PROFILE, F.col("_head.case_id").alias("head_id")), [*PROFILE])
     return links.select("case_id", "head_id"), heads.select("_head.*")
 
 
@@ -163,8 +183,8 @@ def cohort_counts(
 ) -> DataFrame:
     """Size of all seven levels per case, as columns ``n_<level>``."""
     marked, counted = count_profiles(cases, daily, LEVELS, ["n"])
-    sizes = counted.select("_profile", *[F.col(f"c_{level}")[0].alias(f"n_{level}") for level in LEVELS])
-    return marked.join(sizes, "_profile").drop("_profile")
+    sizes = counted.select(*PROFILE, *[F.col(f"c_{level}")[0].alias(f"n_{level}") for level in LEVELS])
+    return marked.join(sizes, [*PROFILE]).drop(*PROFILE)
 
 
 def _pick(sizes: list[Column], wanted: list[Column]) -> Column:
@@ -201,15 +221,17 @@ def at_level(counted: DataFrame, level: str) -> DataFrame:
 
 
 def _with_level(counted: DataFrame, index: Column) -> DataFrame:
-    names = F.expr("array(" + ", ".join(f"'{level}'" for level in LEVELS) + ")")
-    sizes = F.array(*[f"n_{level}" for level in LEVELS])
-    keys = _case_keys(LEVELS)
+    """Level, size and key of the level at ``index``; only the text of that level is put together."""
+    chosen = lambda values: F.expr("case _i " + " ".join(f"when {i} then {v}" for i, v in enumerate(values)) + " end")
     base = counted.drop("cohort_level", "cohort_size", "_i", *KEY).withColumn("_i", index)
-    at = lambda values: F.when(F.col("_i").isNotNull(), values[F.coalesce("_i", F.lit(0))])
+    text = chosen([_key_text(level, "month(prediction_date)", "prediction_date", CASE_BUCKET) for level in LEVELS])
     return base.select(
-        *[c for c in base.columns if c != "_i"],
-        at(names).alias("cohort_level"), at(sizes).cast("bigint").alias("cohort_size"), at(keys).alias("_k"),
-    ).select("*", *[F.col(f"_k.{c}").alias(c) for c in KEY]).drop("_k")
+        *base.columns, chosen([f"'{level}'" for level in LEVELS]).alias("cohort_level"),
+        chosen([f"n_{level}" for level in LEVELS]).cast("bigint").alias("cohort_size"), text.alias("k_text"),
+    ).select(
+        *[c for c in base.columns if c != "_i"], "cohort_level", "cohort_size",
+        F.when(F.col("k_text").isNotNull(), F.xxhash64("k_text")).alias("k_hash"), "k_text",
+    )
 
 
 def select_cohorts(
@@ -251,8 +273,8 @@ def status_probabilities(
     enough = F.coalesce(*[
         F.when((F.col(f"c_{level}")[0] >= min_obs) | ((F.col(f"c_{level}")[0] > 0) & F.lit(i == last)), i) for i, level in enumerate(STATUS_LEVELS)
     ])
-    shares = counted.select("_profile", enough.alias("_best"), found.alias("_found")).where("_best is not null")
-    wide = marked.join(shares, "_profile").withColumn("_chosen", F.col("_found")[F.col("_best")])
+    shares = counted.select(*PROFILE, enough.alias("_best"), found.alias("_found")).where("_best is not null")
+    wide = marked.join(shares, [*PROFILE]).withColumn("_chosen", F.col("_found")[F.col("_best")])
     value = lambda m: F.col("_chosen")[measures.index(m)]
     names = F.array(*[F.lit(level) for level in STATUS_LEVELS])
     return wide.select(
