@@ -412,19 +412,24 @@ def candidate_parity(
     """Counts-first choice against the path that fetches every level, one row per minimum of the latter.
 
     With equal minimums both must agree exactly; another one shows what a disagreement looks like.
+    The levels are fetched once per case profile; every case reads the candidates of its profile.
     """
-    minimums = F.explode(F.array(*[F.lit(m) for m in eager_minimums])).alias("eager_minimum")
     lazy_sel = C.select_cohorts(cases, daily, min_obs)
     lazy = D.evaluate_cohorts(lazy_sel, daily, case_columns=["case_id", "cohort_level"], qs=qs)
-    requests = materialize(C.level_requests(cases).select("case_id", "level_index", *C.KEY, *C.BOUNDS))
+    links, heads = C.profiles(cases, C.LEVELS)
+    requests = materialize(C.level_requests(heads).select(*C.PROFILE, "level_index", *C.KEY, *C.BOUNDS))
     members = C.member_histograms(requests, daily)
     sized = D.quantiles(members, [*C.KEY, *C.BOUNDS], qs)
     names = [D.quantile_name(q) for q in qs]
-    enough = (F.col("cohort_n") >= F.col("eager_minimum")) | (F.col("level_index") == len(C.LEVELS) - 1)
-    best = requests.join(sized, [*C.KEY, *C.BOUNDS]).select("*", minimums).where(enough).groupBy("case_id", "eager_minimum").agg(
-        F.min(F.struct("level_index", level_of(F.col("k_text")).alias("level"), *names)).alias("a")
-    )
-    both = lazy.select("*", minimums).join(best, ["case_id", "eager_minimum"], "full_outer")
+    candidate = F.struct("level_index", level_of(F.col("k_text")).alias("level"), *names)
+    enough = lambda m: (F.col("cohort_n") >= m) | (F.col("level_index") == len(C.LEVELS) - 1)
+    of = {m: f"a_{m}" for m in eager_minimums}
+    best = requests.join(sized, [*C.KEY, *C.BOUNDS]).groupBy(*C.PROFILE).agg(*[F.min(F.when(enough(m), candidate)).alias(a) for m, a in of.items()])
+    eager = links.join(best, [*C.PROFILE]).groupBy("case_id").agg(*[F.min(a).alias(a) for a in of.values()])
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("eager_minimum"), F.col(a).alias("a")) for m, a in of.items()])).alias("_e")
+    both = lazy.withColumn("_lazy", F.lit(True)).join(eager, "case_id", "full_outer").select("_lazy", "cohort_level", *names, each).select(
+        "_lazy", "cohort_level", *names, "_e.*"
+    ).where(F.col("_lazy") | F.col("a").isNotNull())
     gap = F.greatest(*[F.abs(F.col(n) - F.col(f"a.{n}")) for n in names])
     return both.groupBy("eager_minimum").agg(
         F.count("*").cast("bigint").alias("sample_count"),
