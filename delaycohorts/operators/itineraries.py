@@ -118,7 +118,21 @@ def score_itineraries(
     lookback: int = 24, transfer: Transfer = Transfer(), model_version: str = "v1",
 ) -> DataFrame:
     """Every request once: either its probability and evidence, or the reason it was rejected."""
-    checked = materialize(validate_itineraries(requests, airports, transfer))
+    return score_checked(
+        checked_requests(requests, airports, transfer), history, min_obs=min_obs, lookback=lookback, transfer=transfer, model_version=model_version,
+    )
+
+
+def checked_requests(requests: DataFrame, airports: DataFrame, transfer: Transfer = Transfer()) -> DataFrame:
+    """Validated requests, written once."""
+    return materialize(validate_itineraries(requests, airports, transfer))
+
+
+def score_checked(
+    checked: DataFrame, history: DataFrame, *, min_obs: int = 30, lookback: int = 24,
+    transfer: Transfer = Transfer(), model_version: str = "v1",
+) -> DataFrame:
+    """Scores of requests that ``checked_requests`` returned; several histories may share them."""
     usable = checked.where("reason is null").select(
         F.col("request_id").alias("case_id"), "carrier", "origin", F.col("connection").alias("destination"),
         F.col("travel_date").alias("prediction_date"), "departure_minutes", "layover_minutes",

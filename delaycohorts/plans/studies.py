@@ -23,7 +23,7 @@ from delaycohorts.operators import metrics as M
 from delaycohorts.operators import packed
 from delaycohorts.operators import pools as PL
 from delaycohorts.operators import sampling as S
-from delaycohorts.operators.itineraries import score_itineraries
+from delaycohorts.operators.itineraries import checked_requests, score_checked
 from delaycohorts.session import materialize
 
 SEED = 20260811
@@ -558,9 +558,10 @@ def threshold_study(
 
 
 def compare_datasets(a: DataFrame, b: DataFrame, requests: DataFrame, airports: DataFrame, **options) -> DataFrame:
-    """The same estimator on two histories: largest differences and mismatches in one row."""
+    """The same estimator on two histories: largest differences and mismatches in one row. Requests are checked once."""
     numbers = ("probability", "on_time", "delay_15", "delay_30", "delay_45", "median_minutes", "p75_minutes", "p90_minutes")
-    pick = lambda df, p: score_itineraries(requests, df, airports, **options).select(
+    checked = checked_requests(requests, airports, **{k: v for k, v in options.items() if k == "transfer"})
+    pick = lambda df, p: score_checked(checked, df, **options).select(
         "request_id", *[F.col(c).alias(f"{p}_{c}") for c in (*numbers, "cohort_level", "cohort_size", "status")]
     )
     both = pick(a, "a").join(pick(b, "b"), "request_id", "full_outer")
